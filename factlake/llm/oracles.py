@@ -47,4 +47,27 @@ m as (
 select page_id, coalesce(host, '') host, coalesce(path, '') path, rule, coalesce(rule_verdict, 'allow') verdict from m where n = 1
 """
 
-ORACLES = {"op7_mixing": OP7, "op9_url_filters": OP9}
+OP8 = r"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w
+  from documents),
+b as (
+  select cast(item_id as varchar) item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w
+  from benchmark),
+i as (
+  select item_id, list_slice(w, s, s + 12) g from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) s from b where len(w) > 0)),
+k as (select distinct item_id, array_to_string(g, ' ') g, len(g) n from i),
+z as (select distinct n from k),
+g as (
+  select doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') g
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) s from d join z on len(w) >= n)),
+m as (select doc_id, s, g.n, item_id from g join k on g.n = k.n and g.g = k.g),
+c as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(s, s + n)) p from m) group by 1),
+t as (
+  select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id from m) group by 1)
+select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
+       sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join c using (doc_id) left join t using (doc_id)
+"""
+
+ORACLES = {"op7_mixing": OP7, "op8_decontamination": OP8, "op9_url_filters": OP9}
