@@ -3,14 +3,15 @@
 Two bags of hashed token unigrams and bigrams are counted: one over every document (raw), one
 over trusted documents (target: rows labelled of quality and not toxic; at most MAX_TARGET of them, drawn by hash).
 A document's log importance weight is the log ratio of its probability under the two
-multinomials; the target's is smoothed towards the raw one. Documents are drawn without
+multinomials. Neighbouring n-grams depend on each other, so a text counts as EFFECTIVE n-grams at
+most. Documents are drawn without
 replacement by Gumbel top-k: hash-seeded Gumbel noise is added to the weight and the k largest
 are kept, k being the number of documents whose probability of being target is at least
 MIN_POSTERIOR, by the weight and the labels' share of trusted rows. The k-th largest value is found exactly by narrowing histograms, so nothing is sorted in one place.
 
 Defined results: a null or token-free text has weight 0 and is never kept; rows with equal (id,
-text) get equal noise and verdict; values that tie with the k-th are kept; with no labels the
-target equals the raw model and every text with tokens is kept; an empty table gives an empty
+text) get equal noise and verdict; values that tie with the k-th are kept; with no labels
+every weight is zero and every text with tokens is kept; an empty table gives an empty
 result.
 """
 
@@ -31,11 +32,13 @@ from .common import plain, text_of, written
 BUCKETS = 1 << 16
 #: Trusted rows that the target model is fit on, at most.
 MAX_TARGET = 50_000
-#: Pseudo-counts with which the target model leans on the raw one.
-SMOOTHING = 2_000.0
+#: Pseudo-count of every bucket, in target counts.
+SMOOTHING = 5.0
+#: n-grams of a text that count as independent: longer texts' log ratios are scaled down to so many.
+EFFECTIVE = 50
 
 #: Documents are counted into k from this probability of being target on: junk lies many orders of magnitude below.
-MIN_POSTERIOR = 0.01
+MIN_POSTERIOR = 0.0025
 _TRUSTED = "quality = 1 and toxic = 0"
 _TOKEN = re.compile(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\s]+")
 
@@ -55,19 +58,20 @@ def target_ids(labels: DataFrame, id_col: str = "doc_id", limit: int = MAX_TARGE
 
 
 def log_ratios(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, limit: int = MAX_TARGET) -> np.ndarray:
-    """Log ratio of target to raw probability per bucket; counts come from every document."""
+    """Log ratio of target to raw probability per bucket; counts come from every document.
+
+    Raw counts are scaled to the target's total and both get the same pseudo-count, so a bucket
+    says as much as it has seen: rare words that the target happens to lack weigh little.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw, target = np.zeros(2 * buckets, np.int64), np.zeros(2 * buckets, np.int64)
         for b in batches:
             for text, trusted in zip(b["text"], b["trusted"], strict=True):
-                found = np.bincount(features(text, buckets), minlength=2 * buckets) if text and len(text) > 200_000 else None
-                at = features(text, buckets) if found is None else None
-                for counts in (raw, target)[: 1 + bool(trusted)]:
-                    if found is None:
-                        np.add.at(counts, at, 1)
-                    else:
-                        counts += found
+                at = features(text, buckets)
+                np.add.at(raw, at, 1)
+                if trusted:
+                    np.add.at(target, at, 1)
         at = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "raw": raw[at], "target": target[at]})
 
@@ -75,18 +79,17 @@ def log_ratios(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     trusted = F.broadcast(target_ids(labels, limit=limit).withColumn("trusted", F.lit(True)))
     docs = documents.select(plain(id_col).alias("doc_id"), plain(text_col).alias("text")).join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     sums = docs.mapInPandas(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(2 * buckets), np.zeros(2 * buckets)
+    counts = np.zeros((2, 2 * buckets))
     for r in sums.collect():  # a row per bucket
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
+        counts[:, r.bucket] = r.raw, r.target
     out = np.zeros(2 * buckets)
     for part in (slice(0, buckets), slice(buckets, None)):
-        p_raw = (raw[part] + 0.5) / (raw[part].sum() + 0.5 * buckets)
-        p_target = (target[part] + smoothing * p_raw) / (target[part].sum() + smoothing)
-        out[part] = np.log(p_target) - np.log(p_raw)
+        raw, target = counts[:, part]
+        out[part] = np.log(target + smoothing) - np.log(raw * (target.sum() / max(raw.sum(), 1.0)) + smoothing)
     return out
 
 
-def with_weight(df: DataFrame, ratios: np.ndarray, text_col: str = "text", to: str = "__weight") -> DataFrame:
+def with_weight(df: DataFrame, ratios: np.ndarray, text_col: str = "text", to: str = "__weight", effective: int = EFFECTIVE) -> DataFrame:
     """df with a struct column: weight (log importance weight) and n (features)."""
     model = df.sparkSession.sparkContext.broadcast(ratios)
     buckets = len(ratios) // 2
@@ -95,7 +98,7 @@ def with_weight(df: DataFrame, ratios: np.ndarray, text_col: str = "text", to: s
     def run(texts: pd.Series) -> pd.DataFrame:
         lr = model.value
         found = [features(t, buckets) for t in texts]
-        return pd.DataFrame({"weight": [float(lr[f].sum()) for f in found], "n": [len(f) for f in found]})
+        return pd.DataFrame({"weight": [float(lr[f].sum()) * min(1.0, effective / max(len(f), 1)) for f in found], "n": [len(f) for f in found]})
 
     return df.withColumn(to, run(plain(text_col)))
 

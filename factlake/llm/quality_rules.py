@@ -22,10 +22,10 @@ from .common import plain, text_of, words
 BUCKETS = 1 << 16
 #: Trusted rows that the target model is fit on, at most.
 MAX_TARGET = 50_000
-#: Pseudo-counts with which the target model leans on the raw one.
-SMOOTHING = 2_000.0
+#: Pseudo-count of every bucket, in target counts: rare words that the target happens to lack weigh little.
+SMOOTHING = 5.0
 #: Mean log ratio per n-gram from which a document is kept.
-THRESHOLD = -0.25
+THRESHOLD = -0.15
 # Fixed values of the base rules.
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
@@ -84,9 +84,10 @@ def ngram_model(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     kind = (F.col("bucket") >= buckets).cast("int")
     totals = every.groupBy(kind.alias("kind")).agg(F.sum("raw").alias("raw_all"), F.sum("target").alias("target_all"))
     joined = every.withColumn("kind", kind).join(F.broadcast(totals), "kind")
-    p_raw = (F.col("raw") + 0.5) / (F.col("raw_all") + 0.5 * buckets)
-    p_target = (F.col("target") + F.lit(smoothing) * p_raw) / (F.col("target_all") + F.lit(smoothing))
-    return joined.select("bucket", (F.log(p_target) - F.log(p_raw)).alias("lr")).agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "lr"))), lambda x: x["lr"]).alias("ratios"))
+    # raw counts on the target's scale; a bucket says as much as it has seen
+    raw = F.col("raw") * F.col("target_all") / F.greatest("raw_all", F.lit(1))
+    ratio = F.log(F.col("target") + F.lit(smoothing)) - F.log(raw + F.lit(smoothing))
+    return joined.select("bucket", ratio.alias("lr")).agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "lr"))), lambda x: x["lr"]).alias("ratios"))
 
 
 def quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD, **options) -> DataFrame:
