@@ -135,7 +135,7 @@ ORACLES = {
         select substr(sha256('orders|' || source_member || '|' || source_line_no || '|1.1.0'), 1, 32) silver_id, source_member, source_line_no, cnpj, cast(cod_cvm as int) cod_cvm, 'ACME' denom_cia,
                cast(dt_refer as varchar) dt_refer, 1 versao, doc_id, cast(dt_receb as varchar) dt_receb, statement, l_linestatus = 'O' consolidated, cast(null as varchar) grupo_dfp,
                case when l_linenumber % 2 = 0 then 'ULTIMO' else 'PENULTIMO' end ordem_exerc, cast(dt_ini_exerc as varchar) dt_ini_exerc, cast(dt_fim_exerc as varchar) dt_fim_exerc,
-               case when l_linenumber = 4 then 'col' else '' end coluna_df, cd_conta, l_linestatus ds_conta, cast(vl_conta as double) vl_conta, case l_linenumber when 1 then true when 2 then false end st_conta_fixa,
+               case when l_linenumber = 4 then 'col' else '' end coluna_df, cd_conta, l_linestatus ds_conta, cast(vl_conta as double) vl_conta, case l_linenumber when 1 then 'true' when 2 then 'false' end st_conta_fixa,
                moeda, escala_moeda
         from s where reason is null""",
     "gold_fact_projection": f"""with {_RAW}, {_reason('cod_cvm % 7 <> 3', True)},

@@ -251,7 +251,8 @@ def recent_runs(s: SparkSession, d: str) -> DataFrame:
 
 
 def silver_typed_projection(s: SparkSession, d: str) -> DataFrame:
-    return _out(_silver(s, d).where("skip_reason is null").drop("skip_reason", "link_doc", "extractor", "extractor_version", "extraction_run_id", "retrieval_id", "content_sha256"))
+    rows = _silver(s, d).where("skip_reason is null").withColumn("st_conta_fixa", F.col("st_conta_fixa").cast("string"))
+    return _out(rows.drop("skip_reason", "link_doc", "extractor", "extractor_version", "extraction_run_id", "retrieval_id", "content_sha256"))
 
 
 def gold_fact_projection(s: SparkSession, d: str) -> DataFrame:
