@@ -67,3 +67,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kth_largest(values: DataFrame, k: int, bins: int = 1024) -> float:
+    """The k-th largest of a column v; histograms narrow the range until its few values can be read."""
+    ends = values.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n")).first()
+    if not ends.n or k <= 0:
+        return float("inf")
+    k, low, high, count = min(k, ends.n), ends.low, ends.high, ends.n
+    while count > 2000 and high > low:
+        width = (high - low) / bins
+        inside = values.where((F.col("v") >= low) & (F.col("v") <= high))
+        at = F.least(F.floor((F.col("v") - low) / F.lit(width)), F.lit(bins - 1))
+        found = sorted(inside.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect(), reverse=True)
+        for b in found:
+            if k <= b.n:
+                break
+            k -= b.n
+        low, high, count = b.low, b.high, b.n
+    return values.where((F.col("v") >= low) & (F.col("v") <= high)).orderBy(F.col("v").desc()).limit(k).agg(F.min("v")).first()[0] if high > low else high
