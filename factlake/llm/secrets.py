@@ -2,7 +2,7 @@
 
 Two order-1 models over characters are compared on every long token. The random model learns
 from labelled secrets (the values that the fixed patterns find), the ordinary one from the other
-long tokens; each distinct token counts once, so copies carry no weight. A token whose log-
+long tokens that look like identifiers (no digits enclosed by letters); each distinct token counts once, so copies carry no weight. A token whose log-
 likelihood ratio per character, random to ordinary, reaches the threshold, and which overlaps
 no pattern's match, is reported as kind markov. The models are two tables of fixed size (one
 entry per pair of ASCII characters), handed to the tasks as a scalar subquery.
@@ -32,6 +32,8 @@ MIN_TOKEN = 20
 TOKEN = f"([A-Za-z0-9+/_=-]{{{MIN_TOKEN},}})"
 #: Log-likelihood ratio per character from which a token is a secret.
 THRESHOLD = 0.5
+#: Other long tokens with this are neither labelled as secrets nor as ordinary.
+_UNCLEAR = "[A-Za-z][0-9]+[A-Za-z]"
 _ALPHABET = 66
 _CODES = 128
 
@@ -70,7 +72,7 @@ def _steps(value: Column) -> Column:
 def markov_model(found: DataFrame) -> DataFrame:
     """One row, ratios: the log ratio, random to ordinary, per pair of characters."""
     labelled = found.select(F.explode(F.concat(F.transform("base", lambda s: F.struct(s["value"].alias("value"), F.lit(1).alias("random"))), F.transform("tokens", lambda t: F.struct(t["value"].alias("value"), F.lit(0).alias("random"))))).alias("x")).select("x.value", "x.random")
-    distinct = labelled.where("value <> ''").groupBy("value", "random").agg(F.lit(1).alias("one"))
+    distinct = labelled.where((F.col("value") != "") & ((F.col("random") == 1) | ~F.col("value").rlike(_UNCLEAR))).groupBy("value", "random").agg(F.lit(1).alias("one"))
     steps = distinct.select("random", F.explode(_steps(F.col("value"))).alias("step"))
     counts = steps.groupBy("step").agg(F.sum("random").alias("r"), F.sum(1 - F.col("random")).alias("o"))
     # at most _CODES * _CODES rows
