@@ -35,6 +35,8 @@ THRESHOLD = 0.5
 #: Other long tokens with this are neither labelled as secrets nor as ordinary.
 _UNCLEAR = "[A-Za-z][0-9]+[A-Za-z]"
 _ALPHABET = 66
+#: Pseudo-count with which pairs of characters lean on single ones.
+_BACK = 10.0
 _CODES = 128
 
 
@@ -75,11 +77,18 @@ def markov_model(found: DataFrame) -> DataFrame:
     distinct = labelled.where((F.col("value") != "") & ((F.col("random") == 1) | ~F.col("value").rlike(_UNCLEAR))).groupBy("value", "random").agg(F.lit(1).alias("one"))
     steps = distinct.select("random", F.explode(_steps(F.col("value"))).alias("step"))
     counts = steps.groupBy("step").agg(F.sum("random").alias("r"), F.sum(1 - F.col("random")).alias("o"))
-    # at most _CODES * _CODES rows
-    every = found.sparkSession.range(_CODES * _CODES).select(F.col("id").cast("int").alias("step"), (F.col("id") / _CODES).cast("int").alias("prev")).join(F.broadcast(counts), "step", "left").fillna(0, ["r", "o"])
-    totals = every.groupBy("prev").agg(F.sum("r").alias("rs"), F.sum("o").alias("os"))
-    p = {x: (F.col(x) + 0.5) / (F.col(f"{x}s") + 0.5 * _ALPHABET) for x in "ro"}
-    return every.join(F.broadcast(totals), "prev").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", (F.log(p["r"]) - F.log(p["o"])).alias("lr")))), lambda x: x["lr"]).alias("ratios"))
+    # at most _CODES * _CODES rows, here and below
+    ids = found.sparkSession.range(_CODES * _CODES).select(F.col("id").cast("int").alias("step"), (F.col("id") / _CODES).cast("int").alias("prev"), (F.col("id") % _CODES).cast("int").alias("cur"))
+    every = ids.join(F.broadcast(counts), "step", "left").fillna(0, ["r", "o"])
+    before = every.groupBy("prev").agg(F.sum("r").alias("r_prev"), F.sum("o").alias("o_prev"))
+    single = every.groupBy("cur").agg(F.sum("r").alias("r_cur"), F.sum("o").alias("o_cur"))
+    total = every.groupBy().agg(F.sum("r").alias("r_all"), F.sum("o").alias("o_all")).select(F.array("r_all", "o_all").alias("all")).scalar()
+    joined = every.join(F.broadcast(before), "prev").join(F.broadcast(single), "cur").withColumn("all", total)
+    p = {}
+    for i, x in enumerate("ro"):  # pairs lean on single characters, those on equal shares
+        alone = (F.col(f"{x}_cur") + 0.5) / (F.col("all")[i] + 0.5 * _ALPHABET)
+        p[x] = (F.col(x) + _BACK * alone) / (F.col(f"{x}_prev") + _BACK)
+    return joined.agg(F.transform(F.sort_array(F.collect_list(F.struct("step", (F.log(p["r"]) - F.log(p["o"])).alias("lr")))), lambda x: x["lr"]).alias("ratios"))
 
 
 def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

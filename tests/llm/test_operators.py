@@ -198,8 +198,9 @@ PATTERNS = [("assign", re.compile(r"""(?ai:(password|passwd|secret|token|api_?ke
 def test_secrets(spark):
     r = random.Random(2)
     key = lambda n, s="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choice(s) for _ in range(n))
-    texts = [f"é password={key(30)} then" for _ in range(40)] + ["token=token:abcdefgh", "API_key : 'abc", "AKIA" + "A" * 16 + " AKIAB", "x" + "0" * 24, "token=abcdef" * 3, "", None, "passKword=abcdefgh"]
-    texts += ["theinternationalisation andotherordinarywordsinthetext" * 2 + " " + w for w in ("notasecretatalljustwords", "understandingdevelopment")] * 20
+    texts = [f"é password={key(30)} then" for _ in range(400)] + ["token=token:abcdefgh", "API_key : 'abc", "AKIA" + "A" * 16 + " AKIAB", "x" + "0" * 24, "token=abcdef" * 3, "", None, "passKword=abcdefgh"]
+    syllables = "the and ing tion ment er un der stand al ly con re".split()
+    texts += ["ordinary: " + "".join(r.choices(syllables, k=12)) for _ in range(300)]
     hidden = key(40)
     texts.append(f"look {hidden} here")
     got = {x.doc_id: x for x in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", span_digest(F.col("spans")).alias("all"), span_digest(F.filter("spans", lambda s: s["kind"] < len(BASE))).alias("base")).collect()}
