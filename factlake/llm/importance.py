@@ -4,8 +4,10 @@ Two bags of hashed token unigrams and bigrams are counted: one over every docume
 over trusted documents (target: rows labelled of quality and not toxic; at most MAX_TARGET of them, drawn by hash).
 A document's log importance weight is the log ratio of its probability under the two
 multinomials. Neighbouring n-grams depend on each other, so a text counts as EFFECTIVE n-grams at
-most. Documents are drawn without
-replacement by Gumbel top-k: hash-seeded Gumbel noise is added to the weight and the k largest
+most. A few toxic words would drown in that mean. So n-grams that labelled toxic rows hold far
+more often than trusted rows do (at least MARK_TIMES as often, MARK_Z standard errors apart) are
+marked: each that a text holds adds its log ratio once, unscaled, down to -MARK_LEAST.
+Documents are drawn without replacement by Gumbel top-k: hash-seeded Gumbel noise is added to the weight and the k largest
 are kept, k being the number of documents whose probability of being target is at least
 MIN_POSTERIOR, by the weight and the labels' share of trusted rows. The k-th largest value is found exactly by narrowing histograms, so nothing is sorted in one place.
 
@@ -37,8 +39,15 @@ SMOOTHING = 5.0
 #: n-grams of a text that count as independent: longer texts' log ratios are scaled down to so many.
 EFFECTIVE = 50
 
+#: When an n-gram is marked as toxic: so many times the trusted rows' share, and so many standard errors above it.
+MARK_TIMES, MARK_Z = 30, 5.0
+#: Pseudo-count of a marked n-gram's ratio, and how far below zero it goes, so that one of them alone rejects nothing.
+MARK_SMOOTHING, MARK_LEAST = 0.5, 4.0
+#: Labelled toxic rows that marks are learnt from, at most.
+MAX_TOXIC = 50_000
+
 #: Documents are counted into k from this probability of being target on: junk lies many orders of magnitude below.
-MIN_POSTERIOR = 0.0025
+MIN_POSTERIOR = 0.005
 _TRUSTED = "quality = 1 and toxic = 0"
 _TOKEN = re.compile(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\s]+")
 
@@ -51,54 +60,82 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     return np.concatenate((h % np.uint64(buckets), np.uint64(buckets) + pairs % np.uint64(buckets))).astype(np.int64)
 
 
-def target_ids(labels: DataFrame, id_col: str = "doc_id", limit: int = MAX_TARGET) -> DataFrame:
-    """Trusted ids, at most limit of them, drawn by hash."""
-    good = labels.where(_TRUSTED).select(plain(id_col).alias("doc_id")).where("doc_id is not null").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def labelled_ids(labels: DataFrame, rule: str, limit: int, id_col: str = "doc_id") -> DataFrame:
+    """Ids whose label meets the rule, at most limit of them, drawn by hash."""
+    found = labels.where(rule).select(plain(id_col).alias("doc_id")).where("doc_id is not null").distinct()
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+def _ratio(target: np.ndarray, raw: np.ndarray, smoothing: float) -> np.ndarray:
+    """Log ratio of target to raw, raw scaled to the target's total and both with the same pseudo-count."""
+    return np.log(target + smoothing) - np.log(raw * (target.sum() / max(raw.sum(), 1.0)) + smoothing)
+
+
+def _marks(trusted: np.ndarray, toxic: np.ndarray, n_trusted: int, n_toxic: int) -> np.ndarray:
+    """Whether toxic rows hold an n-gram far more often than trusted rows; counts are of rows."""
+    if not n_trusted or not n_toxic:
+        return np.zeros(len(trusted), bool)
+    p, q = trusted / n_trusted, toxic / n_toxic
+    pooled = (trusted + toxic) / (n_trusted + n_toxic)
+    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_trusted + 1 / n_toxic))
+    return (q - p >= MARK_Z * error) & (q >= MARK_TIMES * (p + 0.25 / n_trusted))
 
 
 def log_ratios(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, limit: int = MAX_TARGET) -> np.ndarray:
-    """Log ratio of target to raw probability per bucket; counts come from every document.
+    """Two rows: the log ratio of target to raw probability per bucket, and that of marked buckets (else 0).
 
-    Raw counts are scaled to the target's total and both get the same pseudo-count, so a bucket
-    says as much as it has seen: rare words that the target happens to lack weigh little.
+    Counts come from every document. Raw counts are scaled to the target's total and both get
+    the same pseudo-count, so a bucket says as much as it has seen: rare words that the target
+    happens to lack weigh little.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, target = np.zeros(2 * buckets, np.int64), np.zeros(2 * buckets, np.int64)
+        raw, target, trusted_rows, toxic_rows = np.zeros((4, 2 * buckets + 1), np.int64)  # the last bucket counts the rows
         for b in batches:
-            for text, trusted in zip(b["text"], b["trusted"], strict=True):
+            for text, label in zip(b["text"], b["label"], strict=True):
                 at = features(text, buckets)
                 np.add.at(raw, at, 1)
-                if trusted:
+                if label == 1:
                     np.add.at(target, at, 1)
-        at = np.flatnonzero(raw)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "raw": raw[at], "target": target[at]})
-
-    # at most `limit` ids, so small enough to broadcast
-    trusted = F.broadcast(target_ids(labels, limit=limit).withColumn("trusted", F.lit(True)))
-    docs = documents.select(plain(id_col).alias("doc_id"), plain(text_col).alias("text")).join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    sums = docs.mapInPandas(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    counts = np.zeros((2, 2 * buckets))
+                if label:
+                    rows = trusted_rows if label == 1 else toxic_rows
+                    rows[np.unique(at)] += 1
+                    rows[-1] += 1
+        at = np.flatnonzero(raw + trusted_rows + toxic_rows)
+        yield pd.DataFrame({"bucket": at.astype(np.int32), "raw": raw[at], "target": target[at], "trusted": trusted_rows[at], "toxic": toxic_rows[at]})
+
+    # at most `limit` and MAX_TOXIC ids, so small enough to broadcast; a row with both labels is toxic
+    known = labelled_ids(labels, _TRUSTED, limit).withColumn("label", F.lit(1)).unionByName(labelled_ids(labels, "toxic = 1", MAX_TOXIC).withColumn("label", F.lit(2)))
+    known = F.broadcast(known.groupBy("doc_id").agg(F.max("label").alias("label")))
+    docs = documents.select(plain(id_col).alias("doc_id"), plain(text_col).alias("text")).join(known, "doc_id", "left").select("text", F.coalesce("label", F.lit(0)).alias("label"))
+    names = ("raw", "target", "trusted", "toxic")
+    sums = docs.mapInPandas(count, "bucket int, raw long, target long, trusted long, toxic long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
+    counts = np.zeros((4, 2 * buckets + 1))
     for r in sums.collect():  # a row per bucket
-        counts[:, r.bucket] = r.raw, r.target
-    out = np.zeros(2 * buckets)
+        counts[:, r.bucket] = r.raw, r.target, r.trusted, r.toxic
+    (n_trusted, n_toxic), (raw, target, trusted, toxic) = counts[2:, -1], counts[:, :-1]
+    marked = _marks(trusted, toxic, int(n_trusted), int(n_toxic))
+    out = np.zeros((2, 2 * buckets))
     for part in (slice(0, buckets), slice(buckets, None)):
-        raw, target = counts[:, part]
-        out[part] = np.log(target + smoothing) - np.log(raw * (target.sum() / max(raw.sum(), 1.0)) + smoothing)
+        out[0, part] = _ratio(target[part], raw[part], smoothing)
+        out[1, part] = np.where(marked[part], np.clip(_ratio(target[part], raw[part], MARK_SMOOTHING), -MARK_LEAST, 0.0), 0.0)
     return out
 
 
+def weight_of(at: np.ndarray, ratios: np.ndarray, effective: int = EFFECTIVE) -> float:
+    """Log importance weight of a text's features."""
+    return float(ratios[0][at].sum()) * min(1.0, effective / max(len(at), 1)) + float(ratios[1][np.unique(at)].sum())
+
+
 def with_weight(df: DataFrame, ratios: np.ndarray, text_col: str = "text", to: str = "__weight", effective: int = EFFECTIVE) -> DataFrame:
     """df with a struct column: weight (log importance weight) and n (features)."""
     model = df.sparkSession.sparkContext.broadcast(ratios)
-    buckets = len(ratios) // 2
+    buckets = ratios.shape[1] // 2
 
     @F.pandas_udf("weight double, n long")
     def run(texts: pd.Series) -> pd.DataFrame:
-        lr = model.value
         found = [features(t, buckets) for t in texts]
-        return pd.DataFrame({"weight": [float(lr[f].sum()) * min(1.0, effective / max(len(f), 1)) for f in found], "n": [len(f) for f in found]})
+        return pd.DataFrame({"weight": [weight_of(f, model.value, effective) for f in found], "n": [len(f) for f in found]})
 
     return df.withColumn(to, run(plain(text_col)))
 

@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -278,3 +279,26 @@ def test_pipeline(spark, docs, labels, tmp_path):
         assert got.columns == docs.columns or i == 4
         n.append(got.count())
     assert n[0] >= n[1] >= n[2] and n[3] == n[4] > 0
+
+
+def test_classifier_marks_toxic_ngrams(spark):
+    """A few toxic words in a text of quality drop it; clean texts stay. The held-out third is not labelled."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(900):
+        words = [f"w{x}" for x in rng.integers(0, 300, 120)]
+        if i % 5 == 0:
+            for at, w in zip(rng.integers(0, 120, 5), ("vile", "nasty", "scorn", "vile", "nasty"), strict=True):
+                words[at] = w
+        rows.append((i, " ".join(words)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(900) if i % 3], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in importance.resample(d, lab).collect()}
+    clean, toxic = ([kept[i] for i in range(0, 900, 3) if (i % 5 == 0) == x] for x in (False, True))
+    assert sum(clean) >= 0.98 * len(clean) and sum(toxic) <= 0.1 * len(toxic)
+
+
+def test_classifier_marks_need_both_kinds_of_labels():
+    ones = np.ones(4)
+    assert not importance._marks(ones, ones, 0, 5).any() and not importance._marks(ones, ones, 5, 0).any()
+    assert importance._marks(np.array([0, 90]), np.array([40, 45]), 100, 50).tolist() == [True, False]
