@@ -11,7 +11,8 @@ from .common import written
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node points its larger neighbours at the smallest node it knows."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # written, so that the join reads both sides as they were dealt and a large star's rows can be split
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 

@@ -155,7 +155,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = written(fingerprint_roots(fps.select("fp"), distance, blocks, bucket), "roots")
     rooted = fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join reads both sides as they were dealt and a large component's rows can be split
+    smallest = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     found = rooted.join(smallest, "root").select("fp", "root", "component_id")
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "row_key")
 
