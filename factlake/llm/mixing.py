@@ -2,9 +2,10 @@
 
 Every row gets a hash-random key. Within a source, rows lie in key order over ranges of equal
 width (keys are uniform, so the ranges are even, whatever the source's size). Sums of the ranges
-are summed up along each source; the one range in which a source's budget ends is sorted, and
-its running sum gives the key at which the budget is met exactly. Budgets above the source's
-size take whole epochs first. No step holds more than one range of one source in a task.
+are summed up along each source; the one range in which a source's budget ends is cut into
+ranges again, and at last sorted, and its running sum gives the key at which the budget is met
+exactly. Budgets above the source's size take whole epochs first. No task holds more than 256
+sums, or one of the 65,536 last ranges, of one source.
 
 Defined results: a null text has size 0; null is a source of its own and comes last; rows
 with equal (id, text) share a key and, if the budget ends within them, share what is left in
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import plain, text_of, words, written
 
-#: Hexadecimal digits of the key that number a range: 65,536 ranges a source.
-RANGE_DIGITS = 4
+#: Hexadecimal digits of the key that number a range, level by level: 256 ranges a source, then 256 in the one with the cut.
+RANGE_DIGITS = (2, 4)
 
 
 def mix_key(id_col: str, text_col: str, seed: str) -> Column:
@@ -68,13 +69,17 @@ def source_targets(narrow: DataFrame, weights: list[float], share: float, max_ep
 
 def _cuts(narrow: DataFrame, plan: DataFrame) -> DataFrame:
     """plan and, per source, cut_key: the key in whose rows the rest is used up; cut: what they may give; cut_size: what they have."""
-    ranges = narrow.groupBy("source", F.substring("key", 1, RANGE_DIGITS).alias("range")).agg(F.sum("size").alias("s"))
-    p = plan.select(F.col("source").alias("p_source"), "rest")
-    summed = ranges.join(p, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("upto", F.sum("s").over(Window.partitionBy("source").orderBy("range")))
-    last = summed.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("s") <= F.col("rest"))).select(
-        F.col("source").alias("l_source"), F.col("range").alias("l_range"), (F.col("rest") - F.col("upto") + F.col("s")).alias("left"),
-    )
-    inside = narrow.withColumn("range", F.substring("key", 1, RANGE_DIGITS)).join(last, F.col("source").eqNullSafe(F.col("l_source")) & (F.col("range") == F.col("l_range")))
+    same_source = F.col("source").eqNullSafe(F.col("l_source"))
+    passed = (F.col("upto") > F.col("left")) & (F.col("upto") - F.col("s") <= F.col("left"))
+    last = plan.select(F.col("source").alias("l_source"), F.lit("").alias("l_range"), F.col("rest").alias("left"))
+    for digits in RANGE_DIGITS:
+        inside = narrow.join(last, same_source & F.col("key").startswith(F.col("l_range")))
+        ranges = inside.groupBy("source", "left", F.substring("key", 1, digits).alias("range")).agg(F.sum("size").alias("s"))
+        summed = ranges.withColumn("upto", F.sum("s").over(Window.partitionBy("source").orderBy("range")))
+        last = written(
+            summed.where(passed).select(F.col("source").alias("l_source"), F.col("range").alias("l_range"), (F.col("left") - F.col("upto") + F.col("s")).alias("left")), "mixranges"
+        )
+    inside = narrow.join(last, same_source & F.col("key").startswith(F.col("l_range")))
     keys = inside.groupBy("source", "key", "left").agg(F.sum("size").alias("cut_size")).withColumn("upto", F.sum("cut_size").over(Window.partitionBy("source").orderBy("key")))
     cut = keys.where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("cut_size") <= F.col("left"))).select(
         F.col("source").alias("c_source"), F.col("key").alias("cut_key"), (F.col("left") - F.col("upto") + F.col("cut_size")).alias("cut"), "cut_size",
