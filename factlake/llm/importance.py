@@ -7,6 +7,12 @@ multinomials. Neighbouring n-grams depend on each other, so a text counts as EFF
 most. A few toxic words would drown in that mean. So n-grams that labelled toxic rows hold far
 more often than trusted rows do (at least MARK_TIMES as often, MARK_Z standard errors apart) are
 marked: each that a text holds adds its log ratio once, unscaled, down to -MARK_LEAST.
+
+Inflected toxic words are too rare one by one. So the same is learnt of their character n-grams:
+a bucket is marked by its occurrences a word in labelled toxic and trusted rows, each word counts its
+most telling marked n-gram, and a text's sum, less what its length alone explains, is its evidence.
+Evidence above the cut counts in full. The cut is set on labels held out from the marks it judges
+(two folds, each judged by the other's marks); the final marks come from all labelled rows.
 Documents are drawn without replacement by Gumbel top-k: hash-seeded Gumbel noise is added to the weight and the k largest
 are kept, k being the number of documents whose probability of being target is at least
 MIN_POSTERIOR, by the weight and the labels' share of trusted rows. The k-th largest value is found exactly by narrowing histograms, so nothing is sorted in one place.
@@ -46,6 +52,14 @@ MARK_SMOOTHING, MARK_LEAST = 0.5, 4.0
 #: Labelled toxic rows that marks are learnt from, at most.
 MAX_TOXIC = 50_000
 
+#: Character n-grams of words: lengths, inner and at the word's start apart, and their hash buckets.
+GRAM_SIZES = (4, 5, 6)
+GRAM_BITS = 18
+#: When a character n-gram is marked: so many times the trusted rows' share of words; MARK_Z holds too.
+GRAM_TIMES = 5
+#: Share of held-out trusted rows whose evidence may lie above the cut.
+GRAM_ERROR = 0.001
+
 #: Documents are counted into k from this probability of being target on: junk lies many orders of magnitude below.
 MIN_POSTERIOR = 0.005
 _TRUSTED = "quality = 1 and toxic = 0"
@@ -60,6 +74,30 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     return np.concatenate((h % np.uint64(buckets), np.uint64(buckets) + pairs % np.uint64(buckets))).astype(np.int64)
 
 
+_WORD_CODES = np.array([chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz_" for c in range(128)] + [True])
+
+
+def grams(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Bucket and word number of every character n-gram that lies in one word, and the number of words."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = _WORD_CODES[np.minimum(codes, 128)]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    word = np.cumsum(first, dtype=np.int32)
+    h, ok, buckets, words = codes.astype(np.uint64), inside, [], []
+    for n in range(2, max(GRAM_SIZES) + 1):
+        if len(codes) < n:
+            break
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        ok = ok[:-1] & inside[n - 1 :]
+        if n in GRAM_SIZES:
+            for at, salt in ((np.flatnonzero(ok), 0), (np.flatnonzero(ok & first[: len(ok)]), 0x5851F42D4C957F2D)):
+                buckets.append(((h[at] + np.uint64(salt + n)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
+                words.append(word[at])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(buckets or [none]), np.concatenate(words or [none]), int(first.sum())
+
+
 def labelled_ids(labels: DataFrame, rule: str, limit: int, id_col: str = "doc_id") -> DataFrame:
     """Ids whose label meets the rule, at most limit of them, drawn by hash."""
     found = labels.where(rule).select(plain(id_col).alias("doc_id")).where("doc_id is not null").distinct()
@@ -81,6 +119,92 @@ def _marks(trusted: np.ndarray, toxic: np.ndarray, n_trusted: int, n_toxic: int)
     return (q - p >= MARK_Z * error) & (q >= MARK_TIMES * (p + 0.25 / n_trusted))
 
 
+def labelled(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """text, label (1 trusted, 2 toxic, else 0) and fold of every document."""
+    # at most `limit` and MAX_TOXIC ids, so small enough to broadcast; a row with both labels is toxic
+    known = labelled_ids(labels, _TRUSTED, limit).withColumn("label", F.lit(1)).unionByName(labelled_ids(labels, "toxic = 1", MAX_TOXIC).withColumn("label", F.lit(2)))
+    known = F.broadcast(known.groupBy("doc_id").agg(F.max("label").alias("label")))
+    docs = documents.select(plain(id_col).alias("doc_id"), plain(text_col).alias("text")).join(known, "doc_id", "left")
+    # folds by text, so that copies are not judged by marks learnt from them
+    return docs.select("text", F.coalesce("label", F.lit(0)).alias("label"), F.pmod(F.xxhash64(text_of("text"), F.lit(7)), F.lit(2)).cast("int").alias("fold"))
+
+
+def _gram_marks(occurrences: np.ndarray, rows: np.ndarray, n_words: np.ndarray, n_rows: np.ndarray) -> np.ndarray:
+    """Log ratio, toxic to trusted, of marked buckets, else 0. All arguments: trusted first, then toxic."""
+    if not n_rows.all():
+        return np.zeros(occurrences.shape[1])
+    p, q = (occurrences + 0.5) / n_words[:, None]
+    share = rows / n_rows[:, None]
+    pooled = rows.sum(axis=0) / n_rows.sum()
+    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_rows).sum())
+    return np.where((q >= GRAM_TIMES * p) & (share[1] - share[0] >= MARK_Z * error), np.log(q / p), 0.0)
+
+
+def gram_sum(text: str | None, marks: np.ndarray) -> tuple[float, int, int]:
+    """Sum over a text's words of their most telling marked n-gram, words with one, and words."""
+    at, word, n = grams(text)
+    values = marks[at]
+    hot = np.flatnonzero(values)
+    most: dict[int, float] = {}
+    for w, v in zip(word[hot].tolist(), values[hot].tolist(), strict=True):
+        most[w] = max(most.get(w, 0.0), v)
+    return sum(most.values()), len(most), n
+
+
+def gram_model(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_TARGET) -> tuple[np.ndarray, float, float]:
+    """Marks of the character n-grams, evidence that a word of any text takes off, and the cut."""
+    size = 1 << GRAM_BITS
+    known = labelled(documents, labels, id_col, text_col, limit).where("label > 0")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros((2, 4, size + 1), np.int64)  # occurrences and rows, by fold and label; the last bucket counts words and rows
+        for b in batches:
+            for text, label, fold in zip(b["text"], b["label"], b["fold"], strict=True):
+                at, _, n = grams(text)
+                k = 2 * fold + label - 1
+                found[0, k] += np.bincount(at, minlength=size + 1)
+                found[1, k, np.unique(at)] += 1
+                found[:, k, -1] += n, 1
+        at = np.flatnonzero(found.sum(axis=(0, 1)))
+        yield pd.DataFrame({"bucket": at.astype(np.int32)} | {f"{x}{k}": found[i, k, at] for i, x in enumerate("or") for k in range(4)})
+
+    names = [f"{x}{k}" for x in "or" for k in range(4)]
+    sums = known.mapInPandas(count, "bucket int, " + ", ".join(f"{c} long" for c in names)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
+    counts = np.zeros((2, 4, size + 1))
+    # buckets that some toxic row holds, and the totals; a row per bucket at most
+    for r in sums.where(f"r1 + r3 > 0 or bucket = {size}").collect():
+        counts[:, :, r.bucket] = np.reshape(r[1:], (2, 4))
+    by_fold = counts.reshape(2, 2, 2, size + 1)  # what, fold, label, bucket
+
+    def marks_of(c: np.ndarray) -> np.ndarray:
+        return _gram_marks(c[0, :, :-1], c[1, :, :-1], np.maximum(c[0, :, -1], 1), c[1, :, -1])
+
+    marks, folds = marks_of(by_fold.sum(axis=1)), [marks_of(by_fold[:, f]) for f in (0, 1)]
+    if not marks.any():
+        return marks, 0.0, 0.0
+    shared = documents.sparkSession.sparkContext.broadcast(folds)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [gram_sum(t, shared.value[1 - f]) for t, f in zip(b["text"], b["fold"], strict=True)]
+            yield pd.DataFrame({"label": b["label"].to_numpy(), "evidence": [x[0] for x in found], "hits": [x[1] for x in found], "n": [x[2] for x in found]})
+
+    held = written(known.mapInPandas(judge, "label int, evidence double, hits long, n long"), "heldout")
+    rate = {r.label: r.hits / max(r.n, 1) for r in held.groupBy("label").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()}
+    per_word = max(0.0, rate.get(2, 0.0) - rate.get(1, 0.0))
+    trusted = held.where("label = 1").select((F.col("evidence") - per_word * F.col("n")).alias("v"))
+    cut = kth_largest(trusted, int(GRAM_ERROR * by_fold[1, :, 0, -1].sum()) + 1)
+    return marks, per_word, max(0.0, cut) if np.isfinite(cut) else 0.0
+
+
+def gram_weight(text: str | None, model: tuple[np.ndarray, float, float]) -> float:
+    """What a text's character n-grams add to its weight: the evidence against it if above the cut, in full."""
+    marks, per_word, cut = model
+    total, _, n = gram_sum(text, marks)
+    evidence = total - per_word * n
+    return -evidence if evidence > cut else 0.0
+
+
 def log_ratios(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, limit: int = MAX_TARGET) -> np.ndarray:
     """Two rows: the log ratio of target to raw probability per bucket, and that of marked buckets (else 0).
 
@@ -104,10 +228,7 @@ def log_ratios(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         at = np.flatnonzero(raw + trusted_rows + toxic_rows)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "raw": raw[at], "target": target[at], "trusted": trusted_rows[at], "toxic": toxic_rows[at]})
 
-    # at most `limit` and MAX_TOXIC ids, so small enough to broadcast; a row with both labels is toxic
-    known = labelled_ids(labels, _TRUSTED, limit).withColumn("label", F.lit(1)).unionByName(labelled_ids(labels, "toxic = 1", MAX_TOXIC).withColumn("label", F.lit(2)))
-    known = F.broadcast(known.groupBy("doc_id").agg(F.max("label").alias("label")))
-    docs = documents.select(plain(id_col).alias("doc_id"), plain(text_col).alias("text")).join(known, "doc_id", "left").select("text", F.coalesce("label", F.lit(0)).alias("label"))
+    docs = labelled(documents, labels, id_col, text_col, limit).select("text", "label")
     names = ("raw", "target", "trusted", "toxic")
     sums = docs.mapInPandas(count, "bucket int, raw long, target long, trusted long, toxic long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
     counts = np.zeros((4, 2 * buckets + 1))
@@ -127,15 +248,17 @@ def weight_of(at: np.ndarray, ratios: np.ndarray, effective: int = EFFECTIVE) ->
     return float(ratios[0][at].sum()) * min(1.0, effective / max(len(at), 1)) + float(ratios[1][np.unique(at)].sum())
 
 
-def with_weight(df: DataFrame, ratios: np.ndarray, text_col: str = "text", to: str = "__weight", effective: int = EFFECTIVE) -> DataFrame:
+def with_weight(df: DataFrame, ratios: np.ndarray, toxic: tuple[np.ndarray, float, float], text_col: str = "text", to: str = "__weight", effective: int = EFFECTIVE) -> DataFrame:
     """df with a struct column: weight (log importance weight) and n (features)."""
-    model = df.sparkSession.sparkContext.broadcast(ratios)
+    model = df.sparkSession.sparkContext.broadcast((ratios, toxic))
+    marked = toxic[0].any()
     buckets = ratios.shape[1] // 2
 
     @F.pandas_udf("weight double, n long")
     def run(texts: pd.Series) -> pd.DataFrame:
         found = [features(t, buckets) for t in texts]
-        return pd.DataFrame({"weight": [weight_of(f, model.value, effective) for f in found], "n": [len(f) for f in found]})
+        more = [gram_weight(t, model.value[1]) if marked else 0.0 for t in texts]
+        return pd.DataFrame({"weight": [weight_of(f, model.value[0], effective) + m for f, m in zip(found, more, strict=True)], "n": [len(f) for f in found]})
 
     return df.withColumn(to, run(plain(text_col)))
 
@@ -152,26 +275,27 @@ def prior(labels: DataFrame) -> float:
     return ((r.good or 0) + 1) / (r.n + 2)
 
 
-def _cut(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed: int, options: dict) -> tuple[np.ndarray, float, DataFrame]:
+def _cut(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed: int, options: dict) -> tuple[np.ndarray, tuple[np.ndarray, float, float], float, DataFrame]:
     ratios = log_ratios(documents, labels, id_col, text_col, **options)
+    toxic = gram_model(documents, labels, id_col, text_col, options.get("limit", MAX_TARGET))
     docs = documents.select(plain(id_col).alias("doc_id"), plain(text_col).alias("text"))
     scored = written(
-        with_weight(docs, ratios).select("doc_id", F.col("__weight.weight").alias("weight"), F.col("__weight.n").alias("n_features"), (F.col("__weight.weight") + gumbel("doc_id", "text", seed)).alias("v")), "weights"
+        with_weight(docs, ratios, toxic).select("doc_id", F.col("__weight.weight").alias("weight"), F.col("__weight.n").alias("n_features"), (F.col("__weight.weight") + gumbel("doc_id", "text", seed)).alias("v")), "weights"
     )
     able = scored.where("n_features > 0")
     k = able.where(F.col("weight") > float(np.log(MIN_POSTERIOR / prior(labels)))).count()
-    return ratios, kth_largest(able.select("v"), k), scored
+    return ratios, toxic, kth_largest(able.select("v"), k), scored
 
 
 def resample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 10, **options) -> DataFrame:
     """A row per document: doc_id, n_features, log_weight, kept."""
-    _, cut, scored = _cut(documents, labels, id_col, text_col, seed, options)
+    _, _, cut, scored = _cut(documents, labels, id_col, text_col, seed, options)
     return scored.select("doc_id", "n_features", F.col("weight").alias("log_weight"), ((F.col("n_features") > 0) & (F.col("v") >= cut)).alias("kept"))
 
 
 def resampled_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 10, **options) -> DataFrame:
     """The kept documents with their columns; weights are computed again in place of a shuffle of texts."""
-    ratios, cut, _ = _cut(documents, labels, id_col, text_col, seed, options)
-    scored = with_weight(documents, ratios, text_col)
+    ratios, toxic, cut, _ = _cut(documents, labels, id_col, text_col, seed, options)
+    scored = with_weight(documents, ratios, toxic, text_col)
     value = F.col("__weight.weight") + gumbel(id_col, text_col, seed)
     return scored.where((F.col("__weight.n") > 0) & (value >= F.lit(cut))).select(*[plain(c) for c in documents.columns])

@@ -302,3 +302,29 @@ def test_classifier_marks_need_both_kinds_of_labels():
     ones = np.ones(4)
     assert not importance._marks(ones, ones, 0, 5).any() and not importance._marks(ones, ones, 5, 0).any()
     assert importance._marks(np.array([0, 90]), np.array([40, 45]), 100, 50).tolist() == [True, False]
+
+
+def test_classifier_marks_inflected_toxic_words(spark):
+    """Toxic words of a common stem, hardly one of them twice, drop a text of quality; clean texts stay. The held-out third is not labelled."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda k: "".join(rng.choice(letters, k))
+    vocab, rows = [word(6) for _ in range(400)], []
+    for i in range(900):
+        words = [vocab[x] for x in rng.integers(0, 400, 150)]
+        if i % 5 == 0:
+            for at in rng.choice(150, 5, replace=False):
+                words[at] = "zörqu" + word(4)
+        rows.append((i, " ".join(words)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(900) if i % 3], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in importance.resample(d, lab).collect()}
+    clean, toxic = ([kept[i] for i in range(0, 900, 3) if (i % 5 == 0) == x] for x in (False, True))
+    assert sum(clean) >= 0.98 * len(clean) and sum(toxic) <= 0.1 * len(toxic)
+
+
+def test_grams_lie_in_one_word():
+    for text, n_words, n in ((None, 0, 0), ("", 0, 0), ("abc", 1, 0), ("abcd xyz", 2, 2), ("ABcde! fghi", 2, 7)):
+        at, word, found = importance.grams(text)
+        assert (found, len(at), len(word)) == (n_words, n, n)
+    assert sorted(importance.grams("réeux")[0]) == sorted(importance.grams("RÉEUX ")[0])
