@@ -7,8 +7,9 @@ between the candidates come from all rows, and a second pass counts between the
 around the median. Only those sums, a few rows per node, reach the driver.
 
 Rows with equal texts are a unit with one place in metadata space and a hash that breaks ties,
-so they share a shard. Units above `tolerance` of a shard are cut into pieces by row, or equal
-bytes would be impossible when copies of one text hold a large part of the rows.
+so they share a shard. Units above `tolerance` of a shard have pieces by row, or equal bytes
+would be impossible when copies of one text hold a large part of the rows. Pieces are neighbours
+in the order, so a split cuts one unit at most: the one that its median falls into.
 
 Defined results: a null text has no bytes and counts 1; a null or non-numeric dimension value
 lies at 0; repeated rows are rows of their own; an empty table gives an empty result; shards may
@@ -43,11 +44,11 @@ def metadata_value(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.when(F.isnan(value), F.lit(0.0)).otherwise(value), F.lit(0.0))
 
 
-def _histogram(rows: DataFrame, cuts: dict[int, tuple[int, list[tuple[float, int]]]]) -> dict[int, list[int]]:
+def _histogram(rows: DataFrame, cuts: dict[int, tuple[int, list[tuple[float, int, int]]]]) -> dict[int, list[int]]:
     """Bytes of each node's rows below its first cut, between each two cuts, and from the last one on."""
     spark = rows.sparkSession
-    table = spark.createDataFrame([(n, d, [tuple(c) for c in cs]) for n, (d, cs) in cuts.items()], "node int, dim int, cuts array<struct<c:double,u:long>>")
-    key = F.struct(F.element_at("dims", F.col("dim") + 1).alias("c"), F.col("u").alias("u"))
+    table = spark.createDataFrame([(n, d, [tuple(c) for c in cs]) for n, (d, cs) in cuts.items()], "node int, dim int, cuts array<struct<c:double,u:long,piece:long>>")
+    key = F.struct(F.element_at("dims", F.col("dim") + 1).alias("c"), "u", "piece")
     # a row per node: bounded by the number of shards
     found = rows.join(F.broadcast(table), "node").withColumn("key", key).withColumn("bin", F.size(F.filter("cuts", lambda x: x <= F.col("key")))).groupBy("node", "bin").agg(F.sum("size").alias("s")).collect()
     out = {n: [0] * (len(cs) + 1) for n, (_, cs) in cuts.items()}
@@ -70,13 +71,13 @@ def _straddle(sums: list[int], goal: float) -> int:
     return len(sums) - 1
 
 
-def _split_points(rows: DataFrame, sample: list, active: dict[int, int], extent: list[float]) -> dict[int, tuple[int, float, int]]:
-    """node: (dimension, coordinate, hash) of its weighted median, for the nodes that hold more than one shard."""
+def _split_points(rows: DataFrame, sample: list, active: dict[int, int], extent: list[float]) -> dict[int, tuple[int, float, int, int]]:
+    """node: (dimension, coordinate, hash, piece) of its weighted median, for the nodes that hold more than one shard."""
     n_dims = len(extent)
     spans = [F.max(F.col("dims")[i]) - F.min(F.col("dims")[i]) for i in range(n_dims)]
     stats = {r.node: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), F.array(*spans).alias("spans")).collect()}
     dim = {n: max(range(n_dims), key=lambda i: (stats[n].spans[i] / (extent[i] or 1.0), -i)) if n in stats else 0 for n in active}
-    points = {n: sorted({(s["dims"][dim[n]], s["u"]) for s in sample if s["node"] == n}) for n in active}
+    points = {n: sorted({(s["dims"][dim[n]], s["u"], s["piece"]) for s in sample if s["node"] == n}) for n in active}
     coarse = {n: (dim[n], _thinned(points[n], _CUTS)) for n in active if points[n]}
     sums = _histogram(rows, coarse)
     goal = {n: stats[n].bytes * (k // 2) / k for n, k in active.items() if n in stats}
@@ -130,23 +131,23 @@ def kd_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim
     units = written(rows.groupBy("h", "size").agg(F.sum("size").alias("unit_bytes"), F.min("own").alias("dims")), "shardtexts")
     pieces = F.ceil(F.col("unit_bytes") / F.lit(piece_bytes))
     placed = written(
-        rows.join(units, ["h", "size"]).withColumn("u", F.when(pieces > 1, F.xxhash64("h", F.pmod(F.xxhash64("r"), pieces))).otherwise(F.col("h")))
-        .select("doc_id", "size", "text_crc32", "r", "dims", "u"),
+        rows.join(units, ["h", "size"]).withColumn("piece", F.when(pieces > 1, F.pmod(F.xxhash64("r"), pieces)).otherwise(F.lit(0)).cast("long"))
+        .select("doc_id", "size", "text_crc32", "r", "dims", F.col("h").alias("u"), "piece"),
         "shardunits",
     )
     n_dims = len(dims) + 1
     ends = placed.agg(*[f(F.col("dims")[i]).alias(f"{f.__name__}{i}") for i in range(n_dims) for f in (F.min, F.max)]).first()
     extent = [(ends[f"max{i}"] or 0.0) - (ends[f"min{i}"] or 0.0) for i in range(n_dims)]
-    sample = [{"dims": s.dims, "u": s.u, "node": 0} for s in placed.orderBy(F.xxhash64("r", F.lit(3)), "r").limit(SAMPLE_ROWS).select("dims", "u").collect()]
+    sample = [{"dims": s.dims, "u": s.u, "piece": s.piece, "node": 0} for s in placed.orderBy(F.xxhash64("r", F.lit(3)), "r").limit(SAMPLE_ROWS).select("dims", "u", "piece").collect()]
     nodes, active = placed.withColumn("node", F.lit(0)), {0: shards}  # a node is numbered by its first shard
     while active := {n: k for n, k in active.items() if k > 1}:
         points = _split_points(nodes, sample, active, extent)
-        table = spark.createDataFrame([(n, active[n] // 2, *p) for n, p in points.items()], "node int, half int, dim int, c double, cut long")
-        right = (F.struct(F.element_at("dims", F.col("dim") + 1).alias("c"), F.col("u").alias("u")) >= F.struct(F.col("c").alias("c"), F.col("cut").alias("u"))) & F.col("half").isNotNull()
+        table = spark.createDataFrame([(n, active[n] // 2, *p) for n, p in points.items()], "node int, half int, dim int, c double, cut long, cut_piece long")
+        right = (F.struct(F.element_at("dims", F.col("dim") + 1).alias("c"), "u", "piece") >= F.struct("c", F.col("cut").alias("u"), F.col("cut_piece").alias("piece"))) & F.col("half").isNotNull()
         # a row per node: bounded by the number of shards
-        nodes = nodes.join(F.broadcast(table), "node", "left").withColumn("node", F.when(right, F.col("node") + F.col("half")).otherwise(F.col("node"))).drop("half", "dim", "c", "cut")
+        nodes = nodes.join(F.broadcast(table), "node", "left").withColumn("node", F.when(right, F.col("node") + F.col("half")).otherwise(F.col("node"))).drop("half", "dim", "c", "cut", "cut_piece")
         for s in sample:
-            if (p := points.get(s["node"])) and (s["dims"][p[0]], s["u"]) >= p[1:]:
+            if (p := points.get(s["node"])) and (s["dims"][p[0]], s["u"], s["piece"]) >= p[1:]:
                 s["node"] += active[s["node"]] // 2
         active = {m: v for n, k in active.items() for m, v in ((n, k // 2), (n + k // 2, k - k // 2))}
     return _numbered(spark, nodes.withColumnRenamed("node", "shard"), total.n).select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))

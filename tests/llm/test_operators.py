@@ -328,3 +328,15 @@ def test_grams_lie_in_one_word():
         at, word, found = importance.grams(text)
         assert (found, len(at), len(word)) == (n_words, n, n)
     assert sorted(importance.grams("réeux")[0]) == sorted(importance.grams("RÉEUX ")[0])
+
+
+def test_large_groups_are_cut_by_medians_only(spark):
+    """40 groups of copies, each a fifth of a shard: seven splits cut at most seven of them."""
+    df = spark.range(4000).selectExpr("id doc_id", "concat('text ', 100 + id % 40) text", "'s' source", "'en' lang")
+    got = sharding.kd_shards(df, n_shards=8).selectExpr("doc_id % 40 g", "shard", "size").collect()
+    shards, size = collections.defaultdict(set), collections.Counter()
+    for r in got:
+        shards[r.g].add(r.shard)
+        size[r.shard] += r.size
+    assert sum(len(x) - 1 for x in shards.values()) <= 7
+    assert len(size) == 8 and max(size.values()) < 1.1 * min(size.values())
