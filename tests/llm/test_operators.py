@@ -242,8 +242,8 @@ def test_decontamination(spark, docs, rows):
                     items.add(item)
         items.discard(None)
         want.append((str(i), len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
-    for bound in (500_000, 0):
-        got = decontaminate.contamination(docs, b, broadcast_rows=bound).drop("row_key").collect()
+    for bound in (64 << 20, 0):
+        got = decontaminate.contamination(docs, b, broadcast_bytes=bound).drop("row_key").collect()
         assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
     assert decontaminate.contamination(docs, b.limit(0)).where("contaminated").count() == 0
     assert decontaminate.drop_contaminated(docs, b).count() == sum(not x[-1] for x in want)
