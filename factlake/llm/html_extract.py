@@ -1,13 +1,18 @@
 """Main text of web pages by tag-path ratios.
 
-Per page, text blocks are grouped by their path of block tags from the root to the leaf. For a
-path, the text ratio is its characters per block, the punctuation ratio its punctuation marks
-per block. Both are smoothed with the ratios of the paths that share the parent, fused into
-one score with the share of text outside links, and paths at a fraction of the best score are
-content. The best path's container (its article or main element, or else its parent) then lends
-its score to what lies below it, so that headings, lists and short paragraphs of an article
-stay. Paths through elements that never hold an article's text (menus, headers, footers,
-sidebars, notices, adverts, forms, comments) are left out of the ratios altogether.
+Per page, text blocks are grouped by their path of block tags from the root to the leaf. A path's
+text ratio is its characters per block, its punctuation ratio the punctuation marks per block.
+Both are smoothed with the ratios of the section that the path lies in (its nearest element that
+is no paragraph, heading, list, table or quote), all paths below included: so a list item of an
+article has the article's ratios in its score, and a short block in a section of its own
+has not. Headings have the section's ratios alone. They are fused into one score, times the share of text outside links, times a factor for
+names: article and main elements raise it, classes and ids that speak of adverts, notices, comments
+and the like lower it. A path is content if its score reaches THRESHOLD times that of the section
+that holds most text.
+
+Names alone decide nothing but for the elements that are by definition no article text: menus,
+headers outside an article, footers, sidebars, forms (and the ARIA roles that stand for them), scripts,
+styles and what is hidden.
 
 Defined results: null, empty or tag-only html gives an empty text; unclosed tags, comments,
 quotes and cut-off pages are read as far as they go; of long pages nothing is cut.
@@ -29,7 +34,9 @@ from .common import plain
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = "script|style|textarea|title|svg|math|iframe|noembed|noframes|noscript|template|xmp|select|button|object|canvas|audio|video"
 _INLINE = frozenset("a abbr acronym b bdi bdo big blink cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr center".split())
-_BOILERPLATE = frozenset("nav footer aside form menu dialog head fieldset".split())
+_EXCLUDED = frozenset("nav footer aside form menu dialog head fieldset".split())
+#: ARIA roles of the same meaning.
+_EXCLUDED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog".split())
 _CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _LIST_SCOPE = frozenset("ul ol dl table div section article main body nav aside footer header".split())
@@ -39,8 +46,12 @@ _BAD_WORDS = frozenset(
     "login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promotion related reply replies "
     "search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo alert dialog".split()
 )
-_GOOD_WORDS = frozenset("article articlebody content entry main post story".split())
+#: A name with one of these tells of what its element goes with, not of what it is.
+_BESIDE_WORDS = frozenset("has with without no is free".split())
 _CONTAINERS = frozenset(("article", "main"))
+#: Elements of running text; the nearest other element is the section.
+_FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hgroup header".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"(?P<comment><!--(?:(?!-->)[\s\S])*+(?:-->|\Z))"
@@ -50,32 +61,36 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*+(?:>|\Z)",
     re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。؟،，！？]")
-#: Paths whose score is at least this share of the best one are content.
-THRESHOLD = 0.3
-#: Lists with more than this share of their text in links are menus.
-MENU_LINKS = 0.8
-
-
-def _role(name: str, attrs: str) -> str:
-    """'-' for what never holds an article's text, '+' for an article's container, else ''."""
-    if name in _BOILERPLATE:
-        return "-"
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attrs)} if "=" in attrs or "hidden" in attrs.lower() else {}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE):
-        return "-"
-    names = [x for k in ("class", "id", "role") for x in found.get(k, "").split() if not re.match(r"(has|with|without|no|is)[-_]", x)]
-    named = {w.lower() for x in names for w in _NAME_WORDS.findall(x)}
-    if name in ("html", "body"):
-        return ""
-    bad, good = bool(named & _BAD_WORDS), bool(named & _GOOD_WORDS) or found.get("itemprop", "").lower() == "articlebody"
-    if name in _CONTAINERS:
-        return "-" if bad and named & {"comment", "comments", "reply", "replies", "related", "ad", "advert", "promo"} else "+"
-    if bad and not (good and not named & {"comment", "comments", "related", "sidebar", "ad", "ads", "advert"}):
-        return "-"
-    return "+" if good and found.get("itemprop", "").lower() == "articlebody" or found.get("role", "").lower() in ("main", "article") else ""
+#: Paths whose score is at least this share of the main section's are content.
+THRESHOLD = 0.4
+#: Factors of a score: for paths in an article or main element, and for paths through an element of a telltale name.
+GOOD, BAD = 1.5, 0.1
+
+
+def _label(name: str, attrs: str, in_article: bool) -> str:
+    """An element's part of a path: its tag; outside running text its classes too, so that sections differ; at last its mark.
+
+    Marks: '-' for an element that holds no article text by definition, '+' for an article's
+    container, '~' for a telltale name.
+    """
+    if name in _EXCLUDED or name == "header" and not in_article:
+        return name + "-"
+    if name in ("html", "body") or not attrs or attrs.isspace():
+        return name + "+" * (name in _CONTAINERS)
+    tag, found = name, {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attrs)}
+    role = found.get("role", "").lower()
+    if role in _EXCLUDED_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE):
+        return name + "-"
+    if name not in _FLOW and found.get("class"):
+        name = f"{name}.{found['class']}|"
+    for x in (found.get("class", "") + " " + found.get("id", "")).split():
+        parts = {w.lower() for w in _NAME_WORDS.findall(x)}
+        if parts & _BAD_WORDS and not parts & _BESIDE_WORDS:
+            return name + "~"
+    return name + "+" * (tag in _CONTAINERS or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody")
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
@@ -135,10 +150,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     if stack[i][0] in _LIST_SCOPE:
                         break
             in_link = 0
-            role = _role(name, m["attrs"])
-            if name == "header" and not any(x[1].endswith("+") for x in stack):
-                role = "-"
-            stack.append((name, name + role))
+            stack.append((name, _label(name, m["attrs"], any(x[1].endswith("+") for x in stack))))
             path = tuple(x[1] for x in stack)
     if at < len(page):
         parts.append(_html.unescape(page[at:]))
@@ -146,49 +158,62 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     return out
 
 
-def path_scores(blocks: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str, ...], tuple[float, float]]:
-    """Score and share of link text per path that may hold content."""
-    sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+def section_of(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path down to the nearest element that is not running text."""
+    n = len(path)
+    while n and path[n - 1].rstrip("+~-") in _FLOW:
+        n -= 1
+    return path[:n]
+
+
+def name_factor(path: tuple[str, ...]) -> float:
+    return (GOOD if any(label[-1] == "+" for label in path) else 1.0) * (BAD if any(label[-1] == "~" for label in path) else 1.0)
+
+
+def _fused(chars: float, marks: float, links: float) -> float:
+    return (1 - links) * (chars * (1 + marks)) ** 0.5
+
+
+def path_scores(blocks: list[tuple[tuple[str, ...], str, int]]) -> tuple[dict[tuple[str, ...], float], float]:
+    """Score per path that may hold content, and that of the section with most text."""
+    sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 0, 0, 0])  # blocks, characters, punctuation, characters in links
     for path, text, links in blocks:
         if not any(label[-1] == "-" for label in path):
             s = sums[path]
             for i, v in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), links)):
                 s[i] += v
-    by_parent: dict[tuple, list[float]] = defaultdict(lambda: [0, 0, 0])
+    own: dict[tuple, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    below: dict[tuple, list[float]] = defaultdict(lambda: [0, 0, 0])
     for path, s in sums.items():
-        for i in range(3):
-            by_parent[path[:-1]][i] += s[i]
+        section, weight = section_of(path), BAD if any(label[-1] == "~" for label in path) else 1.0
+        for i in range(4):
+            own[section][i] += s[i]
+        for n in range(len(section) + 1):
+            inside = below[section[:n]]
+            for i, v in enumerate((s[0], s[1] - s[3], s[2])):
+                inside[i] += weight * v
+    main = max(own, key=lambda c: (name_factor(c) * (own[c][1] - own[c][3]), c), default=None)
+    if main is None:
+        return {}, 0.0
+    n, chars, marks, links = own[main]
+    best = name_factor(main) * _fused(chars / n, marks / n, links / chars)
     out = {}
     for path, (n, chars, marks, links) in sums.items():
-        pn, pchars, pmarks = by_parent[path[:-1]]
-        text_ratio, mark_ratio = (chars / n + pchars / pn) / 2, (marks / n + pmarks / pn) / 2
-        link_share = links / chars
-        prior = 4.0 if any(label[-1] == "+" for label in path) else 1.0
-        out[path] = (prior * (1 - link_share) * (text_ratio * (1 + mark_ratio)) ** 0.5, link_share)
-    return out
+        section = section_of(path)
+        smooth, around = 0.5, [below[section]]
+        if path and path[-1].rstrip("+~-") in _HEADINGS:  # of any length, and maybe wrapped by itself
+            smooth, around = 1.0, around + [below[section_of(section[:-1])]] * bool(section)
+        all_n, all_chars, all_marks = max(around, key=lambda s: s[1] / s[0])
+        text_ratio, mark_ratio = ((1 - smooth) * x / n + smooth * y / all_n for x, y in ((chars, all_chars), (marks, all_marks)))
+        out[path] = name_factor(path) * _fused(text_ratio, mark_ratio, links / chars)
+    return out, best
 
 
 def main_text(page: str | None) -> str:
     """The page's main text; empty if there is none."""
     blocks = blocks_of(page or "")
-    scores = path_scores(blocks)
-    if not scores:
-        return ""
-    best = max(scores, key=lambda p: (scores[p][0], p))
-    semantic = [i for i, label in enumerate(best) if label[-1] == "+"]
-    root = best[: semantic[0] + 1] if semantic else best[:-1]
-
-    def kept(path: tuple[str, ...]) -> bool:
-        if path not in scores:
-            return False
-        score, links = scores[path]
-        if links > MENU_LINKS and any(label.rstrip("+") in ("ul", "ol", "li", "div", "td") for label in path[len(root) :]):
-            return False
-        inside = path[: len(root)] == root
-        if semantic:
-            return inside
-        return score >= THRESHOLD * scores[best][0] or inside and len(root) > 2
-    return " ".join(text for path, text, _ in blocks if kept(path))
+    scores, best = path_scores(blocks)
+    return " ".join(text for path, text, _ in blocks if path in scores and scores[path] >= THRESHOLD * best)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -64,11 +64,41 @@ def test_kth_largest(spark):
     ("<html><body><nav><a href=x>Home</a></nav><div class=ad>Buy, now. Please.</div><article><h1>T</h1><p><b>One.<br><p>Two  three.</p><ul><li>x</li></ul></article><footer>&copy; f</footer>", "T One. Two three. x"),
     ("<body><div id=main class='post has-sidebar'><h2>H</h2><p>Long, long text. More text here.</p><div class=comments><p>first!</p></div></div><div class=sidebar>links, and. more</div><form>q</form>", "H Long, long text. More text here."),
     ("<main><p>kept text, here.</p><aside>no</aside><script>var x='</p>'</script></main>", "kept text, here."),
+    ('<article><p title="a hidden gem">Text, here.</p><div data-state="hidden"><p>Text of like length.</p></div></article>', "Text, here. Text of like length."),
+    ('<div class="content-with-sidebar"><article><p>Text of some length, here.</p></article></div><div class="sidebar"><p>Not this. Nor that, no.</p></div>', "Text of some length, here."),
+    ("<article><header><h1>Title</h1></header><div class=x><p>Text of some length, here. It goes on, and on.</p><p>Another one, of like length, follows.</p></div><div class=y><p>Buy it</p></div></article>",
+     "Title Text of some length, here. It goes on, and on. Another one, of like length, follows."),
+    ("<div role=navigation><p>Not, this. Not, that.</p></div><div><p>Text.</p></div>", "Text."), ("<article><header><h1>A</h1></header><p>b.</p></article><header>x</header>", "A b."),
 ])
 def test_html(page, want):
     assert html_extract.main_text(page) == want
 
 
+def test_html_needs_no_names():
+    """Ratios alone tell an article's sections from short ones beside it, whatever their names."""
+    r = random.Random(8)
+    sentence = lambda: " ".join(r.choice("aeiou") * r.randint(1, 9) for _ in range(12)) + "."
+    for _ in range(50):
+        name = lambda: "".join(r.choices("qxz", k=5))
+        paragraphs = [" ".join(sentence() for _ in range(r.randint(2, 5))) for _ in range(6)]
+        page = f'<body><div class="{name()}1">Short notice.</div><div class="{name()}2"><h1>Title</h1>' + "".join(f"<p>{p}</p>" for p in paragraphs) + f'<ul><li>item</ul></div><div class="{name()}3">Buy now</div>'
+        assert html_extract.main_text(page) == " ".join(["Title", *paragraphs, "item"])
+
+
+def test_html_scores_by_brute_force():
+    page = "<body><div class=a><h2>Head, line</h2><p>One, two. <a href=x>three</a></p><p>Four!</p></div><div class=b><p>Five</p></div><div class=ads><p>Six, six. Six, six.</p></div>"
+    blocks = [("body", "div.a|", "h2"), ("body", "div.a|", "p"), ("body", "div.a|", "p"), ("body", "div.b|", "p"), ("body", "div.ads|~", "p")]
+    texts, links = ["Head, line", "One, two. three", "Four!", "Five", "Six, six. Six, six."], [0, 5, 0, 0, 0]
+    assert html_extract.blocks_of(page) == list(zip(blocks, texts, links, strict=True))
+    marks = [len(re.findall("[.,!]", t)) for t in texts]
+    mean = lambda xs: sum(xs) / len(xs)
+    fuse = lambda t, m, link: (1 - link) * math.sqrt(t * (1 + m))
+    scores, best = html_extract.path_scores(blocks and html_extract.blocks_of(page))
+    assert best == pytest.approx(fuse(mean([10, 15, 5]), mean(marks[:3]), 5 / 30))
+    want = {blocks[1]: fuse((10 + 25 / 3) / 2, (mean(marks[1:3]) + mean(marks[:3])) / 2, 5 / 20), blocks[3]: fuse(4, 0, 0), blocks[4]: 0.1 * fuse(19, 4, 0), blocks[0]: fuse(25 / 3, mean(marks[:3]), 0)}
+    assert scores == {k: pytest.approx(v) for k, v in want.items()}
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>" + "word " * 50_000, "t"), (1, None, None, None)], "page_id long, url string, html string, text string")
     got = {r.url: (r.n_chars, len(r.text)) for r in html_extract.extract_main_text(df).collect()}
