@@ -120,6 +120,31 @@ def test_sharding(docs, rows):
     assert {r.shard for r in sharding.kd_shards(docs, target_bytes=10**9).collect()} == {0}
 
 
+def test_many_shards(spark):
+    """2,000 shards of 30,000 rows: none empty, every group of copies whole, and none further from the mean than its splits allow."""
+    df = spark.range(30_000).selectExpr("id doc_id", "repeat('x', cast(pmod(xxhash64(id div 2), 97) as int)) || (id div 2) text", "'common-crawl-' || id % 7 source", "cast(null as string) lang")
+    got = sharding.kd_shards(df, n_shards=2000).collect()
+    size, groups = collections.Counter(), collections.defaultdict(set)
+    for r in got:
+        size[r.shard] += r.size
+        groups[r.doc_id // 2].add(r.shard)
+    mean, most = sum(size.values()) / 2000, 2 * max(r.size for r in got)
+    assert len(got) == 30_000 and len(size) == 2000 and all(len(x) == 1 for x in groups.values())
+    assert all(abs(v - mean) <= most for v in size.values())
+
+
+def test_medians_by_brute_force(spark):
+    """Two shards: the boundary of the widest dimension's order that lies next to half of the bytes."""
+    r = random.Random(4)
+    rows = [(i, "t" * r.randint(1, 60) + str(i), f"long-common-prefix-{r.randint(0, 40):02}", "en") for i in range(300)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), n_shards=2).collect()
+    size = {i: len(t) + 1 for i, t, _, _ in rows}
+    left, total = {x.doc_id for x in got if x.shard == 0}, sum(size.values())
+    sources = {i: s for i, _, s, _ in rows}
+    assert max(sources[i] for i in left) <= min(sources[i] for i in size if i not in left)
+    assert abs(sum(size[i] for i in left) - total / 2) <= max(size.values()) / 2
+
+
 def test_hot_text_is_spread_evenly(spark):
     df = spark.range(4000).selectExpr("id doc_id", "case when id % 3 > 0 then 'hot text' else concat('t', id) end text", "'s' source", "'en' lang")
     got = sharding.kd_shards(df, n_shards=8).groupBy("shard").agg(F.sum("size").alias("b")).collect()
@@ -187,10 +212,10 @@ def test_brown_scores(docs, rows):
             c.update(w)
     n, v = sum(c.values()), len(c)
     want = sorted((str(i), len(w), sum(c[x] > 0 for x in w), round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)) for i, w in toks)
-    scored = brown_lm.score_texts(docs, head=64, clustered=32, rounds=2).collect()
+    scored = brown_lm.score_texts(docs, head=64, paired=32, rounds=3).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in scored) == want
     assert {r.train_tokens for r in scored} == {n} and all(r.score < 0 for r in scored)
-    assert brown_lm.score_texts(docs.limit(0), head=8, clustered=4, rounds=1).count() == 0
+    assert brown_lm.score_texts(docs.limit(0), head=8, paired=4, rounds=1).count() == 0
 
 
 def test_quality_rules(docs, rows, labels):
