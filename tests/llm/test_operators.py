@@ -218,6 +218,63 @@ def test_brown_scores(docs, rows):
     assert brown_lm.score_texts(docs.limit(0), head=8, paired=4, rounds=1).count() == 0
 
 
+def test_brown_exchange_raises_information():
+    """Alternating words end in alternating classes; no round lowers the objective; the tables stay consistent."""
+    rng = np.random.default_rng(1)
+    k, n = 12, 3
+    group = np.append([0, 1, 1, 0, 0, 0, 1, 0, 1, 1, 1, 0], [2, 2])
+    pairs = np.where(group[:, None] != group, rng.integers(50, 60, (k + 2, k + 2)), rng.integers(0, 2, (k + 2, k + 2))).astype(float)
+    classes, table, course = brown_lm.exchange_clusters(pairs, k, n, 20)
+    assert all(a <= b + 1e-6 for a, b in zip(course, course[1:])) and course[-1] > course[0]
+    want = np.zeros((n + 2, n + 2))
+    np.add.at(want, (classes[:, None], classes), pairs)
+    assert np.allclose(table, want)
+    for w in range(k):  # no single move is better
+        for c in range(n):
+            other = classes.copy()
+            other[w] = c
+            t = np.zeros_like(want)
+            np.add.at(t, (other[:, None], other), pairs)
+            assert brown_lm.information(t) <= course[-1] + 1e-6
+    assert not {classes[w] for w in range(k) if group[w] == 0} & {classes[w] for w in range(k) if group[w] == 1}
+
+
+def test_brown_probabilities_sum_to_one():
+    rng = np.random.default_rng(2)
+    tokens, sizes = rng.integers(0, 50, 9).astype(float), rng.integers(0, 9, 9).astype(float)
+    brackets = brown_lm.class_model(rng.integers(0, 30, (9, 9)).astype(float), tokens, sizes, int(tokens.sum()), int(sizes.sum()))
+    # every class: its words' counts plus one each, and one unknown word
+    assert np.allclose((10**brackets * (tokens + sizes + 1)).sum(axis=1), 1)
+
+
+def test_brown_score_by_brute_force(spark):
+    """The score of every text from the classes up: no bucket has enough neighbours, so words outside the paired ones are rare."""
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choices("abcdefgh", k=r.randint(0, 12)) + [f"z{i}"])) for i in range(60)]
+    got = {x.doc_id: x for x in brown_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), head=8, paired=8).collect()}
+    train = [t.split() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(w for t in train for w in t)
+    names = sorted("abcdefgh", key=lambda w: (-c[w], w))
+    unit = lambda w: names.index(w) if w in names else 9
+    pairs = np.zeros((10, 10))
+    for t in train:
+        path = [8, *map(unit, t), 8]
+        np.add.at(pairs, (path[:-1], path[1:]), 1)
+    n_classes = round((len(c)) ** (1 / 3))
+    classes, table, _ = brown_lm.exchange_clusters(pairs, 8, n_classes)
+    tokens, sizes = np.zeros(n_classes + 2), np.zeros(n_classes + 2)
+    for w, n in [*c.items(), (None, len(train))]:
+        k = n_classes if w is None else classes[unit(w)]
+        tokens[k] += n
+        sizes[k] += 1
+    brackets = brown_lm.class_model(table, tokens, sizes, int(tokens.sum()), int(sizes.sum()))
+    for i, t in rows:
+        path = [n_classes, *(classes[unit(w)] for w in t.split()), n_classes]
+        want = sum(math.log10(c[w] + 1) for w in t.split()) + math.log10(len(train) + 1) + brackets[path[:-1], path[1:]].sum()
+        assert got[i].score == pytest.approx(want)
+        assert got[i].perplexity == pytest.approx(10 ** (-want / len(path[1:])))
+
+
 def test_quality_rules(docs, rows, labels):
     got = quality_rules.quality(docs, labels, buckets=256).collect()
     want = []
