@@ -1,70 +1,61 @@
 """Quality classifier by importance resampling with hashed n-gram models.
 
-Two bags of hashed token unigrams and bigrams are counted: one over every document (raw), one
-over trusted documents (target: rows labelled of quality and not toxic; at most MAX_TARGET of them, drawn by hash).
-A document's log importance weight is the log ratio of its probability under the two
-multinomials. Neighbouring n-grams depend on each other, so a text counts as EFFECTIVE n-grams at
-most. A few toxic words would drown in that mean. So n-grams that labelled toxic rows hold far
-more often than trusted rows do (at least MARK_TIMES as often, MARK_Z standard errors apart) are
-marked: each that a text holds adds its log ratio once, unscaled, down to -MARK_LEAST.
-
-Inflected toxic words are too rare one by one. So the same is learnt of their character n-grams:
-a bucket is marked by its occurrences a word in labelled toxic and trusted rows, each word counts its
-most telling marked n-gram, and a text's sum, less what its length alone explains, is its evidence.
-Evidence above the cut counts in full. The cut is set on labels held out from the marks it judges
-(two folds, each judged by the other's marks); the final marks come from all labelled rows.
-Documents are drawn without replacement by Gumbel top-k: hash-seeded Gumbel noise is added to the weight and the k largest
-are kept, k being the number of documents whose probability of being target is at least
-MIN_POSTERIOR, by the weight and the labels' share of trusted rows. The k-th largest value is found exactly by narrowing histograms, so nothing is sorted in one place.
+Three generative models of a text:
+
+* raw: a multinomial over hashed token unigrams and bigrams, counted over every document;
+* target: the same over trusted documents (labelled of quality and not toxic; at most MAX_TARGET, drawn by hash);
+* toxic: the target model, tilted where labelled toxic rows hold a word far more often
+  (`quality_rules.toxic_model`: words and their first letters, counted once per following word, so copies carry no weight).
+
+The corpus is taken for a mixture of raw and toxic text, toxic with its share of the labelled rows.
+A document's log importance weight is the log ratio of its probability as target to that as
+corpus. Neighbouring n-grams depend on each other: with a correlation of CORRELATION between any
+two of a text, n of them say as much as n / (1 + (n - 1) * CORRELATION) independent ones.
+
+Documents are drawn without replacement by Gumbel top-k: hash-seeded Gumbel noise is added to
+the log weight and the k largest are kept. k is a budget: given, or the expected number of target
+documents, which is the sum over all documents of the probability of being trusted, a logistic function
+of the log weight that is fit on labelled rows (at most MAX_TARGET of each kind), each weighed by a model
+whose target lacks its half of the texts. The k-th largest
+value is found exactly by narrowing histograms, so nothing is sorted in one place.
 
 Defined results: a null or token-free text has weight 0 and is never kept; rows with equal (id,
 text) get equal noise and verdict; values that tie with the k-th are kept; with no labels
-every weight is zero and every text with tokens is kept; an empty table gives an empty
-result.
+every weight is zero, and unless k is given every text with tokens is kept, as where labels are of one kind;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kth_largest, plain, text_of, written
+from .common import fresh, kth_largest, plain, text_of, written
+from .quality_rules import STEM, TOXIC_WORD, toxic_model
 
 #: Hash buckets of the unigrams, and as many of the bigrams.
 BUCKETS = 1 << 16
-#: Trusted rows that the target model is fit on, at most.
+#: Labelled rows of a kind that the target model and the budget are fit on, at most.
 MAX_TARGET = 50_000
-#: Pseudo-count of every bucket, in target counts.
+#: Pseudo-count of every bucket, in target counts: rare words that the target happens to lack weigh little.
 SMOOTHING = 5.0
-#: n-grams of a text that count as independent: longer texts' log ratios are scaled down to so many.
-EFFECTIVE = 50
-
-#: When an n-gram is marked as toxic: so many times the trusted rows' share, and so many standard errors above it.
-MARK_TIMES, MARK_Z = 30, 5.0
-#: Pseudo-count of a marked n-gram's ratio, and how far below zero it goes, so that one of them alone rejects nothing.
-MARK_SMOOTHING, MARK_LEAST = 0.5, 4.0
-#: Labelled toxic rows that marks are learnt from, at most.
-MAX_TOXIC = 50_000
-
-#: Character n-grams of words: lengths, inner and at the word's start apart, and their hash buckets.
-GRAM_SIZES = (4, 5, 6)
-GRAM_BITS = 18
-#: When a character n-gram is marked: so many times the trusted rows' share of words; MARK_Z holds too.
-GRAM_TIMES = 5
-#: Share of held-out trusted rows whose evidence may lie above the cut.
-GRAM_ERROR = 0.001
-
-#: Documents are counted into k from this probability of being target on: junk lies many orders of magnitude below.
-MIN_POSTERIOR = 0.005
+#: Correlation between two n-grams of a text.
+CORRELATION = 0.02
 _TRUSTED = "quality = 1 and toxic = 0"
+_OTHER = "quality = 0 or toxic = 1"
 _TOKEN = re.compile(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\s]+")
 
+#: Log ratios per bucket (target to raw; toxic to target) and the share of toxic text.
+Model = tuple[np.ndarray, np.ndarray, float]
+
 
 def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     """Bucket numbers of a text's unigrams (from 0) and bigrams (from buckets on)."""
@@ -74,28 +65,24 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     return np.concatenate((h % np.uint64(buckets), np.uint64(buckets) + pairs % np.uint64(buckets))).astype(np.int64)
 
 
-_WORD_CODES = np.array([chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz_" for c in range(128)] + [True])
+class _WordBuckets(dict):
+    """Buckets of a lower-case word and of its first letters in the toxic model: the engine's XXH64, cut to the model's (a power of two) buckets."""
 
+    def __init__(self, buckets: int) -> None:
+        super().__init__()
+        self.mask = buckets - 1
 
-def grams(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bucket and word number of every character n-gram that lies in one word, and the number of words."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = _WORD_CODES[np.minimum(codes, 128)]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    word = np.cumsum(first, dtype=np.int32)
-    h, ok, buckets, words = codes.astype(np.uint64), inside, [], []
-    for n in range(2, max(GRAM_SIZES) + 1):
-        if len(codes) < n:
-            break
-        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
-        ok = ok[:-1] & inside[n - 1 :]
-        if n in GRAM_SIZES:
-            for at, salt in ((np.flatnonzero(ok), 0), (np.flatnonzero(ok & first[: len(ok)]), 0x5851F42D4C957F2D)):
-                buckets.append(((h[at] + np.uint64(salt + n)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
-                words.append(word[at])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(buckets or [none]), np.concatenate(words or [none]), int(first.sum())
+    def __missing__(self, word: str) -> tuple[int, int]:
+        at = tuple(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) & self.mask for x in (word, "^" + word[:STEM]))
+        if len(self) < 200_000:
+            self[word] = at
+        return at
+
+
+def toxic_evidence(text: str | None, toxic: np.ndarray, at: _WordBuckets) -> float:
+    """Log ratio of a text's probability as toxic to that as target."""
+    words = (text or "").lower().split()
+    return float(toxic[np.array(list(map(at.__getitem__, words)))].max(axis=1).sum()) - TOXIC_WORD * len(words) if words else 0.0
 
 
 def labelled_ids(labels: DataFrame, rule: str, limit: int, id_col: str = "doc_id") -> DataFrame:
@@ -109,104 +96,13 @@ def _ratio(target: np.ndarray, raw: np.ndarray, smoothing: float) -> np.ndarray:
     return np.log(target + smoothing) - np.log(raw * (target.sum() / max(raw.sum(), 1.0)) + smoothing)
 
 
-def _marks(trusted: np.ndarray, toxic: np.ndarray, n_trusted: int, n_toxic: int) -> np.ndarray:
-    """Whether toxic rows hold an n-gram far more often than trusted rows; counts are of rows."""
-    if not n_trusted or not n_toxic:
-        return np.zeros(len(trusted), bool)
-    p, q = trusted / n_trusted, toxic / n_toxic
-    pooled = (trusted + toxic) / (n_trusted + n_toxic)
-    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_trusted + 1 / n_toxic))
-    return (q - p >= MARK_Z * error) & (q >= MARK_TIMES * (p + 0.25 / n_trusted))
-
-
-def labelled(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
-    """text, label (1 trusted, 2 toxic, else 0) and fold of every document."""
-    # at most `limit` and MAX_TOXIC ids, so small enough to broadcast; a row with both labels is toxic
-    known = labelled_ids(labels, _TRUSTED, limit).withColumn("label", F.lit(1)).unionByName(labelled_ids(labels, "toxic = 1", MAX_TOXIC).withColumn("label", F.lit(2)))
-    known = F.broadcast(known.groupBy("doc_id").agg(F.max("label").alias("label")))
-    docs = documents.select(plain(id_col).alias("doc_id"), plain(text_col).alias("text")).join(known, "doc_id", "left")
-    # folds by text, so that copies are not judged by marks learnt from them
-    return docs.select("text", F.coalesce("label", F.lit(0)).alias("label"), F.pmod(F.xxhash64(text_of("text"), F.lit(7)), F.lit(2)).cast("int").alias("fold"))
-
-
-def _gram_marks(occurrences: np.ndarray, rows: np.ndarray, n_words: np.ndarray, n_rows: np.ndarray) -> np.ndarray:
-    """Log ratio, toxic to trusted, of marked buckets, else 0. All arguments: trusted first, then toxic."""
-    if not n_rows.all():
-        return np.zeros(occurrences.shape[1])
-    p, q = (occurrences + 0.5) / n_words[:, None]
-    share = rows / n_rows[:, None]
-    pooled = rows.sum(axis=0) / n_rows.sum()
-    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_rows).sum())
-    return np.where((q >= GRAM_TIMES * p) & (share[1] - share[0] >= MARK_Z * error), np.log(q / p), 0.0)
-
-
-def gram_sum(text: str | None, marks: np.ndarray) -> tuple[float, int, int]:
-    """Sum over a text's words of their most telling marked n-gram, words with one, and words."""
-    at, word, n = grams(text)
-    values = marks[at]
-    hot = np.flatnonzero(values)
-    most: dict[int, float] = {}
-    for w, v in zip(word[hot].tolist(), values[hot].tolist(), strict=True):
-        most[w] = max(most.get(w, 0.0), v)
-    return sum(most.values()), len(most), n
-
-
-def gram_model(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_TARGET) -> tuple[np.ndarray, float, float]:
-    """Marks of the character n-grams, evidence that a word of any text takes off, and the cut."""
-    size = 1 << GRAM_BITS
-    known = labelled(documents, labels, id_col, text_col, limit).where("label > 0")
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = np.zeros((2, 4, size + 1), np.int64)  # occurrences and rows, by fold and label; the last bucket counts words and rows
-        for b in batches:
-            for text, label, fold in zip(b["text"], b["label"], b["fold"], strict=True):
-                at, _, n = grams(text)
-                k = 2 * fold + label - 1
-                found[0, k] += np.bincount(at, minlength=size + 1)
-                found[1, k, np.unique(at)] += 1
-                found[:, k, -1] += n, 1
-        at = np.flatnonzero(found.sum(axis=(0, 1)))
-        yield pd.DataFrame({"bucket": at.astype(np.int32)} | {f"{x}{k}": found[i, k, at] for i, x in enumerate("or") for k in range(4)})
-
-    names = [f"{x}{k}" for x in "or" for k in range(4)]
-    sums = known.mapInPandas(count, "bucket int, " + ", ".join(f"{c} long" for c in names)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
-    counts = np.zeros((2, 4, size + 1))
-    # buckets that some toxic row holds, and the totals; a row per bucket at most
-    for r in sums.where(f"r1 + r3 > 0 or bucket = {size}").collect():
-        counts[:, :, r.bucket] = np.reshape(r[1:], (2, 4))
-    by_fold = counts.reshape(2, 2, 2, size + 1)  # what, fold, label, bucket
-
-    def marks_of(c: np.ndarray) -> np.ndarray:
-        return _gram_marks(c[0, :, :-1], c[1, :, :-1], np.maximum(c[0, :, -1], 1), c[1, :, -1])
-
-    marks, folds = marks_of(by_fold.sum(axis=1)), [marks_of(by_fold[:, f]) for f in (0, 1)]
-    if not marks.any():
-        return marks, 0.0, 0.0
-    shared = documents.sparkSession.sparkContext.broadcast(folds)
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [gram_sum(t, shared.value[1 - f]) for t, f in zip(b["text"], b["fold"], strict=True)]
-            yield pd.DataFrame({"label": b["label"].to_numpy(), "evidence": [x[0] for x in found], "hits": [x[1] for x in found], "n": [x[2] for x in found]})
-
-    held = written(known.mapInPandas(judge, "label int, evidence double, hits long, n long"), "heldout")
-    rate = {r.label: r.hits / max(r.n, 1) for r in held.groupBy("label").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()}
-    per_word = max(0.0, rate.get(2, 0.0) - rate.get(1, 0.0))
-    trusted = held.where("label = 1").select((F.col("evidence") - per_word * F.col("n")).alias("v"))
-    cut = kth_largest(trusted, int(GRAM_ERROR * by_fold[1, :, 0, -1].sum()) + 1)
-    return marks, per_word, max(0.0, cut) if np.isfinite(cut) else 0.0
-
-
-def gram_weight(text: str | None, model: tuple[np.ndarray, float, float]) -> float:
-    """What a text's character n-grams add to its weight: the evidence against it if above the cut, in full."""
-    marks, per_word, cut = model
-    total, _, n = gram_sum(text, marks)
-    evidence = total - per_word * n
-    return -evidence if evidence > cut else 0.0
+def _fold(text: Column) -> Column:
+    """Half of the texts, by hash, so that copies are in one half."""
+    return F.pmod(F.xxhash64(text_of(text), F.lit(7)), F.lit(2)).cast("int")
 
 
 def log_ratios(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, limit: int = MAX_TARGET) -> np.ndarray:
-    """Two rows: the log ratio of target to raw probability per bucket, and that of marked buckets (else 0).
+    """The log ratio of target to raw probability per bucket. Two more rows: the same without the trusted rows of either fold.
 
     Counts come from every document. Raw counts are scaled to the target's total and both get
     the same pseudo-count, so a bucket says as much as it has seen: rare words that the target
@@ -214,51 +110,55 @@ def log_ratios(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, target, trusted_rows, toxic_rows = np.zeros((4, 2 * buckets + 1), np.int64)  # the last bucket counts the rows
+        counts = np.zeros((3, 2 * buckets), np.int64)  # raw, target by fold
         for b in batches:
-            for text, label in zip(b["text"], b["label"], strict=True):
-                at = features(text, buckets)
-                np.add.at(raw, at, 1)
-                if label == 1:
-                    np.add.at(target, at, 1)
-                if label:
-                    rows = trusted_rows if label == 1 else toxic_rows
-                    rows[np.unique(at)] += 1
-                    rows[-1] += 1
-        at = np.flatnonzero(raw + trusted_rows + toxic_rows)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "raw": raw[at], "target": target[at], "trusted": trusted_rows[at], "toxic": toxic_rows[at]})
-
-    docs = labelled(documents, labels, id_col, text_col, limit).select("text", "label")
-    names = ("raw", "target", "trusted", "toxic")
-    sums = docs.mapInPandas(count, "bucket int, raw long, target long, trusted long, toxic long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
-    counts = np.zeros((4, 2 * buckets + 1))
+            for text, fold in zip(b["text"], b["fold"], strict=True):
+                found = features(text, buckets)
+                np.add.at(counts[0], found, 1)
+                if fold >= 0:
+                    np.add.at(counts[1 + fold], found, 1)
+        at = np.flatnonzero(counts[0])
+        yield pd.DataFrame({"bucket": at.astype(np.int32)} | {c: counts[i, at] for i, c in enumerate(names)})
+
+    names = ("raw", "target0", "target1")
+    # at most `limit` ids, so small enough to broadcast
+    trusted = F.broadcast(labelled_ids(labels, _TRUSTED, limit).withColumn("trusted", F.lit(1)))
+    docs = documents.select(plain(id_col).alias("doc_id"), plain(text_col).alias("text")).join(trusted, "doc_id", "left").select("text", F.when(F.col("trusted") == 1, _fold(F.col("text"))).otherwise(-1).alias("fold"))
+    sums = docs.mapInPandas(count, "bucket int, raw long, target0 long, target1 long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
+    counts = np.zeros((3, 2 * buckets))
     for r in sums.collect():  # a row per bucket
-        counts[:, r.bucket] = r.raw, r.target, r.trusted, r.toxic
-    (n_trusted, n_toxic), (raw, target, trusted, toxic) = counts[2:, -1], counts[:, :-1]
-    marked = _marks(trusted, toxic, int(n_trusted), int(n_toxic))
-    out = np.zeros((2, 2 * buckets))
-    for part in (slice(0, buckets), slice(buckets, None)):
-        out[0, part] = _ratio(target[part], raw[part], smoothing)
-        out[1, part] = np.where(marked[part], np.clip(_ratio(target[part], raw[part], MARK_SMOOTHING), -MARK_LEAST, 0.0), 0.0)
-    return out
+        counts[:, r.bucket] = r[1:]
+    targets = np.stack((counts[1] + counts[2], counts[2], counts[1]))
+    return np.stack([np.concatenate([_ratio(t[part], counts[0, part], smoothing) for part in (slice(0, buckets), slice(buckets, None))]) for t in targets])
+
 
+def fit_model(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_TARGET, **options) -> list[Model]:
+    """The model, and for either fold of the texts one whose target has no row of that fold."""
+    ratios = log_ratios(documents, labels, id_col, text_col, limit=limit, **options)
+    toxic = np.array(toxic_model(documents, labels, id_col, text_col, limit=limit).first()[0])
+    known = labels.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("toxic"), F.count("toxic").alias("n")).first()
+    return [(r, toxic, (known.toxic + 1) / (known.n + 2) if toxic.any() else 0.0) for r in ratios]
 
-def weight_of(at: np.ndarray, ratios: np.ndarray, effective: int = EFFECTIVE) -> float:
-    """Log importance weight of a text's features."""
-    return float(ratios[0][at].sum()) * min(1.0, effective / max(len(at), 1)) + float(ratios[1][np.unique(at)].sum())
 
+def weight_of(at: np.ndarray, evidence: float, model: Model) -> float:
+    """Log importance weight of a text's features and toxic evidence."""
+    ratios, _, share = model
+    independent = 1 + max(len(at) - 1, 0) * CORRELATION
+    to_raw = float(ratios[at].sum()) / independent
+    return to_raw if not share else -float(np.logaddexp(math.log(1 - share) - to_raw, math.log(share) + evidence))
 
-def with_weight(df: DataFrame, ratios: np.ndarray, toxic: tuple[np.ndarray, float, float], text_col: str = "text", to: str = "__weight", effective: int = EFFECTIVE) -> DataFrame:
+
+def with_weight(df: DataFrame, model: Model, text_col: str, to: str) -> DataFrame:
     """df with a struct column: weight (log importance weight) and n (features)."""
-    model = df.sparkSession.sparkContext.broadcast((ratios, toxic))
-    marked = toxic[0].any()
-    buckets = ratios.shape[1] // 2
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    buckets, toxic_buckets = len(model[0]) // 2, len(model[1])
 
     @F.pandas_udf("weight double, n long")
     def run(texts: pd.Series) -> pd.DataFrame:
+        model, at = shared.value, _WordBuckets(toxic_buckets)
         found = [features(t, buckets) for t in texts]
-        more = [gram_weight(t, model.value[1]) if marked else 0.0 for t in texts]
-        return pd.DataFrame({"weight": [weight_of(f, model.value[0], effective) + m for f, m in zip(found, more, strict=True)], "n": [len(f) for f in found]})
+        evidence = [toxic_evidence(t, model[1], at) if model[2] else 0.0 for t in texts]
+        return pd.DataFrame({"weight": [weight_of(f, e, model) if len(f) else 0.0 for f, e in zip(found, evidence, strict=True)], "n": [len(f) for f in found]})
 
     return df.withColumn(to, run(plain(text_col)))
 
@@ -269,33 +169,67 @@ def gumbel(id_col: str, text_col: str, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def prior(labels: DataFrame) -> float:
-    """Share of labelled rows that are trusted, with one of each added."""
-    r = labels.where("quality is not null").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.expr(_TRUSTED), 1).otherwise(0)).alias("good")).first()
-    return ((r.good or 0) + 1) / (r.n + 2)
-
-
-def _cut(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed: int, options: dict) -> tuple[np.ndarray, tuple[np.ndarray, float, float], float, DataFrame]:
-    ratios = log_ratios(documents, labels, id_col, text_col, **options)
-    toxic = gram_model(documents, labels, id_col, text_col, options.get("limit", MAX_TARGET))
+def fit_logistic(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
+    """a, b of the probability 1 / (1 + exp(-a - b * x)) for counts of good and bad rows at x, with one row of each added to either kind."""
+    high, low = (good.sum() + 1) / (good.sum() + 2), 1 / (bad.sum() + 2)
+    n, wanted = good + bad, good * high + bad * low
+    beta = np.array([math.log((good.sum() + 1) / (bad.sum() + 1)), 0.0])
+    design = np.stack((np.ones(len(x)), x))
+
+    def loss(beta: np.ndarray) -> float:
+        z = beta @ design
+        return float((n * np.logaddexp(0, z) - wanted * z).sum())
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(beta @ design, -500, 500)))
+        step = np.linalg.solve((design * (n * p * (1 - p))) @ design.T + 1e-9 * np.eye(2), design @ (wanted - n * p))
+        size = 1.0
+        while size > 1e-6 and loss(beta + size * step) > loss(beta):
+            size /= 2
+        beta = beta + size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return float(beta[0]), float(beta[1])
+
+
+def budget_curve(documents: DataFrame, labels: DataFrame, models: list[Model], id_col: str, text_col: str, limit: int) -> tuple[float, float] | None:
+    """a, b of the probability of being trusted, from labelled rows weighed by the models that did not see them; None if labels are of one kind."""
+    known = labelled_ids(labels, _TRUSTED, limit).withColumn("good", F.lit(1)).unionByName(labelled_ids(labels, _OTHER, limit).withColumn("good", F.lit(0)))
+    rows = documents.select(plain(id_col).alias("doc_id"), plain(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("text", "good", _fold(F.col("text")).alias("fold"))
+    x, good, bad = [], [], []
+    for i, model in enumerate(models[1:]):
+        w = with_weight(rows.where(F.col("fold") == i), model, "text", "w").where("w.n > 0")
+        tenth = F.round(F.greatest(F.least(F.col("w.weight"), F.lit(300.0)), F.lit(-300.0)), 1).alias("x")  # 6,001 values at most
+        for r in w.groupBy(tenth).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).collect():
+            x.append(r.x)
+            good.append(r.good)
+            bad.append(r.bad)
+    return fit_logistic(np.array(x), np.array(good, float), np.array(bad, float)) if sum(good) and sum(bad) else None
+
+
+def _cut(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed: int, k: int | None, options: dict) -> tuple[Model, float, DataFrame]:
+    models = fit_model(documents, labels, id_col, text_col, **options)
     docs = documents.select(plain(id_col).alias("doc_id"), plain(text_col).alias("text"))
-    scored = written(
-        with_weight(docs, ratios, toxic).select("doc_id", F.col("__weight.weight").alias("weight"), F.col("__weight.n").alias("n_features"), (F.col("__weight.weight") + gumbel("doc_id", "text", seed)).alias("v")), "weights"
-    )
+    weighed = with_weight(docs, models[0], "text", "w").select("doc_id", F.col("w.weight").alias("weight"), F.col("w.n").alias("n_features"), (F.col("w.weight") + gumbel("doc_id", "text", seed)).alias("v"))
+    scored = written(weighed, "weights")
     able = scored.where("n_features > 0")
-    k = able.where(F.col("weight") > float(np.log(MIN_POSTERIOR / prior(labels)))).count()
-    return ratios, toxic, kth_largest(able.select("v"), k), scored
+    if k is None:
+        curve, each = budget_curve(documents, labels, models, id_col, text_col, options.get("limit", MAX_TARGET)), F.lit(1.0)
+        if curve:
+            each = 1 / (1 + F.exp(F.greatest(F.least(-F.lit(curve[0]) - F.lit(curve[1]) * F.col("weight"), F.lit(500.0)), F.lit(-500.0))))
+        k = round(able.agg(F.sum(each)).first()[0] or 0)
+    return models[0], kth_largest(able.select("v"), k), scored
 
 
-def resample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 10, **options) -> DataFrame:
+def resample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 10, k: int | None = None, **options) -> DataFrame:
     """A row per document: doc_id, n_features, log_weight, kept."""
-    _, _, cut, scored = _cut(documents, labels, id_col, text_col, seed, options)
+    _, cut, scored = _cut(documents, labels, id_col, text_col, seed, k, options)
     return scored.select("doc_id", "n_features", F.col("weight").alias("log_weight"), ((F.col("n_features") > 0) & (F.col("v") >= cut)).alias("kept"))
 
 
-def resampled_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 10, **options) -> DataFrame:
+def resampled_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 10, k: int | None = None, **options) -> DataFrame:
     """The kept documents with their columns; weights are computed again in place of a shuffle of texts."""
-    ratios, toxic, cut, _ = _cut(documents, labels, id_col, text_col, seed, options)
-    scored = with_weight(documents, ratios, toxic, text_col)
-    value = F.col("__weight.weight") + gumbel(id_col, text_col, seed)
-    return scored.where((F.col("__weight.n") > 0) & (value >= F.lit(cut))).select(*[plain(c) for c in documents.columns])
+    model, cut, _ = _cut(documents, labels, id_col, text_col, seed, k, options)
+    to = fresh(documents, "weighed")
+    scored = with_weight(documents, model, text_col, to)
+    return scored.where((F.col(f"{to}.n") > 0) & (F.col(f"{to}.weight") + gumbel(id_col, text_col, seed) >= F.lit(cut))).select(*[plain(c) for c in documents.columns])

@@ -6,9 +6,10 @@ by hash). Hashes are the engine's XXH64. A document's score is the sum of its n-
 ratios, target to raw, divided by their number; it is held against a fixed threshold.
 
 A few toxic words would drown in that mean, so a second pair of multinomials tells them apart:
-lower-case words of labelled toxic rows (at most MAX_TOXIC) against those of trusted rows, a
-word counted once per following word. Only buckets that toxic rows hold far more often
-(MARK_TIMES as often, MARK_Z standard errors apart) have a ratio, all others are alike. A document's toxic score is the sum of its words' ratios less TOXIC_WORD for
+lower-case words, and words' first letters, of labelled toxic rows (at most MAX_TOXIC) against those of
+trusted rows, each counted once per following word. Only buckets that toxic rows hold far more often
+(MARK_TIMES as often, MARK_Z standard errors apart) have a ratio, all others are alike. A document's
+toxic score is the sum of its words' ratios (the larger of a word's two) less TOXIC_WORD for
 every word, so that length alone proves nothing; above TOXIC_THRESHOLD the document is not kept.
 
 The models are arrays of fixed size, handed to the tasks as scalar subqueries. A document's words
@@ -28,8 +29,9 @@ from .common import plain, text_of, words, written
 
 #: Hash buckets of the unigrams, and as many of the bigrams.
 BUCKETS = 1 << 16
-#: Hash buckets of the lower-case words of the toxic model.
+#: Hash buckets of the lower-case words, and their first letters, of the toxic model.
 TOXIC_BUCKETS = 1 << 18
+STEM = 5
 #: Trusted rows that the target model is fit on, and toxic rows that the toxic model is fit on, at most.
 MAX_TARGET = 50_000
 MAX_TOXIC = 50_000
@@ -107,8 +109,10 @@ def _buckets(a: Column, b: Column, buckets: int) -> tuple[Column, Column]:
     return F.pmod(F.xxhash64(a), F.lit(buckets)).cast("int"), (F.pmod(F.xxhash64(a, b), F.lit(buckets)) + buckets).cast("int")
 
 
-def _toxic_bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.lower(word)), F.lit(buckets)).cast("int")
+def _toxic_buckets(word: Column, buckets: int) -> tuple[Column, Column]:
+    """Buckets of a lower-case word and of its first STEM letters, so that inflected forms share one."""
+    word = F.lower(word)
+    return tuple(F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int") for x in (word, F.concat(F.lit("^"), F.substring(word, 1, STEM))))
 
 
 def _drawn(labels: DataFrame, rule: str, limit: int) -> DataFrame:
@@ -138,7 +142,7 @@ def ngram_model(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def toxic_model(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = TOXIC_BUCKETS, limit: int = MAX_TARGET, toxic_limit: int = MAX_TOXIC) -> DataFrame:
-    """One row, ratios: per bucket of lower-case words the log ratio of toxic to trusted rows where marked, else 0.
+    """One row, ratios: per bucket of lower-case words and of their first letters the log ratio of toxic to trusted rows where marked, else 0.
 
     A word counts once for each word that follows it, so that copies and near copies of a row
     carry no weight. Contexts are gathered only for words whose plain counts can still be marked.
@@ -147,7 +151,7 @@ def toxic_model(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     # an id with labels of both kinds is toxic; at most limit + toxic_limit ids
     known = F.broadcast(known.groupBy("t_id").agg(F.max("toxic").alias("toxic")))
     rows = documents.select(plain(id_col).alias("doc_id"), plain(text_col).alias("text")).join(known, F.col("doc_id") == F.col("t_id"))
-    pairs = rows.select("toxic", F.explode(_pairs(words(F.col("text")))).alias("z")).select("toxic", _toxic_bucket(F.col("z.a"), buckets).alias("bucket"), F.xxhash64("z.a", "z.b").alias("context"))
+    pairs = rows.select("toxic", F.explode(_pairs(words(F.col("text")))).alias("z")).select("toxic", F.xxhash64("z.a", "z.b").alias("context"), F.explode(F.array(*_toxic_buckets(F.col("z.a"), buckets))).alias("bucket"))
     counts = written(pairs.groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "toxicwords")
     whole = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     if not whole.t or not whole.c:
@@ -174,7 +178,7 @@ def quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     statistics = ("n_words", "n_symbols", "n_dup_lines", "n_repeat_words")
     apart = with_statistics(docs).select("r", "doc_id", *statistics, F.explode_outer(_pairs(F.col("tokens"))).alias("z")).withColumns({"ratios": ratios, "toxic": toxic})
     uni, bi = _buckets(F.col("z.a"), F.col("z.b"), buckets)
-    each = apart.select("r", "doc_id", *statistics, F.char_length("z.a").alias("chars"), (F.element_at("ratios", uni + 1) + F.element_at("ratios", bi + 1)).alias("lr"), F.element_at("toxic", _toxic_bucket(F.col("z.a"), toxic_buckets) + 1).alias("tr"))
+    each = apart.select("r", "doc_id", *statistics, F.char_length("z.a").alias("chars"), (F.element_at("ratios", uni + 1) + F.element_at("ratios", bi + 1)).alias("lr"), F.greatest(*[F.element_at("toxic", b + 1) for b in _toxic_buckets(F.col("z.a"), toxic_buckets)]).alias("tr"))
     # whole in one task each: a row per document is left before the shuffle
     found = each.groupBy("r", "doc_id").agg(*[F.first(c).alias(c) for c in statistics], F.coalesce(F.sum("chars"), F.lit(0)).alias("word_chars"), F.sum(F.when(F.col("chars").isNotNull(), F.col("lr"))).alias("lr"), F.sum(F.when(F.col("chars").isNotNull(), F.col("tr"))).alias("tr"))
     n = F.col("n_words")

@@ -410,12 +410,6 @@ def test_classifier_marks_toxic_ngrams(spark):
     assert sum(clean) >= 0.98 * len(clean) and sum(toxic) <= 0.1 * len(toxic)
 
 
-def test_classifier_marks_need_both_kinds_of_labels():
-    ones = np.ones(4)
-    assert not importance._marks(ones, ones, 0, 5).any() and not importance._marks(ones, ones, 5, 0).any()
-    assert importance._marks(np.array([0, 90]), np.array([40, 45]), 100, 50).tolist() == [True, False]
-
-
 def test_classifier_marks_inflected_toxic_words(spark):
     """Toxic words of a common stem, hardly one of them twice, drop a text of quality; clean texts stay. The held-out third is not labelled."""
     rng = np.random.default_rng(4)
@@ -435,11 +429,57 @@ def test_classifier_marks_inflected_toxic_words(spark):
     assert sum(clean) >= 0.98 * len(clean) and sum(toxic) <= 0.1 * len(toxic)
 
 
-def test_grams_lie_in_one_word():
-    for text, n_words, n in ((None, 0, 0), ("", 0, 0), ("abc", 1, 0), ("abcd xyz", 2, 2), ("ABcde! fghi", 2, 7)):
-        at, word, found = importance.grams(text)
-        assert (found, len(at), len(word)) == (n_words, n, n)
-    assert sorted(importance.grams("réeux")[0]) == sorted(importance.grams("RÉEUX ")[0])
+def test_importance_by_brute_force(spark, docs, labels):
+    """Weights from counts, noise added, the k largest kept; without the noise others would be."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    buckets, good = 512, {r.doc_id for r in labels.collect() if r.quality == 1 and r.toxic == 0}
+    counts = np.zeros((2, 2 * buckets))
+    for i, t in rows:
+        for x in importance.features(t, buckets):
+            counts[0, x] += 1
+            counts[1, x] += i in good
+    ratios = np.zeros(2 * buckets)
+    for part in (slice(0, buckets), slice(buckets, None)):
+        raw, target = counts[0, part], counts[1, part]
+        ratios[part] = np.log(target + 5) - np.log(raw * target.sum() / raw.sum() + 5)
+    k = 20
+    got = importance.resample(docs, labels, k=k, buckets=buckets)
+    noise = collections.defaultdict(list)
+    for r in docs.select("doc_id", "text", importance.gumbel("doc_id", "text", 10).alias("g")).collect():
+        noise[r.doc_id, len(importance.features(r.text))].append(r.g)
+    weights, values = [], []
+    for i, t in rows:
+        at = importance.features(t, buckets)
+        n = len(at)
+        weights.append((str(i), n, round(ratios[at].sum() / (1 + max(n - 1, 0) * 0.02), 6)))
+        values.append((weights[-1][2] + noise[i, n][0], i) if n else (-math.inf, i))
+    rows_got = got.collect()
+    assert sorted((str(r.doc_id), r.n_features, round(r.log_weight, 6)) for r in rows_got) == sorted(weights)
+    cut = sorted(values, key=lambda x: -x[0])[k - 1][0]
+    want = collections.Counter(i for v, i in values if v >= cut - 1e-9)
+    assert collections.Counter(r.doc_id for r in rows_got if r.kept) == want
+    bare = sorted((w[2] for w in weights if w[1]), reverse=True)[k - 1]
+    assert sum((w[2] >= bare and w[1] > 0) != (v >= cut - 1e-9) for w, (v, _) in zip(weights, values, strict=True)) >= 4
+    noises = [g for gs in noise.values() for g in gs]
+    assert 0.1 < np.mean(noises) < 1.1 and importance.resample(docs, labels, k=0).where("kept").count() == 0
+    assert importance.resample(docs, labels.limit(0)).where("kept <> (n_features > 0)").count() == 0
+    kept = importance.resampled_documents(docs, labels, k=k, buckets=buckets)
+    assert kept.columns == docs.columns and collections.Counter(r.doc_id for r in kept.collect()) == want
+
+
+def test_importance_budget_is_the_expected_number():
+    x = np.array([-20.0, -19.0, 0.0, 1.0])
+    a, b = importance.fit_logistic(x, np.array([0.0, 1.0, 50.0, 49.0]), np.array([40.0, 39.0, 1.0, 0.0]))
+    p = 1 / (1 + np.exp(-a - b * x))
+    assert b > 0 and abs((p * np.array([40, 40, 51, 49])).sum() - 100) < 2
+    assert all(math.isfinite(v) for v in importance.fit_logistic(np.array([-5.0, 5.0]), np.array([0.0, 9.0]), np.array([9.0, 0.0])))
+
+
+def test_importance_word_buckets_are_the_engines(spark):
+    at = importance._WordBuckets(1 << 18)
+    df = spark.createDataFrame([("Réeuxabc",), ("x",), ("ß€",)], "w string")
+    for r in df.select("w", F.array(*quality_rules._toxic_buckets(F.col("w"), 1 << 18)).alias("b")).collect():
+        assert list(at[r.w.lower()]) == r.b
 
 
 def test_large_groups_are_cut_by_medians_only(spark):
