@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CURRENCIES, SCALE_FACTORS, VALUE, YEAR_DAYS
@@ -17,8 +18,16 @@ def _unaccented(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
-#: Latin-1 characters that lose an accent or a compatibility form.
-_PLAIN = {c: p for c in map(chr, range(0x80, 0x100)) if (p := _unaccented(c)) != c}
+#: Latin-1 characters, and upper forms of theirs, that lose an accent or a compatibility form.
+_PLAIN = {c: p for c in [*map(chr, range(0x80, 0x100)), "\u0178"] if (p := _unaccented(c)) != c}
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def trimmed(c: Column) -> Column:
@@ -126,24 +135,41 @@ def metric(statement: Column, account: Column, column: Column) -> Column:
 
 
 def narrow(c: Column) -> Column:
-    """A value as decimal(37,10): differences of two keep all ten places."""
-    return c.cast("decimal(37,10)")
+    """A value as decimal(37,10), in which differences of two keep all ten places; null if it has more than 27 integer digits."""
+    return c.try_cast("decimal(37,10)")
 
 
 def delta(original: Column, revised: Column) -> Column:
-    return narrow(revised) - narrow(original)
+    """Exact difference; of values with 28 integer digits to nine places, and null if it takes 29 digits."""
+    return F.coalesce(narrow(revised) - narrow(original), F.try_subtract(revised, original).try_cast(VALUE))
+
+
+def _percent(original: Column, revised: Column) -> Column:
+    """Percent of |original|; exact to the result's places while the difference is below 10^18, else of a product to six places."""
+    d, hundred = delta(original, revised), F.lit(100).cast("decimal(3,0)")
+    return F.coalesce(F.try_divide(d.try_cast("decimal(28,10)") * hundred, F.abs(original)), F.try_divide(F.try_multiply(d, hundred), F.abs(original)))
 
 
 def delta_pct(original: Column, revised: Column) -> Column:
-    """Percent of |original|, six places; null where the original is zero."""
-    d, o = (revised - original).cast("decimal(30,8)"), original.cast("decimal(28,8)")
-    return F.when(original != 0, F.try_divide(d * F.lit(100).cast("decimal(3,0)"), F.abs(o)).cast("decimal(38,6)"))
+    """Percent of |original|, six places; null where the original is zero or it takes more than 32 integer digits."""
+    return F.when(original != 0, _percent(original, revised).try_cast("decimal(38,6)"))
 
 
 def at_least_pct(original: Column, revised: Column, min_pct: float) -> Column:
-    """|delta| in percent of |original| is min_pct or more; no division, zero originals drop out."""
-    limit = F.lit(str(min_pct)).cast("decimal(12,4)")
-    return (F.abs(delta(original, revised)).cast("decimal(30,8)") * F.lit(100).cast("decimal(3,0)") >= limit * F.abs(original).cast("decimal(24,8)")) & (original != 0)
+    """|delta| in percent of |original| is min_pct or more; zero originals drop out.
+
+    Both sides are multiplied out exactly while values are below 10^18 and the limit has at most
+    nine digits, six of them places; beyond, doubles are compared.
+    """
+    exact = Decimal(str(min_pct))
+    places = max(0, -exact.normalize().as_tuple().exponent)
+    d, o = F.abs(delta(original, revised)), F.abs(original)
+    about = d.cast("double") * 100 >= F.lit(float(exact)) * o.cast("double")
+    if places > 6 or not 0 <= exact.scaleb(places) < 10**9:
+        return (original != 0) & about
+    left = d.try_cast("decimal(28,10)") * F.lit(100 * 10**places).cast("decimal(9,0)")
+    right = o.try_cast("decimal(28,10)") * F.lit(int(exact.scaleb(places))).cast("decimal(9,0)")
+    return (original != 0) & F.coalesce(left >= right, about)
 
 
 def thousands(value: Column) -> Column:

@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expr as X
+from ..functions.expr import fresh
 from ..schemas import FACT_KEY, VERSION_ORDER, VIEW_COLUMNS
 
 
@@ -32,7 +34,8 @@ def _latest_first() -> list[Column]:
 def as_of(facts: DataFrame, day: date | Column, key: list[str] = FACT_KEY) -> DataFrame:
     """Per key the value known at the day: latest knowledge, then highest version, then lowest id."""
     w = Window.partitionBy(*key).orderBy(*_latest_first())
-    return known_as_of(facts, day).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    n = fresh(facts, "n")
+    return known_as_of(facts, day).withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
 def latest(facts: DataFrame, today: date | None = None, key: list[str] = FACT_KEY) -> DataFrame:
@@ -47,14 +50,15 @@ def history(facts: DataFrame, key: list[str] = FACT_KEY) -> DataFrame:
 def version_deltas(facts: DataFrame, key: list[str] = FACT_KEY) -> DataFrame:
     """Every version with the value before it and the step."""
     before = F.lag("value").over(Window.partitionBy(*key).orderBy(*VERSION_ORDER))
-    return facts.withColumn("previous_value", before).withColumn("step", F.col("value").cast("decimal(37,10)") - F.col("previous_value").cast("decimal(37,10)"))
+    return facts.withColumn("previous_value", before).withColumn("step", X.delta(F.col("previous_value"), F.col("value")))
 
 
 def with_validity(facts: DataFrame, key: list[str] = FACT_KEY) -> DataFrame:
     """One version per key and day, with valid_from and valid_to (exclusive; null while it holds): as-of becomes a range filter."""
     known = VERSION_ORDER[0]
     day = Window.partitionBy(*key, known).orderBy(*_latest_first()[1:])
-    once = facts.withColumn("__n", F.row_number().over(day)).where("__n = 1").drop("__n")
+    n = fresh(facts, "n")
+    once = facts.withColumn(n, F.row_number().over(day)).where(F.col(n) == 1).drop(n)
     return once.withColumn("valid_from", F.col(known)).withColumn("valid_to", F.lead(known).over(Window.partitionBy(*key).orderBy(known)))
 
 

@@ -23,7 +23,7 @@ def documents_for(retrieval: DataFrame, raw_document: DataFrame, dataset_id: str
     if supported is not None and dataset_id not in supported:
         raise ValueError(f"no builder for dataset {dataset_id}")
     rows = retrieval.where(F.col("dataset_id") == dataset_id)
-    if resource_keys is not None:
+    if resource_keys:  # none, or an empty list, is no filter
         rows = rows.where(F.col("resource_key").isin(list(resource_keys)))
     return first_observations(rows).join(raw_document, "content_sha256").orderBy("resource_key", "first_seen_at", "retrieval_id")
 

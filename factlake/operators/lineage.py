@@ -22,6 +22,11 @@ def lineage_gaps(facts: DataFrame, retrieval: DataFrame, raw_document: DataFrame
     return no_retrieval.unionByName(no_document)
 
 
+def rehashed(raw_document: DataFrame, content: DataFrame) -> DataFrame:
+    """raw_document with actual_sha256 of the bytes that are stored now: content (content_sha256, content) by registered hash."""
+    return raw_document.join(content.select("content_sha256", X.content_hash(F.col("content")).alias("actual_sha256")), "content_sha256")
+
+
 def corrupt_facts(facts: DataFrame, rehashed: DataFrame) -> DataFrame:
     """fact_id of facts whose document's bytes (content_sha256, actual_sha256) no longer match."""
     return facts.join(rehashed.where("content_sha256 <> actual_sha256").select("content_sha256"), "content_sha256", "left_semi").select("fact_id")

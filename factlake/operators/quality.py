@@ -29,6 +29,15 @@ def report_rollup(rows: DataFrame, by: str) -> DataFrame:
     return rows.rollup(by).agg(F.count(F.lit(1)).alias("read"), F.count(F.when(r.isNull(), 1)).alias("emitted"), F.count(F.when(r.isNotNull() & ~r.isin(NOT_LOSSES), 1)).alias("lost"))
 
 
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, rows of each table."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def audit_constraints(rows: DataFrame, rules: dict[str, str], key: str) -> DataFrame:
     """rules: name to SQL condition that must hold. A row (key, rule) per broken rule."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(c), F.lit(False)), F.lit(n)) for n, c in rules.items()]))

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..schemas import EXTRACTOR, EXTRACTOR_VERSION, SILVER_COLUMNS
 
-#: Index keys up to this many are broadcast; larger indexes are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
-
-
 def cell(name: str) -> Column:
     return F.col("cells")[name]
 
@@ -34,15 +30,14 @@ def document_index(entries: DataFrame, key: list[str] = ("content_sha256", "cnpj
     return grouped.select(*key, (~same).alias("is_ambiguous"), *[F.when(same, F.col(f"e.{c}")).alias(c) for c in ("doc_id", "dt_receb", "link_doc")])
 
 
-def with_reason(typed: DataFrame, index: DataFrame, companies: list[int] | Column | None = None, key: list[str] = ("content_sha256", "cnpj", "dt_refer", "versao"), broadcast_index: bool | None = None) -> DataFrame:
+def with_reason(typed: DataFrame, index: DataFrame, companies: list[int] | Column | None = None, key: list[str] = ("content_sha256", "cnpj", "dt_refer", "versao"), broadcast_index: bool = False) -> DataFrame:
     """typed (cod_cvm, cnpj, dt_refer, dt_fim_exerc, versao, vl_conta) joined with the index, plus skip_reason: the first that holds, or null.
 
-    companies: the wanted ones, as a list or as a condition.
+    companies: the wanted ones, as a list or as a condition; an empty list is no filter.
+    Without broadcast_index the engine picks the join, by the index's size at run time.
     """
-    if broadcast_index is None:
-        broadcast_index = index.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     first = F.when(F.col("cod_cvm").isNull(), "bad_key")
-    if companies is not None:
+    if isinstance(companies, Column) or companies:
         wanted = companies if isinstance(companies, Column) else F.col("cod_cvm").isin(list(companies))
         first = first.when(~wanted, "filtered_out")
     first = first.when(F.col("dt_refer").isNull() | F.col("dt_fim_exerc").isNull(), "bad_date").when((F.col("cnpj") == "") | F.col("cnpj").isNull() | F.col("versao").isNull() | (F.col("versao") < 1), "bad_key")
@@ -66,7 +61,7 @@ def typed_cells(details: DataFrame) -> DataFrame:
 
 def to_silver(details: DataFrame, index: DataFrame, run_id: str, companies: list[int] | Column | None = None, statements: list[str] | None = None) -> DataFrame:
     """All detail rows in the 29 silver columns plus skip_reason; rows without a reason are the silver table."""
-    if statements is not None:
+    if statements:
         details = details.where(F.col("statement").isin(list(statements)))
     rows = with_reason(typed_cells(details), index, companies)
     return rows.withColumns({

@@ -8,36 +8,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.gold import to_facts
-from ..operators.quality import quality_report
+from ..operators.quality import loss_totals, quality_report
 from ..operators.silver import document_index, index_entries, split_quarantine, to_silver
-from ..sources.archives import classify_members, explode_members, index_rows, list_members, require_index
+from ..sources.archives import classify_members, explode_members, index_rows, list_members, require_index, require_intact
 from ..sources.sinks import append_new
 
 
 @dataclass
 class Built:
-    silver: DataFrame
-    silver_rejected: DataFrame
-    gold: DataFrame
-    gold_rejected: DataFrame
+    """What a build read and made. cells, typed and facts are written tables: archives are read once."""
+
+    cells: DataFrame
+    index: DataFrame
+    typed: DataFrame
+    facts: DataFrame
+
+    @property
+    def silver(self) -> DataFrame:
+        return split_quarantine(self.typed)[0]
+
+    @property
+    def silver_rejected(self) -> DataFrame:
+        return split_quarantine(self.typed)[1]
+
+    @property
+    def gold(self) -> DataFrame:
+        return split_quarantine(self.facts)[0].drop("metric")
+
+    @property
+    def gold_rejected(self) -> DataFrame:
+        return split_quarantine(self.facts)[1]
 
     def report(self) -> DataFrame:
         """stage, reason, rows."""
-        silver = self.silver.withColumn("skip_reason", F.lit(None).cast("string")).select("skip_reason").unionByName(self.silver_rejected.select("skip_reason"))
-        gold = self.gold.withColumn("skip_reason", F.lit(None).cast("string")).select("skip_reason").unionByName(self.gold_rejected.select("skip_reason"))
-        return quality_report(silver.withColumn("stage", F.lit("silver")).unionByName(gold.withColumn("stage", F.lit("gold"))), ["stage"])
+        rows = [t.select(F.lit(stage).alias("stage"), "skip_reason") for stage, t in (("silver", self.typed), ("gold", self.facts))]
+        return quality_report(rows[0].unionByName(rows[1]), ["stage"])
+
+    def document_report(self) -> DataFrame:
+        """Per document: members parsed, keys that the index leaves ambiguous, and per stage the rows read, emitted, lost and filtered."""
+        document = "content_sha256"
+        members = classify_members(self.cells).groupBy(document).agg(F.sort_array(F.collect_set("member")).alias("members"))
+        ambiguous = self.index.groupBy(document).agg(F.count(F.when(F.col("is_ambiguous"), 1)).alias("ambiguous_keys"))
+        out = self.cells.select(document).distinct().join(members, document, "left").join(ambiguous, document, "left")
+        for stage, rows in (("silver", self.typed), ("gold", self.facts)):
+            totals = loss_totals(rows, [document])
+            out = out.join(totals.select(document, *[F.col(c).alias(f"{stage}_{c}") for c in totals.columns[1:]]), document, "left")
+        return out.fillna(0)
+
 
+def build(documents: DataFrame, run_id: str, work: str, companies: list[int] | None = None, statements: list[str] | None = None) -> Built:
+    """documents: content_sha256, retrieval_id, year, content. work: a folder that driver and executors share, new for each run.
 
-def build(documents: DataFrame, run_id: str, companies: list[int] | None = None, statements: list[str] | None = None) -> Built:
-    """documents: content_sha256, retrieval_id, year, content."""
-    members = list_members(documents, statements)
-    require_index(documents, members)
-    cells = explode_members(members)
+    Every archive's bytes are held against its hash as they are read, once; a corrupt one, one
+    without its index member, and an empty selection are errors. Empty lists are no filters.
+    """
+    spark = documents.sparkSession
+    documents.select("content_sha256", "retrieval_id", "year").write.parquet(f"{work}/documents")
+    names = spark.read.parquet(f"{work}/documents")
+    if names.isEmpty():
+        raise ValueError("no documents to build")
+    explode_members(list_members(require_intact(documents), statements)).write.parquet(f"{work}/cells")
+    cells = spark.read.parquet(f"{work}/cells")
+    require_index(names, cells.select("content_sha256", "member").distinct())
     index = document_index(index_entries(index_rows(cells)))
-    details = classify_members(cells).join(documents.select("content_sha256", "retrieval_id"), "content_sha256")
-    silver, rejected = split_quarantine(to_silver(details, index, run_id, companies, statements))
-    gold, gold_rejected = split_quarantine(to_facts(silver))
-    return Built(silver, rejected, gold.drop("metric"), gold_rejected)
+    details = classify_members(cells).join(names.select("content_sha256", "retrieval_id"), "content_sha256")
+    to_silver(details, index, run_id, companies, statements).write.parquet(f"{work}/typed")
+    typed = spark.read.parquet(f"{work}/typed")
+    to_facts(split_quarantine(typed)[0]).write.parquet(f"{work}/facts")
+    return Built(cells, index, typed, spark.read.parquet(f"{work}/facts"))
 
 
 def write(built: Built, silver_path: str, gold_path: str) -> tuple[int, int]:

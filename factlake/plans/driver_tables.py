@@ -76,11 +76,24 @@ def retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as observations of content."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("retrieval_id"), F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256"), F.col("source").alias("dataset_id"), F.col("lang").alias("resource_key"),
-        F.col("n_chars").alias("size_bytes"), F.col("doc_id").alias("retrieved_at"), F.lit(None).cast("string").alias("last_modified"),
+        F.col("n_chars").alias("size_bytes"), F.col("doc_id").alias("retrieved_at"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))).alias("last_modified"),
         F.when(F.col("lang") == "en", "primary_official").when(F.col("lang") == "de", "issuer").when(F.col("lang") == "fr", "public_web").otherwise("derived").alias("source_tier"),
     )
 
 
+def stored_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """content_sha256, content: the texts' bytes by their hash; those first seen at a multiple of nine have been changed since."""
+    text = table(spark, sf_dir, "documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("first"))
+    changed = F.when(F.col("first") % 9 == 0, F.lit("!")).otherwise(F.lit(""))
+    return text.select(F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256"), F.concat("text", changed).cast("binary").alias("content"))
+
+
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """content_sha256, member: a member name for every order; some are of no known kind."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("DRE_con_", "BPA_ind_", "DFC_MI_con_", "", "XYZ_con_", "parecer_")]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("content_sha256"), F.concat(F.lit("dfp_cia_aberta_"), kind, F.year("o_orderdate").cast("string"), F.lit(".csv")).alias("member"))
+
+
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrievals(spark, sf_dir).groupBy("content_sha256").agg(F.min("retrieved_at").alias("first_seen_at"), F.max("size_bytes").alias("size_bytes"))
 

@@ -54,9 +54,21 @@ def _reason(wanted: str, with_gold: bool) -> str:
             when dt_receb is null then 'no_index' when vl_conta is null then 'bad_value' {gold if with_gold else ''} end reason from j)"""
 
 
+_SILVER_ID = "substr(sha256('orders|' || source_member || '|' || source_line_no || '|1.1.0'), 1, 32)"
+_EXERC = "case when l_linenumber % 2 = 0 then 'ULTIMO' else 'PENULTIMO' end"
+_COLUNA = "case when l_linenumber = 4 then 'col' else '' end"
+_GOLD = f"""{_RAW}, {_reason('true', True)},
+g as (
+  select {_SILVER_ID} fact_id, 'br:cnpj:' || cnpj entity_id, cast(cod_cvm as int) cod_cvm, 'ACME' denom_cia, statement, l_linestatus = 'O' consolidated, {_COLUNA} coluna_df, cd_conta, l_linestatus ds_conta,
+         case when dt_ini_exerc is null then 'instant' else 'year' end period_type, cast(dt_ini_exerc as varchar) period_start, cast(dt_fim_exerc as varchar) period_end, cast(dt_receb as varchar) knowledge_date,
+         cast(vl_conta * case escala_moeda when 'MIL' then 1000 else 1 end as double) as value, 'BRL' unit, 'BRL' currency, {_EXERC} ordem_exerc, doc_id source_doc_id, 1 source_doc_version, {_SILVER_ID} silver_id,
+         'orders' content_sha256, 'r1' retrieval_id, source_member || '#L' || source_line_no || ':cd_conta=' || cd_conta || case when {_COLUNA} <> '' then ':coluna=' || {_COLUNA} else '' end locator,
+         'dfp_csv' extractor, '1.1.0' extractor_version, 'run1' extraction_run_id
+  from s where reason is null)"""
+
 _SEEN = """
 e as (
-  select cast(doc_id as varchar) retrieval_id, sha256(text) content_sha256, source dataset_id, lang resource_key, n_chars size_bytes, doc_id retrieved_at,
+  select case when doc_id % 2 = 0 then 'm' || lpad(cast(doc_id as varchar), 8, '0') end last_modified, cast(doc_id as varchar) retrieval_id, sha256(text) content_sha256, source dataset_id, lang resource_key, n_chars size_bytes, doc_id retrieved_at,
          case lang when 'en' then 'primary_official' when 'de' then 'issuer' when 'fr' then 'public_web' else 'derived' end source_tier from documents),
 c as (select content_sha256, min(retrieved_at) first_seen_at, max(size_bytes) size_bytes from e group by 1)
 """
@@ -112,13 +124,15 @@ ORACLES = {
         min(retrieved_at) % 3 <> 0 is_new from e group by 1""",
     "first_retrieval": f"with {_SEEN} {_FIRST}",
     "documents_for": f"with {_SEEN}, o as ({_FIRST}) select resource_key, content_sha256, retrieval_id, o.first_seen_at, size_bytes from o join c using (content_sha256) where dataset_id = 'src0' and resource_key in ('en', 'fr')",
-    "resource_versions": f"""with {_SEEN} select content_sha256, dataset_id, resource_key, min(retrieved_at) first_seen, max(retrieved_at) last_seen, count(*) times_seen, any_value(c.size_bytes) size_bytes
+    "resource_versions": f"""with {_SEEN} select content_sha256, dataset_id, resource_key, min(retrieved_at) first_seen, max(retrieved_at) last_seen, count(*) times_seen, any_value(c.size_bytes) size_bytes, max(last_modified) last_modified
         from e join c using (content_sha256) group by 1, 2, 3""",
     "changed_resources": f"with {_SEEN} {_CHANGED}",
     "top_changed": f"with {_SEEN} {_CHANGED} order by versions desc, dataset_id, resource_key limit 10",
     "catalog_totals": f"with {_SEEN} select (select count(*) from c) documents, cast((select sum(size_bytes) from c) as bigint) bytes, (select count(*) from e) retrievals, (select count(*) from events) runs",
     "tier_share": f"with {_SEEN} select source_tier, count(*) as rows from e where source_tier <> 'derived' group by 1",
-    "provenance_chain": f"""with {_LINKED} select fact_id, retrieval_id, dataset_id, resource_key, source_tier, k.content_sha256, c.size_bytes, cast(knowledge_date as varchar) knowledge_date
+    "provenance_chain": f"""with {_LINKED} select fact_id, 'p' || part || '.csv#L' || (source_doc_version + 1) || ':cd_conta=' || cd_conta locator, 'dfp_csv' extractor, '1.1.0' extractor_version, 'run' || source_doc_version extraction_run_id,
+        retrieval_id, 'p' || dataset_id provider_id, source_tier, dataset_id, resource_key, 'https://' || dataset_id || '/' || retrieval_id url, retrieved_at, k.content_sha256, c.size_bytes,
+        substr(k.content_sha256, 1, 2) || '/' || k.content_sha256 storage_path, cast(part as varchar) source_doc_id, source_doc_version, cast(knowledge_date as varchar) knowledge_date
         from k join c on c.content_sha256 = k.content_sha256""",
     "lineage_gaps": f"""with {_LINKED} select fact_id, 'retrieval' gap from k where retrieval_id not in (select cast(doc_id as varchar) from labels)
         union all select fact_id, 'document' from k where content_sha256 not in (select content_sha256 from c where size_bytes < 3000)""",
@@ -132,18 +146,22 @@ ORACLES = {
     "all_versions_union": f"with {_OK} select cd_conta, source_doc_version, count(*) facts from g group by 1, 2",
     "recent_runs": "select event_id run_id, event_type command from events order by ts desc limit 20",
     "silver_typed_projection": f"""with {_RAW}, {_reason('true', False)}
-        select substr(sha256('orders|' || source_member || '|' || source_line_no || '|1.1.0'), 1, 32) silver_id, source_member, source_line_no, cnpj, cast(cod_cvm as int) cod_cvm, 'ACME' denom_cia,
-               cast(dt_refer as varchar) dt_refer, 1 versao, doc_id, cast(dt_receb as varchar) dt_receb, statement, l_linestatus = 'O' consolidated, cast(null as varchar) grupo_dfp,
-               case when l_linenumber % 2 = 0 then 'ULTIMO' else 'PENULTIMO' end ordem_exerc, cast(dt_ini_exerc as varchar) dt_ini_exerc, cast(dt_fim_exerc as varchar) dt_fim_exerc,
-               case when l_linenumber = 4 then 'col' else '' end coluna_df, cd_conta, l_linestatus ds_conta, cast(vl_conta as double) vl_conta, case l_linenumber when 1 then 'true' when 2 then 'false' end st_conta_fixa,
-               moeda, escala_moeda
+        select {_SILVER_ID} silver_id, 'orders' content_sha256, 'r1' retrieval_id, source_member, source_line_no, cnpj, cast(cod_cvm as int) cod_cvm, 'ACME' denom_cia,
+               cast(dt_refer as varchar) dt_refer, 1 versao, doc_id, cast(dt_receb as varchar) dt_receb, cast(null as varchar) link_doc, statement, l_linestatus = 'O' consolidated, cast(null as varchar) grupo_dfp,
+               {_EXERC} ordem_exerc, cast(dt_ini_exerc as varchar) dt_ini_exerc, cast(dt_fim_exerc as varchar) dt_fim_exerc,
+               {_COLUNA} coluna_df, cd_conta, l_linestatus ds_conta, cast(vl_conta as double) vl_conta, case l_linenumber when 1 then 'true' when 2 then 'false' end st_conta_fixa,
+               moeda, escala_moeda, 'dfp_csv' extractor, '1.1.0' extractor_version, 'run1' extraction_run_id
         from s where reason is null""",
-    "gold_fact_projection": f"""with {_RAW}, {_reason('cod_cvm % 7 <> 3', True)},
-        t as (select *, vl_conta * case escala_moeda when 'MIL' then 1000 else 1 end val, case when l_linenumber = 4 then 'col' else '' end coluna_df from s where reason is null)
-        select substr(sha256('orders|' || source_member || '|' || source_line_no || '|1.1.0'), 1, 32) fact_id, 'br:cnpj:' || cnpj entity_id, cast(cod_cvm as int) cod_cvm, statement, l_linestatus = 'O' consolidated,
-               coluna_df, cd_conta, case when dt_ini_exerc is null then 'instant' else 'year' end period_type, cast(dt_ini_exerc as varchar) period_start, cast(dt_fim_exerc as varchar) period_end,
-               cast(dt_receb as varchar) knowledge_date, cast(val as double) as value, 'BRL' currency, doc_id source_doc_id,
-               source_member || '#L' || source_line_no || ':cd_conta=' || cd_conta || case when coluna_df <> '' then ':coluna=' || coluna_df else '' end locator,
-               'cvm:' || lower(statement) || ':' || cd_conta || case when coluna_df <> '' then ':' || coluna_df else '' end metric, cast(cast(val as decimal(28,10)) / 1000 as double) value_thousands
-        from t""",
+    "gold_fact_projection": f"with {_GOLD} select *, 'cvm:' || lower(statement) || ':' || cd_conta || case when coluna_df <> '' then ':' || coluna_df else '' end metric, cast(round(value * 100) as bigint) / 100000::double value_thousands from g",
+    "fact_view": f"with {_GOLD} select * exclude (extractor, extractor_version, extraction_run_id) from g",
+    "quarantine_split": f"with {_RAW}, {_reason('true', False)} select statement, reason is null kept, count(*) as rows from s group by 1, 2",
+    "table_counts": f"with {_RAW}, {_reason('true', True)} select 'gold' as name, count(*) filter (reason is null) as rows from s union all select 'silver', count(*) filter (reason is null or reason in ('unknown_scale', 'unknown_currency', 'irregular_period', 'contract_violation')) from s",
+    "silver_audit": f"with {_RAW}, {_reason('true', False)}, a as (select unnest(case when vl_conta < 50000 then ['sha256'] else ['sha256', 'value'] end) as rule from s where reason is null) select rule, count(*) as rows from a group by 1",
+    "member_kinds": """with m as (select o_orderkey % 6 k, cast(year(o_orderdate) as int) y from orders)
+        select case k when 0 then 'DRE' when 1 then 'BPA' else 'DFC_MI' end as statement, k <> 1 consolidated, y member_year, count(*) as rows from m where k < 3 group by all""",
+    "content_hashes": "select doc_id, sha256(text) content_sha256 from documents",
+    "verified_reads": "select doc_id, sha256(text) content_sha256, cast(octet_length(encode(text)) as bigint) size_bytes from documents where text is not null",
+    "corrupt_facts": f"with {_LINKED}, bad as (select content_sha256 from c where first_seen_at % 9 = 0) select fact_id from k where content_sha256 in (select content_sha256 from bad)",
+    "large_deltas": """select l_orderkey, l_linenumber, l_partkey, cast(cast(l_linenumber - 3 as decimal(38,10)) as varchar) delta,
+               case when l_linenumber % 2 = 0 then false else abs(l_linenumber - 3) * 100000000::hugeint * 100 >= 101 * cast(cast(l_extendedprice as decimal(18,2)) * 100 as hugeint) end passes from lineitem join orders on l_orderkey = o_orderkey""",
 }

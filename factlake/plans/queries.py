@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import asof, catalog, gold, lineage, quality, restate, silver
+from ..schemas import EXTRACTOR, EXTRACTOR_VERSION
+from ..sources.archives import classify_members, require_intact
 from ..sources.sinks import new_rows, register_documents
 from . import driver_tables as D
 
@@ -167,7 +169,7 @@ def documents_for(s: SparkSession, d: str) -> DataFrame:
 
 
 def resource_versions(s: SparkSession, d: str) -> DataFrame:
-    return catalog.resource_versions(D.retrievals(s, d), D.raw_documents(s, d)).drop("last_modified")
+    return catalog.resource_versions(D.retrievals(s, d), D.raw_documents(s, d))
 
 
 def changed_resources(s: SparkSession, d: str) -> DataFrame:
@@ -194,10 +196,13 @@ def _linked(s: SparkSession, d: str) -> DataFrame:
 
 
 def provenance_chain(s: SparkSession, d: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    rows = _linked(s, d).withColumns({c: F.lit("x") for c in ("locator", "extractor", "extractor_version", "extraction_run_id", "source_doc_id")})
-    seen = D.retrievals(s, d).withColumns({"provider_id": F.lit("p"), "url": none})
-    return _out(lineage.provenance(rows, seen, D.raw_documents(s, d).withColumn("storage_path", none)), "fact_id", "retrieval_id", "dataset_id", "resource_key", "source_tier", "content_sha256", "size_bytes", "knowledge_date")
+    part = F.col("part").cast("string")
+    rows = _linked(s, d).withColumns({
+        "locator": X.locator(F.concat(F.lit("p"), part, F.lit(".csv")), F.col("source_doc_version") + 1, F.col("cd_conta"), F.lit("")), "source_doc_id": part,
+        "extractor": F.lit(EXTRACTOR), "extractor_version": F.lit(EXTRACTOR_VERSION), "extraction_run_id": F.concat(F.lit("run"), F.col("source_doc_version").cast("string")),
+    })
+    seen = D.retrievals(s, d).withColumns({"provider_id": F.concat(F.lit("p"), F.col("dataset_id")), "url": F.concat(F.lit("https://"), F.col("dataset_id"), F.lit("/"), F.col("retrieval_id"))})
+    return _out(lineage.provenance(rows, seen, D.raw_documents(s, d).withColumn("storage_path", F.concat(F.substring("content_sha256", 1, 2), F.lit("/"), F.col("content_sha256")))))
 
 
 def lineage_gaps(s: SparkSession, d: str) -> DataFrame:
@@ -251,19 +256,69 @@ def recent_runs(s: SparkSession, d: str) -> DataFrame:
 
 
 def silver_typed_projection(s: SparkSession, d: str) -> DataFrame:
-    rows = _silver(s, d).where("skip_reason is null").withColumn("st_conta_fixa", F.col("st_conta_fixa").cast("string"))
-    return _out(rows.drop("skip_reason", "link_doc", "extractor", "extractor_version", "extraction_run_id", "retrieval_id", "content_sha256"))
+    rows = silver.split_quarantine(_silver(s, d))[0]
+    return _out(rows.withColumn("st_conta_fixa", F.col("st_conta_fixa").cast("string")))
+
+
+def _gold(s: SparkSession, d: str) -> DataFrame:
+    return silver.split_quarantine(gold.to_facts(silver.split_quarantine(_silver(s, d))[0]))[0]
 
 
 def gold_fact_projection(s: SparkSession, d: str) -> DataFrame:
-    rows = gold.to_facts(_silver(s, d, _wanted()).where("skip_reason is null").drop("skip_reason")).where("skip_reason is null")
-    return _out(rows, "fact_id", "entity_id", "cod_cvm", "statement", "consolidated", "coluna_df", "cd_conta", "period_type", "period_start", "period_end", "knowledge_date", "value", "currency", "source_doc_id",
-                "locator", "metric", X.thousands(F.col("value")).alias("value_thousands"))
+    return _out(_gold(s, d).withColumn("value_thousands", X.thousands(F.col("value"))))
+
+
+def fact_view(s: SparkSession, d: str) -> DataFrame:
+    return _out(asof.fact_view(_gold(s, d)))
+
+
+def quarantine_split(s: SparkSession, d: str) -> DataFrame:
+    good, bad = silver.split_quarantine(_silver(s, d))
+    sides = good.select("statement", F.lit(True).alias("kept")).unionByName(bad.select("statement", F.lit(False).alias("kept")))
+    return sides.groupBy("statement", "kept").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def table_counts(s: SparkSession, d: str) -> DataFrame:
+    return quality.table_counts({"silver": silver.split_quarantine(_silver(s, d))[0], "gold": _gold(s, d)})
+
+
+def silver_audit(s: SparkSession, d: str) -> DataFrame:
+    rules = quality.SILVER_RULES | {"value": "abs(vl_conta) < 50000"}
+    return quality.audit_constraints(silver.split_quarantine(_silver(s, d))[0], rules, "silver_id").groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def member_kinds(s: SparkSession, d: str) -> DataFrame:
+    members = D.archive_members(s, d)
+    return classify_members(members).groupBy("statement", "consolidated", "member_year").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def content_hashes(s: SparkSession, d: str) -> DataFrame:
+    return D.table(s, d, "documents").select("doc_id", X.content_hash(F.col("text").cast("binary")).alias("content_sha256"))
+
+
+def verified_reads(s: SparkSession, d: str) -> DataFrame:
+    content = D.table(s, d, "documents").where("text is not null").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256"), F.col("text").cast("binary").alias("content"))
+    return require_intact(content).select("doc_id", "content_sha256", F.octet_length("content").cast("long").alias("size_bytes"))
+
+
+def corrupt_facts(s: SparkSession, d: str) -> DataFrame:
+    return lineage.corrupt_facts(_linked(s, d), lineage.rehashed(D.raw_documents(s, d), D.stored_contents(s, d)))
+
+
+def _amounts(s: SparkSession, d: str) -> DataFrame:
+    """Values that grow to 10^27, and close ones: part and price as digits of a number."""
+    digits = F.concat(F.col("l_partkey").cast("string"), F.rpad(F.lit("1"), 22, "0"))
+    return D.lines(s, d).select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") % 2 == 0, digits).otherwise(F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).cast("decimal(38,10)").alias("o"), (F.col("l_linenumber") - 3).cast("decimal(38,10)").alias("d"))
+
+
+def large_deltas(s: SparkSession, d: str) -> DataFrame:
+    rows = _amounts(s, d).withColumn("r", F.try_add("o", F.col("d") * F.lit(1).cast("decimal(1,0)")).cast("decimal(38,10)"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", X.delta(F.col("o"), F.col("r")).cast("string").alias("delta"), X.at_least_pct(F.col("o"), F.col("r"), 0.000101).alias("passes"))
 
 
 QUERIES = {f.__name__: f for f in (
     as_of_all_keys, as_of_single_key, latest_facts, fact_history, version_deltas, validity_intervals, restatements_all, restatements_filtered, restatements_min_pct, unstable_keys, restatement_flag,
     as_of_join_probes, as_of_panel, as_of_diff, gold_scale_currency_period, gold_contract_quarantine, gold_quality_report, loss_totals, report_rollup, index_ambiguous_keys, detail_index_join,
     skip_reason_report, company_filter, statement_filter, year_filter, content_registry, first_retrieval, documents_for, resource_versions, changed_resources, top_changed, catalog_totals, tier_share,
-    provenance_chain, lineage_gaps, locator_build, locator_parse, duplicate_ids, size_conflicts, constraint_audit, idempotent_append, all_versions_union, recent_runs, silver_typed_projection, gold_fact_projection,
+    provenance_chain, lineage_gaps, corrupt_facts, verified_reads, content_hashes, member_kinds, quarantine_split, table_counts, silver_audit, fact_view, large_deltas, locator_build, locator_parse, duplicate_ids, size_conflicts, constraint_audit, idempotent_append, all_versions_union, recent_runs, silver_typed_projection, gold_fact_projection,
 )}

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import fresh
+
 
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table; empty if nothing has been written."""
@@ -23,7 +25,8 @@ def new_rows(batch: DataFrame, existing: DataFrame, key: str, order: list[str] |
     prune names a column that the key is derived from; existing rows of other values are not read.
     """
     first = Window.partitionBy(key).orderBy(*(order or [c for c in batch.columns if c != key] or [key]))
-    once = batch.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    n = fresh(batch, "n")
+    once = batch.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
     if prune:
         existing = existing.join(batch.select(prune).distinct(), prune, "left_semi")
     return once.join(existing.select(key), key, "left_anti")
@@ -66,8 +69,10 @@ def ingest_batch(landed: DataFrame, raw_document_path: str, retrieval_path: str)
     return outcome
 
 
-def log_run_event(event: DataFrame, path: str) -> None:
-    event.write.mode("append").parquet(path)
+def log_run_event(spark: SparkSession, path: str, run_id: str, command: str, status: str, notes: str | None = None) -> None:
+    """Appends what a run says of itself now: running, success or failed."""
+    event = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(command).alias("command"), F.lit(status).alias("status"), F.lit(notes).cast("string").alias("notes"), F.current_timestamp().alias("event_ts"))
+    event.coalesce(1).write.mode("append").parquet(path)
 
 
 def current_runs(events: DataFrame) -> DataFrame:

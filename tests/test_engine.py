@@ -16,7 +16,7 @@ from factlake.operators import asof, catalog, lineage, restate
 from factlake.plans.build import build, write
 from factlake.schemas import VALUE
 from factlake.sources.archives import documents_from_sidecars, explode_members, list_members, require_index, scan_documents, scan_sidecars, verify_documents
-from factlake.sources.sinks import current_runs, ingest_batch, read_table
+from factlake.sources.sinks import current_runs, ingest_batch, log_run_event, read_table
 
 INDEX = "CNPJ_CIA;DT_REFER;VERSAO;DENOM_CIA;CD_CVM;CATEG_DOC;ID_DOC;DT_RECEB;LINK_DOC"
 FLOW = "CNPJ_CIA;DT_REFER;VERSAO;DENOM_CIA;CD_CVM;GRUPO_DFP;MOEDA;ESCALA_MOEDA;ORDEM_EXERC;DT_INI_EXERC;DT_FIM_EXERC;CD_CONTA;DS_CONTA;VL_CONTA;ST_CONTA_FIXA"
@@ -50,7 +50,7 @@ def restatement(spark):
 
 
 def test_restatement_end_to_end(spark, tmp_path):
-    built = build(restatement(spark), "run1")
+    built = build(restatement(spark), "run1", str(tmp_path / "work"))
     paths = str(tmp_path / "silver"), str(tmp_path / "gold")
     assert write(built, *paths) == (4, 4)
     assert write(built, *paths) == (0, 0)
@@ -62,26 +62,56 @@ def test_restatement_end_to_end(spark, tmp_path):
     (r,) = restate.restatements(gold).collect()
     assert r.delta == -100_000 and r.delta_pct == -10 and r.original.knowledge_date == date(2024, 2, 20)
     assert restate.restatements(gold, min_abs_pct=10.01).count() == 0 and restate.restatements(gold, min_abs_pct=10, cod_cvm=14826).count() == 1
+    report = {r.content_sha256: r for r in built.document_report().collect()}
+    assert len(report) == 2 and all(r.members == [f"dfp_cia_aberta_DRE_con_{y}.csv"] for r, y in zip(sorted(report.values(), key=lambda r: r.members), (2023, 2024), strict=True))
+    assert all((r.ambiguous_keys, r.silver_read, r.silver_emitted, r.silver_lost, r.gold_read, r.gold_emitted, r.gold_filtered) == (0, 2, 2, 0, 2, 2, 0) for r in report.values())
     row = gold.where("value = 1000000").first()
     assert row.entity_id == "br:cnpj:00000000000191" and row.ordem_exerc == "ULTIMO" and row.locator == "dfp_cia_aberta_DRE_con_2023.csv#L2:cd_conta=3.01" and row.ds_conta == 'Receita; "líquida"'
     assert lineage.with_locator_parts(gold.where("value = 1000000")).select("member", "line_no", "account", "column").first()[:] == ("dfp_cia_aberta_DRE_con_2023.csv", 2, "3.01", "")
 
 
-def test_every_silver_reason(spark):
+def test_build_reads_archives_once(spark, tmp_path):
+    """A file's content is used once, whatever is asked of the build afterwards."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    docs = restatement(spark)
+    built = build(docs.mapInPandas(count, docs.schema), "run", str(tmp_path / "w"))
+    assert seen.value == 2 * 2  # two documents: their names, and their bytes
+    write(built, str(tmp_path / "s"), str(tmp_path / "g"))
+    built.report().collect()
+    built.document_report().collect()
+    assert seen.value == 2 * 2
+
+
+def test_build_refuses_what_it_cannot_read(spark, tmp_path):
+    docs = restatement(spark)
+    with pytest.raises(ValueError, match="no documents"):
+        build(docs.limit(0), "r", str(tmp_path / "a"))
+    with pytest.raises(Exception, match="does not match its hash: " + "0" * 64):
+        build(docs.withColumn("content_sha256", F.lit("0" * 64)), "r", str(tmp_path / "b"))
+    assert build(docs, "r", str(tmp_path / "c"), companies=[], statements=[]).silver.count() == 4
+
+
+def test_every_silver_reason(spark, tmp_path):
     rows = [{}, {"CD_CVM": "ABC"}, {"CD_CVM": "²"}, {"CD_CVM": "5"}, {"DT_FIM_EXERC": "0000-00-00"}, {"DT_REFER": "2023-1-5"}, {"CNPJ_CIA": "-"}, {"VERSAO": "0"}, {"VERSAO": "2"}, {"DT_REFER": "2020-12-31"},
             {"VL_CONTA": ""}, {"VL_CONTA": "n/d"}, {"VL_CONTA": "NaN"}, {"VL_CONTA": " 1e3 "}]
     docs = [("2023-12-31", 1, "2024-02-20", "1"), ("2023-12-31", 1, "2024-02-20", "1"), ("2023-12-31", 2, "2024-02-20", "a"), ("2023-12-31", 2, "2024-02-21", "b")]
-    built = build(documents(spark, (2023, archive(2023, docs, rows))), "r", companies=[14826])
+    built = build(documents(spark, (2023, archive(2023, docs, rows))), "r", str(tmp_path / "w"), companies=[14826])
     got = {r.skip_reason: r["count"] for r in built.silver_rejected.groupBy("skip_reason").count().collect()}
     assert got == {"bad_key": 4, "filtered_out": 1, "bad_date": 2, "ambiguous_index": 1, "no_index": 1, "bad_value": 3}
     assert [r.vl_conta for r in built.silver.orderBy("source_line_no").collect()] == [1000, 1000]
     assert {(r.stage, r.reason): r["rows"] for r in built.report().collect()}["silver", "ok"] == 2
 
 
-def test_every_gold_reason(spark):
+def test_every_gold_reason(spark, tmp_path):
     rows = [{}, {"ESCALA_MOEDA": "MILHAO"}, {"MOEDA": "DOLAR"}, {"DT_INI_EXERC": "2023-10-01"}, {"DT_FIM_EXERC": "2024-12-31", "DT_INI_EXERC": "2024-01-01"}, {"CNPJ_CIA": "0.000.000/0001-91"}, {"ESCALA_MOEDA": "unidade"}, {"DT_INI_EXERC": ""}, {"VL_CONTA": "9" * 25}]
     a = archive(2023, [("2023-12-31", 1, "2024-02-20", "1")], rows)
-    built = build(documents(spark, (2023, a)), "r")
+    built = build(documents(spark, (2023, a)), "r", str(tmp_path / "w"))
     got = {r.skip_reason: r["count"] for r in built.gold_rejected.groupBy("skip_reason").count().collect()}
     assert got == {"unknown_scale": 1, "unknown_currency": 1, "irregular_period": 1, "contract_violation": 2}
     assert sorted((r.value, r.period_type) for r in built.gold.collect()) == [(1000, "year"), (1_000_000, "instant"), (1_000_000, "year")]
@@ -115,6 +145,38 @@ def test_decimals_keep_their_places(spark):
     assert r.x == Dec("0.0000001") and r.y is None and r.d == Dec("123456789012345678901234567")
 
 
+def test_restatements_of_large_values_and_fine_limits(spark):
+    big = [("1", "20000000000000000", "20000000000000001"), ("2", "1" + "0" * 20, "3" + "0" * 20), ("3", "9" * 28, "1"), ("4", "100000", "100001"), ("5", "-" + "9" * 28, "9" * 28)]
+    f = facts(spark, [x for a, o, r in big for x in ((a + "o", a, "2024-01-01", 1, o), (a + "r", a, "2024-02-01", 1, r))])
+    got = {r.cd_conta: (r.delta, r.delta_pct) for r in restate.restatements(f).collect()}
+    assert got["1"] == (1, Dec("0.000000")) and got["2"] == (Dec("2" + "0" * 20), 200) and got["3"] == (Dec(1) - Dec("9" * 28), -100) and got["4"] == (1, Dec("0.001000"))
+    assert got["5"][0] is None  # takes 29 digits
+    passed = lambda p: {r.cd_conta for r in restate.restatements(f, min_abs_pct=p).collect()} - {"5"}
+    assert passed(0.001) == {"2", "3", "4"} and passed(0.00101) == {"2", "3"} and passed(0.001001) == {"2", "3"} and passed(200) == {"2"} and passed(0) == {"1", "2", "3", "4"}
+
+
+def test_upper_plain_folds_every_latin1_letter(spark):
+    import unicodedata
+
+    text = "".join(map(chr, range(0xA1, 0x100)))
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text.upper()) if not unicodedata.combining(c))
+    assert spark.createDataFrame([(text,)], "t string").select(X.upper_plain(F.col("t"))).first()[0] == plain
+
+
+def test_clashing_names_stay(spark):
+    f = facts(spark, [("a", "1", "2024-01-01", 1, "5"), ("b", "1", "2024-02-01", 1, "6")]).withColumns({"n": F.lit(7), "__n": F.lit(8)})
+    for got in (asof.as_of(f, date(2024, 6, 1)), asof.with_validity(f)):
+        assert got.columns[: len(f.columns)] == f.columns and {(r["n"], r["__n"]) for r in got.collect()} == {(7, 8)}
+
+
+def test_run_log_from_start_to_finish(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    for status in ("running", "success"):
+        log_run_event(spark, path, "a", "build", status)
+    log_run_event(spark, path, "b", "fetch", "running")
+    assert {r.run_id: r.status for r in current_runs(spark.read.parquet(path)).collect()} == {"a": "success", "b": "running"}
+
+
 def test_strip_accents_is_complete_for_latin1(spark):
     import unicodedata
 
