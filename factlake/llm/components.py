@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, live, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -18,8 +18,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node points itself and its smaller neighbours at the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    down = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "down")
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -30,8 +30,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     is written out; it ends when a round changes nothing.
     """
     now, before = written(edges.select("u", "v").where("u <> v").distinct(), "edges"), None
+    spark, kept = edges.sparkSession, live()[:-1]
     for _ in range(max_rounds):
         now = written(_small_star(_large_star(now)), "stars")
+        free(spark, [p for p in live()[:-1] if p not in kept])  # what only earlier rounds read
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if mark == before:
             break

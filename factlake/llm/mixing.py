@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import plain, text_of, words, written
+from .common import fresh, plain, text_of, words, written
 
 #: Hexadecimal digits of the key that number a range, level by level: 256 ranges a source, then 256 in the one with the cut.
 RANGE_DIGITS = (2, 4)
@@ -113,13 +113,14 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Only the small table of cuts is joined; texts are not shuffled.
     """
     _, cuts = _planned(df, id_col, text_col, source_col, list(weights), share, max_epochs, seed)
-    c = cuts.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"), F.col("cut_key").alias("__cut_key"), (F.col("cut") * 2 >= F.col("cut_size")).alias("__half"))
-    key = F.col("__key")
-    copies = F.col("__epochs") + F.when((key < F.col("__cut_key")) | (key == F.col("__cut_key")) & F.col("__half"), 1).otherwise(0)
+    names = {n: fresh(df, f"mix_{n}") for n in ("source", "epochs", "cut_key", "half", "key", "copy")}
+    c = cuts.select(*[x.alias(names[n]) for n, x in (("source", F.col("source")), ("epochs", F.col("epochs")), ("cut_key", F.col("cut_key")), ("half", F.col("cut") * 2 >= F.col("cut_size")))])
+    key, cut_key = F.col(names["key"]), F.col(names["cut_key"])
+    copies = F.col(names["epochs"]) + F.when((key < cut_key) | (key == cut_key) & F.col(names["half"]), 1).otherwise(0)
     return (
-        df.withColumn("__key", mix_key(id_col, text_col, seed))
-        .join(c, plain(source_col).eqNullSafe(F.col("__source")))
+        df.withColumn(names["key"], mix_key(id_col, text_col, seed))
+        .join(c, plain(source_col).eqNullSafe(F.col(names["source"])))
         .where(copies > 0)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
+        .withColumn(names["copy"], F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
         .select(*[plain(x) for x in df.columns])
     )

@@ -23,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, row_key, written
+from .common import fresh, plain, row_key, sided, written
 from .components import connected_components
 
 SEED = 42
@@ -54,7 +54,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def with_fingerprint(df: DataFrame, text_col: str = "text", to: str = "__fp", shingle: int = 4) -> DataFrame:
+def with_fingerprint(df: DataFrame, text_col: str = "text", to: str = "fingerprint", shingle: int = 4) -> DataFrame:
     """df with a long column of fingerprints (two's complement)."""
 
     @F.pandas_udf("long")
@@ -132,7 +132,8 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, blocks: int = 6, bucket
     """fps: fp, distinct. Links (u, v) between fingerprints within distance; they span every component."""
     masks = F.array(*[F.lit(_signed(m)) for m in _block_masks(blocks, distance)])
     keyed = fps.select("fp", F.posexplode(masks).alias("choice", "mask")).select("fp", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join reads both sides as they were dealt and a hot key's rows can be split
+    sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keysizes")
     met = keyed.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / bucket)).withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")))
     # a chunk goes to the pair (smaller, larger) with each chunk, itself included
     dealt = (
@@ -162,10 +163,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df with one document of each group: the one with the smallest id, a null id last; of repeated rows one."""
+    """df with one document of each group: the one with the smallest id, a null id last; of repeated rows one.
+
+    Only the keys of rows that go are held against df; texts are not shuffled while those keys fit a broadcast.
+    """
     groups = near_duplicates(df, id_col, text_col, **options)
+    keys = written(groups.groupBy("root", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "keys")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
-    kept = groups.groupBy("root").agg(F.min(first)["row_key"].alias("__row"))
-    joined = df.withColumn("__row", row_key(id_col, text_col)).join(kept.select("__row").distinct(), "__row")
-    once = Window.partitionBy("__row").orderBy("__row")
-    return joined.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*[plain(c) for c in df.columns])
+    kept = written(keys.groupBy("root").agg(F.min(first)["row_key"].alias("kept")), "keptkeys")
+    key = fresh(df, "row_key")
+    marked = keys.join(kept, "root").select(F.col("row_key").alias(key), (F.col("row_key") == F.col("kept")).alias("stays"), "n").where("not stays or n > 1")
+    gone = written(marked, "gone")  # repeated rows go too, and one of each comes back
+    keyed = df.withColumn(key, row_key(id_col, text_col))
+    rest = keyed.join(sided(gone.select(key), 64), key, "left_anti")
+    one = keyed.join(sided(gone.where("stays").select(key), 64), key, "left_semi").dropDuplicates([key])
+    return rest.unionByName(one).select(*[plain(c) for c in df.columns])

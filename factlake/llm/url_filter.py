@@ -77,13 +77,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """
     spark = pages.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    host, path = host_and_path(F.col("__url"))
-    urls = pages.select(plain(id_col).alias("page_id"), plain(url_col).alias("__url")).select("page_id", host.alias("host"), path.alias("path"))
+    host, path = host_and_path(F.col("url"))
+    urls = pages.select(plain(id_col).alias("page_id"), plain(url_col).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     given = rules.groupBy("host", "path").agg(F.max(F.struct(F.col("verdict") == "block", "verdict"))["verdict"].alias("rule_verdict"))
     starts = given.select(F.concat(_reversed(F.split("host", "\\.")), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"))
     labels = F.split("host", "\\.")
     probes = (
-        urls.where(F.col("path") != "").groupBy("host", "path").agg(F.lit(1).alias("one")).drop("one")
+        urls.where((F.col("host") != "") | (F.col("path") != "")).groupBy("host", "path").agg(F.lit(1).alias("one")).drop("one")
         .withColumn("from", F.explode(F.sequence(F.lit(1), F.size(labels))))
         .select(F.concat(_reversed(F.slice(labels, F.col("from"), F.size(labels) - F.col("from") + 1)), F.col("path")).alias("key"), "host", "path")
     )
