@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm.common import table, written
+from factlake.llm.common import free, live, table, written
 from factlake.llm.decontaminate import drop_contaminated
 from factlake.llm.importance import resampled_documents
 from factlake.llm.mixing import mixed_documents
@@ -50,10 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; every stage but the last is written and read again, and what only it read is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), live()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, f"stage{i}")
+            free(spark, [p for p in live()[:-1] if p not in before])
     return docs
