@@ -59,7 +59,7 @@ def digits(c: Column) -> Column:
 def iso_date(c: Column) -> Column:
     """yyyy-mm-dd, exactly, or null."""
     t = trimmed(c)
-    return F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(t, "yyyy-MM-dd"))
+    return F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), t.try_cast("date"))
 
 
 def decimal_value(c: Column) -> Column:
