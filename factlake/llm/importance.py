@@ -15,7 +15,7 @@ two of a text, n of them say as much as n / (1 + (n - 1) * CORRELATION) independ
 Documents are drawn without replacement by Gumbel top-k: hash-seeded Gumbel noise is added to
 the log weight and the k largest are kept. k is a budget: given, or the expected number of target
 documents, which is the sum over all documents of the probability of being trusted, a logistic function
-of the log weight that is fit on labelled rows (at most MAX_TARGET of each kind), each weighed by a model
+of the log weight that is fit on labelled rows (at most MAX_CURVE of each kind, drawn by hash), each weighed by a model
 whose target lacks its half of the texts. The k-th largest
 value is found exactly by narrowing histograms, so nothing is sorted in one place.
 
@@ -43,8 +43,10 @@ from .quality_rules import STEM, TOXIC_WORD, toxic_model
 
 #: Hash buckets of the unigrams, and as many of the bigrams.
 BUCKETS = 1 << 16
-#: Labelled rows of a kind that the target model and the budget are fit on, at most.
+#: Trusted rows that the target model is fit on, and toxic ones of the toxic model, at most.
 MAX_TARGET = 50_000
+#: Labelled rows of a kind that the budget is fit on, at most.
+MAX_CURVE = 10_000
 #: Pseudo-count of every bucket, in target counts: rare words that the target happens to lack weigh little.
 SMOOTHING = 5.0
 #: Correlation between two n-grams of a text.
@@ -65,24 +67,29 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     return np.concatenate((h % np.uint64(buckets), np.uint64(buckets) + pairs % np.uint64(buckets))).astype(np.int64)
 
 
-class _WordBuckets(dict):
-    """Buckets of a lower-case word and of its first letters in the toxic model: the engine's XXH64, cut to the model's (a power of two) buckets."""
+def word_buckets(word: str, buckets: int) -> list[int]:
+    """Buckets of a lower-case word and of its first letters in the toxic model: the engine's XXH64, cut to so many (a power of two)."""
+    return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) & (buckets - 1) for x in (word, "^" + word[:STEM])]
 
-    def __init__(self, buckets: int) -> None:
+
+class ToxicRatios(dict):
+    """Log ratio, toxic to target, of lower-case words; worked out once a word while there is room."""
+
+    def __init__(self, toxic: np.ndarray) -> None:
         super().__init__()
-        self.mask = buckets - 1
+        self.toxic = toxic
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        at = tuple(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) & self.mask for x in (word, "^" + word[:STEM]))
-        if len(self) < 200_000:
-            self[word] = at
-        return at
+    def __missing__(self, word: str) -> float:
+        value = float(self.toxic[word_buckets(word, len(self.toxic))].max())
+        if len(self) < 300_000:
+            self[word] = value
+        return value
 
 
-def toxic_evidence(text: str | None, toxic: np.ndarray, at: _WordBuckets) -> float:
+def toxic_evidence(text: str | None, ratios: ToxicRatios) -> float:
     """Log ratio of a text's probability as toxic to that as target."""
     words = (text or "").lower().split()
-    return float(toxic[np.array(list(map(at.__getitem__, words)))].max(axis=1).sum()) - TOXIC_WORD * len(words) if words else 0.0
+    return sum(map(ratios.__getitem__, words)) - TOXIC_WORD * len(words)
 
 
 def labelled_ids(labels: DataFrame, rule: str, limit: int, id_col: str = "doc_id") -> DataFrame:
@@ -150,15 +157,20 @@ def weight_of(at: np.ndarray, evidence: float, model: Model) -> float:
 
 def with_weight(df: DataFrame, model: Model, text_col: str, to: str) -> DataFrame:
     """df with a struct column: weight (log importance weight) and n (features)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    buckets, toxic_buckets = len(model[0]) // 2, len(model[1])
+    shared, buckets = df.sparkSession.sparkContext.broadcast(model), len(model[0]) // 2
 
     @F.pandas_udf("weight double, n long")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        model, at = shared.value, _WordBuckets(toxic_buckets)
-        found = [features(t, buckets) for t in texts]
-        evidence = [toxic_evidence(t, model[1], at) if model[2] else 0.0 for t in texts]
-        return pd.DataFrame({"weight": [weight_of(f, e, model) if len(f) else 0.0 for f, e in zip(found, evidence, strict=True)], "n": [len(f) for f in found]})
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        ratios = ToxicRatios(model[1])
+        for texts in parts:
+            weights, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for i, t in enumerate(texts):
+                at = features(t, buckets)
+                sizes[i] = len(at)
+                if len(at):
+                    weights[i] = weight_of(at, toxic_evidence(t, ratios) if model[2] else 0.0, model)
+            yield pd.DataFrame({"weight": weights, "n": sizes})
 
     return df.withColumn(to, run(plain(text_col)))
 
@@ -192,7 +204,7 @@ def fit_logistic(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[floa
     return float(beta[0]), float(beta[1])
 
 
-def budget_curve(documents: DataFrame, labels: DataFrame, models: list[Model], id_col: str, text_col: str, limit: int) -> tuple[float, float] | None:
+def budget_curve(documents: DataFrame, labels: DataFrame, models: list[Model], id_col: str, text_col: str, limit: int = MAX_CURVE) -> tuple[float, float] | None:
     """a, b of the probability of being trusted, from labelled rows weighed by the models that did not see them; None if labels are of one kind."""
     known = labelled_ids(labels, _TRUSTED, limit).withColumn("good", F.lit(1)).unionByName(labelled_ids(labels, _OTHER, limit).withColumn("good", F.lit(0)))
     rows = documents.select(plain(id_col).alias("doc_id"), plain(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("text", "good", _fold(F.col("text")).alias("fold"))
@@ -214,7 +226,7 @@ def _cut(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, se
     scored = written(weighed, "weights")
     able = scored.where("n_features > 0")
     if k is None:
-        curve, each = budget_curve(documents, labels, models, id_col, text_col, options.get("limit", MAX_TARGET)), F.lit(1.0)
+        curve, each = budget_curve(documents, labels, models, id_col, text_col), F.lit(1.0)
         if curve:
             each = 1 / (1 + F.exp(F.greatest(F.least(-F.lit(curve[0]) - F.lit(curve[1]) * F.col("weight"), F.lit(500.0)), F.lit(-500.0))))
         k = round(able.agg(F.sum(each)).first()[0] or 0)

@@ -1,11 +1,14 @@
 """Secret scan: fixed patterns plus character Markov models, by DataFrame operations only.
 
-Two order-1 models over characters are compared on every long token. The random model learns
+Two order-1 models over characters are compared on every token: a run of letters and digits, so
+that a key is judged by itself in a path, after a name or between separators; what a pattern's
+match covers of a run is cut out, and what is left on either side is judged. The random model learns
 from labelled secrets (the values that the fixed patterns find), the ordinary one from the other
-long tokens that look like identifiers (no digits enclosed by letters); each distinct token counts once, so copies carry no weight. A token whose log-
-likelihood ratio per character, random to ordinary, reaches the threshold, and which overlaps
-no pattern's match, is reported as kind markov. The models are two tables of fixed size (one
-entry per pair of ASCII characters), handed to the tasks as a scalar subquery.
+tokens that look like identifiers (no digits enclosed by letters); each distinct token counts once,
+so copies carry no weight. A token whose log-likelihood ratio, random to ordinary, reaches NEEDED in
+all and THRESHOLD per character is reported as kind markov: short tokens must be the more telling.
+The models are two tables of fixed size (one entry per pair of ASCII characters), handed to the
+tasks as a scalar subquery.
 
 Spans are code points, end exclusive. Defined results: a null or empty text has no spans;
 repeated rows are scanned alike; without labelled secrets the random model is uniform; an
@@ -28,13 +31,15 @@ BASE = {"assign": (ASSIGN, ASSIGN, 6), "access": (ACCESS, "AKIA[A-Z0-9]{16}", 20
 KINDS = ["assign", "access", "hex", "markov"]
 
 #: Tokens that the Markov models judge and learn from: this long at least.
-MIN_TOKEN = 20
-TOKEN = f"([A-Za-z0-9+/_=-]{{{MIN_TOKEN},}})"
-#: Log-likelihood ratio per character from which a token is a secret.
-THRESHOLD = 0.5
+MIN_TOKEN = 12
+TOKEN = f"([A-Za-z0-9]{{{MIN_TOKEN},}})"
+#: Log-likelihood ratio from which a token is a secret, and that per character.
+NEEDED, THRESHOLD = 10.0, 0.5
 #: Other long tokens with this are neither labelled as secrets nor as ordinary.
 _UNCLEAR = "[A-Za-z][0-9]+[A-Za-z]"
 _ALPHABET = 66
+#: Share of evenly distributed characters in the random model.
+UNIFORM = 0.5
 #: Pseudo-count with which pairs of characters lean on single ones.
 _BACK = 10.0
 _CODES = 128
@@ -58,11 +63,18 @@ def _matches(text: Column, pattern: str, must: str, least: int) -> Column:
 
 
 def with_base_spans(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with base: start, end, value and kind of every base span, and tokens: the long tokens that meet none."""
+    """docs (doc_id, text) with base: start, end, value and kind of every base span, and tokens: what lies outside them of the runs."""
     found = docs.withColumns({k: _matches(F.col("text"), *BASE[k]) for k in BASE} | {"long": _matches(F.col("text"), TOKEN, TOKEN, MIN_TOKEN)})
     spans = F.concat(*[F.transform(k, lambda s, k=k: F.struct(s["start"], s["end"], F.lit(i).alias("kind"), s["value"])) for i, k in enumerate(BASE)])
-    free = F.filter("long", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return found.withColumn("base", spans).withColumn("tokens", free).drop("long", *BASE)
+
+    def outside(t: Column) -> Column:
+        """The parts of a run before its first base span and after its last one."""
+        met = F.filter("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+        ends = ((t["start"], F.array_min(F.transform(met, lambda s: s["start"]))), (F.array_max(F.transform(met, lambda s: s["end"])), t["end"]))
+        parts = F.array(*[F.struct(a.alias("start"), b.alias("end"), F.substr(t["value"], a - t["start"] + 1, F.greatest(b - a, F.lit(0))).alias("value")) for a, b in ends])
+        return F.when(F.size(met) == 0, F.array(F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value")))).otherwise(F.filter(parts, lambda p: p["end"] - p["start"] >= MIN_TOKEN))
+
+    return found.withColumn("base", spans).withColumn("tokens", F.flatten(F.transform("long", outside))).drop("long", *BASE)
 
 
 def _steps(value: Column) -> Column:
@@ -75,7 +87,9 @@ def markov_model(found: DataFrame) -> DataFrame:
     """One row, ratios: the log ratio, random to ordinary, per pair of characters."""
     labelled = found.select(F.explode(F.concat(F.transform("base", lambda s: F.struct(s["value"].alias("value"), F.lit(1).alias("random"))), F.transform("tokens", lambda t: F.struct(t["value"].alias("value"), F.lit(0).alias("random"))))).alias("x")).select("x.value", "x.random")
     distinct = labelled.where((F.col("value") != "") & ((F.col("random") == 1) | ~F.col("value").rlike(_UNCLEAR))).groupBy("value", "random").agg(F.lit(1).alias("one"))
-    steps = distinct.select("random", F.explode(_steps(F.col("value"))).alias("step"))
+    # ordinary words may be written in capitals throughout
+    written_so = distinct.select("random", F.explode(F.when(F.col("random") == 1, F.array("value")).otherwise(F.array("value", F.upper("value")))).alias("value"))
+    steps = written_so.select("random", F.explode(_steps(F.col("value"))).alias("step"))
     counts = steps.groupBy("step").agg(F.sum("random").alias("r"), F.sum(1 - F.col("random")).alias("o"))
     # at most _CODES * _CODES rows, here and below
     ids = found.sparkSession.range(_CODES * _CODES).select(F.col("id").cast("int").alias("step"), (F.col("id") / _CODES).cast("int").alias("prev"), (F.col("id") % _CODES).cast("int").alias("cur"))
@@ -88,16 +102,19 @@ def markov_model(found: DataFrame) -> DataFrame:
     for i, x in enumerate("ro"):  # pairs lean on single characters, those on equal shares
         alone = (F.col(f"{x}_cur") + 0.5) / (F.col("all")[i] + 0.5 * _ALPHABET)
         p[x] = (F.col(x) + _BACK * alone) / (F.col(f"{x}_prev") + _BACK)
+    # labelled secrets may be of one kind; any random string is half the model
+    p["r"] = (1 - UNIFORM) * p["r"] + UNIFORM / _ALPHABET
     return joined.agg(F.transform(F.sort_array(F.collect_list(F.struct("step", (F.log(p["r"]) - F.log(p["o"])).alias("lr")))), lambda x: x["lr"]).alias("ratios"))
 
 
-def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, needed: float = NEEDED) -> DataFrame:
     """A row per document: doc_id, spans (array of start, end, kind number), values (the matched texts, in that order)."""
     docs = documents.select(plain(id_col).alias("doc_id"), text_of(plain(text_col)).alias("text"))
     found = with_base_spans(docs).drop("text")
     judged = found.withColumn("ratios", markov_model(found).scalar())
-    score = lambda t: F.aggregate(_steps(t["value"]), F.lit(0.0), lambda a, s: a + F.element_at(F.col("ratios"), s + 1)) / F.char_length(t["value"])
-    added = F.transform(F.filter("tokens", lambda t: score(t) >= threshold), lambda t: F.struct(t["start"], t["end"], F.lit(len(BASE)).alias("kind"), t["value"]))
+    score = lambda t: F.aggregate(_steps(t["value"]), F.lit(0.0), lambda a, s: a + F.element_at(F.col("ratios"), s + 1))
+    scored = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), score(t).alias("score")))
+    added = F.transform(F.filter(scored, lambda t: (t["score"] >= needed) & (t["score"] >= threshold * F.char_length(t["value"]))), lambda t: F.struct(t["start"], t["end"], F.lit(len(BASE)).alias("kind"), t["value"]))
     ordered = F.sort_array(F.transform(F.concat("base", added), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))
     return judged.select("doc_id", ordered.alias("spans"))
 

@@ -324,6 +324,31 @@ def test_secrets(spark):
     assert not any("markov" in got[i].all for i, t in enumerate(texts) if t and "ordinary" in t)
 
 
+def test_secrets_in_paths_names_and_beside_hex(spark):
+    """Random keys of an alphabet that no labelled secret has are found by themselves, wherever they stand; ordinary words are left alone."""
+    r = random.Random(5)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    syllables = "the and ing tion ment er un der stand al ly con re".split()
+    word = lambda k: "".join(r.choices(syllables, k=k))
+    texts = [f"token = {r.getrandbits(128):032x} and {word(6)}" for _ in range(100)] + [f"{word(5)} {word(7).upper()} {word(4).capitalize()}Of{word(3).capitalize()} {word(4)}2024 490123456789012" for _ in range(200)]
+    plain, keys = len(texts), []
+    for around in ("see {} here", "GET /static/files/download/{}/index", "client_session_identifier={};", "{}0123456789abcdef0123456789"):
+        for n in (20, 24, 32):
+            for _ in range(10):
+                keys.append("".join(r.choices(alphabet, k=n - 1)) + "Z")
+                texts.append("before " + around.format(keys[-1]))
+    got = {x.doc_id: [s for s in x.spans if s["kind"] == 3] for x in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert not any(got[i] for i in range(plain))
+    found = [any(texts[plain + i][s["start"] : s["end"]] == k for s in got[plain + i]) for i, k in enumerate(keys)]
+    assert sum(found) >= 0.95 * len(found)
+
+
+def test_secrets_edges(spark):
+    rows = [(None, "password=abcdefgh"), (1, None), (1, None), (2, ""), (3, "x" * 200_000 + " AKIA" + "B" * 20), (4, "a" * 12), (4, "a" * 12)]
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(x.doc_id), len([s for s in x.spans if s["kind"] < 3])) for x in got) == [("1", 0), ("1", 0), ("2", 0), ("3", 1), ("4", 0), ("4", 0), ("None", 1)]
+
+
 def test_mixing(docs, rows):
     got = mixing.mix_sources(docs).collect()
     by = collections.defaultdict(list)
@@ -476,10 +501,9 @@ def test_importance_budget_is_the_expected_number():
 
 
 def test_importance_word_buckets_are_the_engines(spark):
-    at = importance._WordBuckets(1 << 18)
     df = spark.createDataFrame([("Réeuxabc",), ("x",), ("ß€",)], "w string")
     for r in df.select("w", F.array(*quality_rules._toxic_buckets(F.col("w"), 1 << 18)).alias("b")).collect():
-        assert list(at[r.w.lower()]) == r.b
+        assert importance.word_buckets(r.w.lower(), 1 << 18) == r.b
 
 
 def test_large_groups_are_cut_by_medians_only(spark):
@@ -492,3 +516,120 @@ def test_large_groups_are_cut_by_medians_only(spark):
         size[r.shard] += r.size
     assert sum(len(x) - 1 for x in shards.values()) <= 7
     assert len(size) == 8 and max(size.values()) < 1.1 * min(size.values())
+
+
+CLASHING = ["row_key", "dk", "n", "w", "v", "h", "r", "key", "mix_key", "mix_copy", "weighed", "tokens", "windows", "ratios", "shard", "fingerprint", "root", "hit_key", "__row", "__n", "__key", "__copy", "__weight", "t_id", "words"]
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, docs):
+    """The documents with columns named like the operators' own, all of value 'mine'."""
+    return docs.select("*", *[F.lit("mine").alias(c) for c in CLASHING])
+
+
+def test_clashing_columns_come_back_unchanged(spark, crowded, labels):
+    bench = spark.createDataFrame([("a", "one")], "item_id string, text string")
+    for kept in (importance.resampled_documents(crowded, labels), simhash.drop_near_duplicates(crowded), decontaminate.drop_contaminated(crowded, bench), mixing.mixed_documents(crowded)):
+        assert kept.columns == crowded.columns
+        assert kept.select(*CLASHING).distinct().collect() == [tuple(["mine"] * len(CLASHING))]
+
+
+def test_clashing_columns_change_no_result(spark, docs, crowded, labels):
+    bench = spark.createDataFrame([("a", "one", "mine")], "item_id string, text string, w string")
+    b = bench.drop("w")
+    same = lambda x, y: collections.Counter(map(repr, x.collect())) == collections.Counter(map(repr, y.collect()))
+    assert same(quality_rules.quality(crowded, labels), quality_rules.quality(docs, labels))
+    assert same(secrets.scan_secrets(crowded), secrets.scan_secrets(docs))
+    assert same(decontaminate.contamination(crowded, bench), decontaminate.contamination(docs, b))
+    assert same(mixing.mix_sources(crowded), mixing.mix_sources(docs))
+    assert same(sharding.kd_shards(crowded, n_shards=1).drop("slot"), sharding.kd_shards(docs, n_shards=1).drop("slot"))
+
+
+def test_empty_tables_and_texts(spark, docs, labels):
+    none = docs.limit(0)
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert secrets.scan_secrets(none).count() == 0 and quality_rules.quality(none, labels).count() == 0
+    assert url_filter.judge_urls(pages, spark.createDataFrame([("org", "", "block")], url_filter.RULES)).count() == 0
+    assert importance.resampled_documents(none, labels).count() == 0 and mixing.mixed_documents(none).count() == 0
+    assert simhash.drop_near_duplicates(none).count() == 0
+    assert decontaminate.drop_contaminated(none, spark.createDataFrame([], "item_id string, text string")).count() == 0
+
+
+def test_rules_without_a_path(spark):
+    df = spark.createDataFrame([(1, "https://a.org"), (2, "https://b.org/x"), (3, "https://org.com"), (4, None)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(df, spark.createDataFrame([("org", "", "block")], url_filter.RULES)).collect()}
+    assert got == {1: ("org", "block"), 2: ("org", "block"), 3: (None, "allow"), 4: (None, "allow")}
+
+
+def test_quality_ratio_by_brute_force(spark, docs, rows, labels):
+    """The score from counted words and pairs, over the same hash buckets."""
+    buckets = 64
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.toxic == 0}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    digest = lambda w, seed=42: xxhash.xxh64_intdigest(w.encode(), seed)
+
+    def grams(t):
+        w = WORD.findall(t or "")
+        return [signed(digest(x)) % buckets for x in w], [buckets + signed(digest(y, digest(x)) if y is not None else digest(x)) % buckets for x, y in zip(w, [*w[1:], None])]
+
+    counts = np.zeros((2, 2 * buckets))
+    for i, t in rows:
+        for x in sum(grams(t), []):
+            counts[:, x] += 1, i in good
+    ratio = np.zeros(2 * buckets)
+    for part in (slice(0, buckets), slice(buckets, None)):
+        raw, target = counts[0, part], counts[1, part]
+        ratio[part] = np.log(target + 5) - np.log(raw * target.sum() / raw.sum() + 5)
+    want = sorted((str(i), round(float(np.mean(ratio[sum(grams(t), [])])), 6) if WORD.findall(t or "") else 0.0) for i, t in rows)
+    got = quality_rules.quality(docs, labels, buckets=buckets, threshold=-0.01).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+    assert all(r.kept == (not r.base_failed and r.score >= -0.01 and r.toxic_score <= 5) for r in got)
+
+
+def test_quality_drops_toxic_documents(spark):
+    """A few toxic words in a text of quality drop it, copies of one toxic text mark nothing else; the held-out third is not labelled."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(900):
+        words = [f"w{x}" for x in rng.integers(0, 300, 120)]
+        if i % 5 == 0:
+            for at in rng.integers(0, 120, 5):
+                words[at] = rng.choice(["vile", "Nasty", "scorn"])
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, "seldom found in " + " ".join(f"w{x}" for x in range(100)) + " vile " * 3) for i in range(100)] + [(2000, "seldom found in " + " ".join(f"w{x}" for x in range(60)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, int(i % 5 == 0 or i >= 1000)) for i, _ in rows if i % 3 and i < 2000], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_rules.quality(d, lab).collect()}
+    clean, toxic = ([got[i].kept for i in range(0, 900, 3) if (i % 5 == 0) == x] for x in (False, True))
+    assert sum(clean) >= 0.98 * len(clean) and sum(toxic) <= 0.1 * len(toxic) and got[2000].toxic_score <= 0 < got[1001].toxic_score
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from factlake.llm import common
+
+    class Away:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Away)
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_pipeline_run_leaves_only_the_last_stages_tables(spark, docs, labels, tmp_path):
+    import corpus_pipeline as p
+    from factlake.llm import common
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("a", "one")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = common.live()
+    got = p.run(spark, str(tmp_path)).collect()
+    left = [x for x in common.live() if x not in before]
+    assert got and not any(f"stage{i}-" in x for x in left for i in range(3)) and any("stage3-" in x for x in left)
+    names = got[0].asDict().keys()
+    assert list(names) == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert {r.shard for r in got} <= set(range(8))
