@@ -32,12 +32,27 @@ def new_rows(batch: DataFrame, existing: DataFrame, key: str, order: list[str] |
     return once.join(existing.select(key), key, "left_anti")
 
 
+#: Column by whose values appended tables are laid out in folders: the first digits of the hash that prunes them.
+PREFIX, PREFIX_DIGITS = "hash_prefix", 2
+
+
 def append_new(batch: DataFrame, path: str, key: str, order: list[str] | None = None, prune: str | None = None) -> int:
-    """Writes new_rows; the number written."""
-    spark = batch.sparkSession
-    rows = new_rows(batch, read_table(spark, path, batch.schema), key, order, prune)
+    """Writes new_rows; the number written.
+
+    prune names a column of hexadecimal hashes that the key is derived from: the table has a folder
+    for each of their prefixes (256), and an append reads those of its own batch only.
+    """
+    spark, schema = batch.sparkSession, batch.schema
+    if prune:
+        batch = batch.withColumn(PREFIX, F.concat(F.lit("h"), F.substring(prune, 1, PREFIX_DIGITS)))  # a letter first, so that no prefix reads as a number
+        prefixes = [r[0] for r in batch.select(PREFIX).distinct().collect()]
+        existing = read_table(spark, path, batch.schema).where(F.col(PREFIX).isin(prefixes))
+        rows = new_rows(batch, existing, key, order, prune).repartition(PREFIX)
+    else:
+        rows = new_rows(batch, read_table(spark, path, schema), key, order)
     seen = Observation("written")
-    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    out = rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append")
+    (out.partitionBy(PREFIX) if prune else out).parquet(path)
     return seen.get["n"]
 
 

@@ -70,6 +70,26 @@ def test_restatement_end_to_end(spark, tmp_path):
     assert lineage.with_locator_parts(gold.where("value = 1000000")).select("member", "line_no", "account", "column").first()[:] == ("dfp_cia_aberta_DRE_con_2023.csv", 2, "3.01", "")
 
 
+def test_append_reads_its_own_folders(spark, tmp_path):
+    from factlake.sources.sinks import PREFIX, append_new
+
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(f"k{i}", f"{i % 16:x}{i % 16:x}{i:02x}") for i in range(64)], "id string, sha string")
+    assert append_new(rows, path, "id", prune="sha") == 64
+    assert append_new(rows.where("sha like '00%'").unionByName(spark.createDataFrame([("new", "00ff"), ("new", "00ff")], rows.schema)), path, "id", prune="sha") == 1
+    table = spark.read.parquet(path)
+    assert table.count() == 65 and table.where(F.col(PREFIX) == "h00").count() == 5
+    assert len(table.where(F.col(PREFIX) == "h00").inputFiles()) >= 1
+
+
+def test_unbuilt_documents(spark):
+    from factlake.plans.build import unbuilt
+
+    docs = spark.createDataFrame([("a",), ("b",)], "content_sha256 string")
+    log = spark.createDataFrame([("a", "1.1.0"), ("b", "1.0.0")], "content_sha256 string, extractor_version string")
+    assert [r.content_sha256 for r in unbuilt(log, docs, "1.1.0").collect()] == ["b"]
+
+
 def test_build_reads_archives_once(spark, tmp_path):
     """A file's content is used once, whatever is asked of the build afterwards."""
     seen = spark.sparkContext.accumulator(0)
