@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word rules: U+0020 and U+0009 to U+000D.
-SPACES = "[\\x20\\x09-\\x0D]+"
+from ..functions.expr import fresh
+
 #: Tables of more bytes are joined by shuffle, not broadcast.
 BROADCAST_BYTES = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,7 +25,7 @@ def text_of(column: str | Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Words of a text in order; null and blank texts have none."""
+    """Words of a text in order, between white space (U+0020 and U+0009 to U+000D); null and blank texts have none."""
     text = text_of(text)
     for c in "\t\n\x0b\x0c\r":
         text = F.replace(text, F.lit(c), F.lit(" "))
@@ -47,14 +47,6 @@ def plain(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def row_key(id_col: str, text_col: str) -> Column:
     """128 bits in hexadecimal, equal for equal (id, text); rows that agree in both are the same document."""
     i, t = plain(id_col).cast("string"), plain(text_col)
@@ -72,6 +64,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+__all__ = ["ascii_lower", "free", "fresh", "kth_largest", "live", "plain", "row_key", "shared_dir", "sided", "table", "text_of", "words", "written"]
+
 #: Paths of the tables that `written` made and nobody has freed.
 _LIVE: list[str] = []
 
