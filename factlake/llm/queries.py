@@ -1,4 +1,4 @@
-"""The ten operators as queries over their whole tables, with SQL where SQL can express them."""
+"""The thirteen operators as queries over their whole tables, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .brown_lm import score_texts
-from .common import table
+from .common import ascii_lower, table
 from .decontaminate import contamination
+from .filter_audit import audit_filters, failure_cells
 from .html_extract import extract_main_text
 from .importance import resample
+from .licenses import scan_licenses
+from .manifest import fold, manifest, proof
 from .mixing import mix_sources
 from .quality_rules import quality
 from .secrets import BASE, scan_secrets, span_digest
@@ -18,6 +21,8 @@ from .simhash import near_duplicates
 from .url_filter import RULES, judge_urls
 
 N_SHARDS = 8
+#: The audited filters, in the order of a pattern's bits.
+FILTERS = "ABCDE"
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -70,6 +75,25 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(failure_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), FILTERS)
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = {"text": F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))}
+    rows = manifest(table(spark, sf_dir, "documents"), "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"], tampered)
+    folded = rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), fold(F.col("path"), F.col("found")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda *places: F.array_join(F.sort_array(F.array_distinct(F.concat(*[F.transform(p, lambda x: x["label"]) for p in places]))), ",")
+    starts = F.transform("base", lambda x: x["start"].cast("long"))
+    return scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), named("base").alias("base_labels"), named("base", "found").alias("labels"), "score"
+    )
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_sharding": op2_sharding,
@@ -81,4 +105,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filters": op9_url_filters,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_manifest": op12_manifest,
+    "op13_licenses": op13_licenses,
 }
