@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import fresh
+from .scratch import free, live, written
 
 
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -34,26 +37,88 @@ def new_rows(batch: DataFrame, existing: DataFrame, key: str, order: list[str] |
 
 #: Column by whose values appended tables are laid out in folders: the first digits of the hash that prunes them.
 PREFIX, PREFIX_DIGITS = "hash_prefix", 2
+#: Folder, in a table's own, that tells which of its files hold which values; readers of the table pass it by.
+INDEX = "_values"
+#: A prefix of more new rows is dealt out to several tasks.
+ROWS_PER_FILE = 1_000_000
+#: An append names the files that it reads up to this number; of more, it reads their folders.
+MAX_NAMED_FILES = 10_000
+
+
+def _files(spark: SparkSession, path: str, schema, prefixes: list[str] | None) -> set[str]:
+    """Names of a table's files, in the folders of the prefixes."""
+    table = read_table(spark, path, schema)
+    return set((table.where(F.col(PREFIX).isin(prefixes)) if prefixes is not None else table).inputFiles())
+
+
+def _index_schema(prune: str | None) -> str:
+    return f"file string, value long{f', {PREFIX} string' if prune else ''}"
+
+
+def candidate_files(spark: SparkSession, path: str, schema, values: DataFrame, prefixes: list[str] | None) -> tuple[list[str], set[str]]:
+    """Files that may hold one of the values (a column value of 64-bit hashes), and all files of their folders.
+
+    Files that the index does not speak of, as an append was cut off before it had written it, may hold any.
+    """
+    files = _files(spark, path, schema, prefixes)
+    index = read_table(spark, f"{path}/{INDEX}", _index_schema(prefixes and PREFIX))
+    if prefixes is not None:
+        index = index.where(F.col(PREFIX).isin(prefixes))
+    spoken = {r.file: r.hit for r in index.join(values.select("value", F.lit(True).alias("met")).distinct(), "value", "left").groupBy("file").agg(F.coalesce(F.max("met"), F.lit(False)).alias("hit")).collect()}
+    return sorted(f for f in files if spoken.get(f.rsplit("/", 1)[-1], True)), files
 
 
 def append_new(batch: DataFrame, path: str, key: str, order: list[str] | None = None, prune: str | None = None) -> int:
-    """Writes new_rows; the number written.
+    """Writes new_rows; the number written. One writer at a time a table.
 
     prune names a column of hexadecimal hashes that the key is derived from: the table has a folder
-    for each of their prefixes (256), and an append reads those of its own batch only.
+    for each of their prefixes (256). An index beside the table holds, per file, the 64-bit hashes of
+    its values of prune (or of key), so that an append opens only files which hold a value of its batch;
+    a file that is not in the index yet is opened too, so a cut-off append loses nothing.
+    The batch is computed once; a prefix with many rows is written by many tasks.
     """
     spark, schema = batch.sparkSession, batch.schema
+    mine = live()
+    value = fresh(batch, "value")
+    first = Window.partitionBy(key).orderBy(*(order or [c for c in batch.columns if c != key] or [key]))
+    n = fresh(batch, "n")
+    once = batch.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
     if prune:
-        batch = batch.withColumn(PREFIX, F.concat(F.lit("h"), F.substring(prune, 1, PREFIX_DIGITS)))  # a letter first, so that no prefix reads as a number
-        prefixes = [r[0] for r in batch.select(PREFIX).distinct().collect()]
-        existing = read_table(spark, path, batch.schema).where(F.col(PREFIX).isin(prefixes))
-        rows = new_rows(batch, existing, key, order, prune).repartition(PREFIX)
+        once = once.withColumn(PREFIX, F.concat(F.lit("h"), F.substring(prune, 1, PREFIX_DIGITS)))  # a letter first, so that no prefix reads as a number
+    stored = once.schema
+    once = written(once.withColumn(value, F.xxhash64(prune or key)), "batch")
+    counts = {r[0]: r[1] for r in once.groupBy(PREFIX).count().collect()} if prune else {}  # as many as there are prefixes
+    prefixes = list(counts) if prune else None
+    files, before = candidate_files(spark, path, stored, once.select(F.col(value).alias("value")), prefixes)
+    if len(files) > MAX_NAMED_FILES:
+        existing = read_table(spark, path, stored)
+        existing = existing.where(F.col(PREFIX).isin(prefixes)) if prune else existing
+    else:
+        existing = spark.read.schema(stored).option("basePath", path).parquet(*files) if files else spark.createDataFrame([], stored)
+    rows = once.drop(value).join(existing.select(key), key, "left_anti").select(*stored.names)
+    if counts:
+        pieces = F.element_at(F.create_map(*[F.lit(x) for p, c in counts.items() for x in (p, -(-c // ROWS_PER_FILE))]), F.col(PREFIX))
+        piece = fresh(rows, "piece")
+        rows = rows.withColumn(piece, F.pmod(F.xxhash64(key), pieces)).hint("rebalance", PREFIX, piece).sortWithinPartitions(PREFIX, prune, key).drop(piece)
     else:
-        rows = new_rows(batch, read_table(spark, path, schema), key, order)
+        rows = rows.hint("rebalance")
     seen = Observation("written")
     out = rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append")
     (out.partitionBy(PREFIX) if prune else out).parquet(path)
-    return seen.get["n"]
+    count = seen.get["n"]
+    if count:
+        index_files(spark, path, stored, prune, key, sorted(_files(spark, path, stored, prefixes) - before))
+    free(spark, [p for p in live() if p not in mine])
+    return count
+
+
+def index_files(spark: SparkSession, path: str, schema, prune: str | None, key: str, files: list[str]) -> None:
+    """Adds files of a table to its index."""
+    if files:
+        found = spark.read.schema(schema).option("basePath", path).parquet(*files)
+        rows = found.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.xxhash64(prune or key).alias("value"), *[PREFIX] * bool(prune)).distinct()
+        out = rows.hint("rebalance", PREFIX).sortWithinPartitions("value") if prune else rows.hint("rebalance")
+        (out.write.partitionBy(PREFIX) if prune else out.write).mode("append").parquet(f"{path}/{INDEX}")
 
 
 def register_documents(observed: DataFrame, raw_document: DataFrame) -> DataFrame:
@@ -69,19 +134,59 @@ def log_retrievals(retrievals: DataFrame, path: str) -> None:
     retrievals.write.mode("append").parquet(path)
 
 
-def ingest_batch(landed: DataFrame, raw_document_path: str, retrieval_path: str) -> DataFrame:
-    """landed: the columns of retrieval plus size_bytes, media_type, storage_path. Registers, logs, and tells per retrieval whether its content was new."""
+#: Folders of a batch in its tables and in the ledger.
+BATCH = "batch"
+_DONE = "step string, rows long"
+
+
+def batch_identity(landed: DataFrame) -> str:
+    """The same for the same rows, in any order; repeated rows count."""
+    row = F.struct(*sorted(landed.columns))
+    sums = landed.agg(*[F.coalesce(F.sum(F.xxhash64(row, F.lit(seed)).cast("decimal(38,0)")), F.lit(0)).cast("string") for seed in (1, 2)], F.count(F.lit(1)).cast("string")).first()
+    return "x" + hashlib.sha256("|".join(sums).encode()).hexdigest()[:24]
+
+
+def _step_done(spark: SparkSession, ledger: str, step: str) -> bool:
+    return not read_table(spark, f"{ledger}/{step}", _DONE).isEmpty()
+
+
+def _mark(spark: SparkSession, ledger: str, step: str, rows: int) -> None:
+    spark.range(1).select(F.lit(step).alias("step"), F.lit(rows).cast("long").alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{ledger}/{step}")
+
+
+_OUTCOME = "retrieval_id string, resource_key string, content_sha256 string, is_new boolean"
+
+
+def ingest_batch(landed: DataFrame, raw_document_path: str, retrieval_path: str, batch_id: str | None = None, ledger_path: str | None = None) -> DataFrame:
+    """landed: the columns of retrieval plus size_bytes, media_type, storage_path. Registers, logs, and tells per retrieval whether its content was new.
+
+    A ledger (beside the retrieval table, if no path is given) keeps a folder per batch: the outcome
+    is written first, then the batch's own folders of both tables, a marker last. A batch that was cut
+    off anywhere goes on from what is written when it is run again, a finished one returns the
+    outcome on record, and the answer is read from the ledger, so no lost executor or later batch changes it. One writer at a
+    time. Without batch_id a batch is known by its rows.
+    """
     spark = landed.sparkSession
-    observed = landed.select("content_sha256", "size_bytes", "media_type", "storage_path", F.col("retrieved_at").alias("seen_at"), "run_id")
-    schema = "content_sha256 string, size_bytes bigint, media_type string, storage_path string, first_seen_at timestamp, first_seen_run_id string"
-    marked = register_documents(observed, read_table(spark, raw_document_path, schema)).persist()
-    first = Window.partitionBy("content_sha256").orderBy("retrieved_at", "retrieval_id")
-    rows = landed.join(marked.select("content_sha256", "is_new"), "content_sha256")
-    outcome = rows.select("retrieval_id", "resource_key", "content_sha256", (F.col("is_new") & (F.row_number().over(first) == 1)).alias("is_new")).persist()
-    outcome.count()  # before the tables change
-    marked.where("is_new").drop("is_new").write.mode("append").parquet(raw_document_path)
-    log_retrievals(landed.drop("size_bytes", "media_type", "storage_path"), retrieval_path)
-    return outcome
+    batch_id = batch_id or batch_identity(landed)
+    ledger = f"{ledger_path or retrieval_path.rstrip('/') + '-ledger'}/{BATCH}={batch_id}"
+    outcome = f"{ledger}/outcome"
+    if not _step_done(spark, ledger, "recorded"):
+        observed = landed.select("content_sha256", "size_bytes", "media_type", "storage_path", F.col("retrieved_at").alias("seen_at"), "run_id")
+        schema = "content_sha256 string, size_bytes bigint, media_type string, storage_path string, first_seen_at timestamp, first_seen_run_id string"
+        # the batch's own folder, from an earlier try, is no earlier sighting
+        earlier = read_table(spark, raw_document_path, f"{schema}, {BATCH} string").where(~F.col(BATCH).eqNullSafe(batch_id)).drop(BATCH)
+        register_documents(observed, earlier).where("is_new").drop("is_new").write.mode("overwrite").parquet(f"{ledger}/documents")
+        new = spark.read.parquet(f"{ledger}/documents").select("content_sha256", F.lit(True).alias("new"))
+        first = Window.partitionBy("content_sha256").orderBy("retrieved_at", "retrieval_id")
+        rows = landed.withColumn("nth", F.row_number().over(first)).join(new, "content_sha256", "left")
+        rows.select("retrieval_id", "resource_key", "content_sha256", (F.col("new").isNotNull() & (F.col("nth") == 1)).alias("is_new")).write.mode("overwrite").parquet(outcome)
+        landed.drop("size_bytes", "media_type", "storage_path").write.mode("overwrite").parquet(f"{ledger}/retrievals")
+        _mark(spark, ledger, "recorded", spark.read.parquet(outcome).count())
+    if not _step_done(spark, ledger, "done"):
+        for name, path in (("documents", raw_document_path), ("retrievals", retrieval_path)):
+            spark.read.parquet(f"{ledger}/{name}").write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        _mark(spark, ledger, "done", spark.read.parquet(outcome).count())
+    return spark.read.schema(_OUTCOME).parquet(outcome)
 
 
 def log_run_event(spark: SparkSession, path: str, run_id: str, command: str, status: str, notes: str | None = None) -> None:
