@@ -144,10 +144,58 @@ def delta(original: Column, revised: Column) -> Column:
     return F.coalesce(narrow(revised) - narrow(original), F.try_subtract(revised, original).try_cast(VALUE))
 
 
+#: Bases of a value's three parts: unscaled, it is high * 10^24 + low * 10^10 + places.
+_LOW, _PLACES = 10**14, 10**10
+_PART = "decimal(38,0)"
+
+
+def _number(n: int) -> Column:
+    return F.lit(Decimal(n)).cast(f"decimal({max(1, len(str(abs(n))))},0)")
+
+
+def _parts(c: Column) -> list[Column]:
+    """high, low and places of a value of decimal(38,10), of its sign, each a whole number of 14 digits or fewer."""
+    c = c.cast(VALUE)
+    whole = F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("decimal(28,0)")
+    low = (whole % _number(_LOW)).cast("decimal(14,0)")
+    # exact: what is divided is a multiple of the divisor
+    high = ((whole - low).cast("decimal(28,0)") / _number(_LOW)).cast("decimal(14,0)")
+    places = (((c % _number(1)).cast("decimal(10,10)")) * _number(_PLACES)).cast("decimal(10,0)")
+    return [high, low, places]
+
+
+def _floored(c: Column, base: int) -> Column:
+    """Floor of a whole number by a base."""
+    rest = F.pmod(c, _number(base)).cast("decimal(15,0)")
+    return ((c - rest).cast(_PART) / _number(base)).cast("decimal(37,0)")
+
+
+def _reaches(original: Column, revised: Column, left: int, right: int) -> Column:
+    """|revised - original| * left >= |original| * right, exactly, of any two values; left and right have up to 21 digits.
+
+    All is done on parts, whose products fit, and carried upwards; the sign of the highest part decides.
+    """
+    grown, negative = F.when(revised >= original, _number(1)).otherwise(_number(-1)), F.when(original < 0, _number(-1)).otherwise(_number(1))
+    high, low, places = [
+        (((r - o).cast("decimal(15,0)") * grown).cast("decimal(15,0)") * _number(left)).cast("decimal(37,0)") - ((o * negative).cast("decimal(14,0)") * _number(right)).cast("decimal(36,0)")
+        for o, r in zip(_parts(original), _parts(revised), strict=True)
+    ]
+    low = (low.cast("decimal(37,0)") + _floored(places.cast("decimal(37,0)"), _PLACES)).cast("decimal(37,0)")
+    return (high.cast("decimal(37,0)") + _floored(low, _LOW)) >= 0
+
+
+def _hundredfold(c: Column) -> Column:
+    """100 times a value below 10^27, all places kept."""
+    c = c.try_cast("decimal(37,10)")
+    whole = F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("decimal(27,0)")
+    places = ((c % _number(1)).cast("decimal(10,10)") * _number(100)).cast("decimal(10,8)")
+    return ((whole * _number(100)).cast("decimal(29,0)") + places).cast("decimal(38,8)")
+
+
 def _percent(original: Column, revised: Column) -> Column:
-    """Percent of |original|; exact to the result's places while the difference is below 10^18, else of a product to six places."""
-    d, hundred = delta(original, revised), F.lit(100).cast("decimal(3,0)")
-    return F.coalesce(F.try_divide(d.try_cast("decimal(28,10)") * hundred, F.abs(original)), F.try_divide(F.try_multiply(d, hundred), F.abs(original)))
+    """Percent of |original|; exact to the result's places while the difference is below 10^27, else of a product to six places."""
+    d = delta(original, revised)
+    return F.coalesce(F.try_divide(_hundredfold(d), F.abs(original)), F.try_divide(F.try_multiply(d, _number(100)), F.abs(original)))
 
 
 def delta_pct(original: Column, revised: Column) -> Column:
@@ -155,21 +203,21 @@ def delta_pct(original: Column, revised: Column) -> Column:
     return F.when(original != 0, _percent(original, revised).try_cast("decimal(38,6)"))
 
 
-def at_least_pct(original: Column, revised: Column, min_pct: float) -> Column:
-    """|delta| in percent of |original| is min_pct or more; zero originals drop out.
+#: Places and digits of a limit in percent.
+LIMIT_PLACES, LIMIT_DIGITS = 18, 21
+
+
+def at_least_pct(original: Column, revised: Column, min_pct: float | Decimal | str) -> Column:
+    """|delta| in percent of |original| is min_pct or more, exactly, for any two values; zero originals drop out.
 
-    Both sides are multiplied out exactly while values are below 10^18 and the limit has at most
-    nine digits, six of them places; beyond, doubles are compared.
+    A limit has up to 18 places and, its places included, 21 digits; one below zero is met by all.
     """
-    exact = Decimal(str(min_pct))
-    places = max(0, -exact.normalize().as_tuple().exponent)
-    d, o = F.abs(delta(original, revised)), F.abs(original)
-    about = d.cast("double") * 100 >= F.lit(float(exact)) * o.cast("double")
-    if places > 6 or not 0 <= exact.scaleb(places) < 10**9:
-        return (original != 0) & about
-    left = d.try_cast("decimal(28,10)") * F.lit(100 * 10**places).cast("decimal(9,0)")
-    right = o.try_cast("decimal(28,10)") * F.lit(int(exact.scaleb(places))).cast("decimal(9,0)")
-    return (original != 0) & F.coalesce(left >= right, about)
+    limit = Decimal(str(min_pct))
+    places = max(0, -limit.normalize().as_tuple().exponent)
+    right = int(limit.scaleb(places))
+    if places > LIMIT_PLACES or right >= 10**LIMIT_DIGITS:
+        raise ValueError(f"a limit in percent has at most {LIMIT_PLACES} places and {LIMIT_DIGITS} digits: {min_pct}")
+    return (original != 0) & (_reaches(original, revised, 100 * 10**places, right) if right > 0 else original.isNotNull() & revised.isNotNull())
 
 
 def thousands(value: Column) -> Column:

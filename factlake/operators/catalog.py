@@ -58,7 +58,8 @@ def catalog_totals(raw_document: DataFrame, retrieval: DataFrame, runs: DataFram
 
 
 def recent_runs(runs: DataFrame, n: int = 20) -> DataFrame:
-    return runs.orderBy(F.col("started_at").desc()).limit(n)
+    """The n latest runs; of those started at the same time, the lower run_id first."""
+    return runs.orderBy(F.col("started_at").desc(), "run_id").limit(n)
 
 
 def tier_at_least(rows: DataFrame, tier: str) -> DataFrame:

@@ -144,7 +144,7 @@ ORACLES = {
     "constraint_audit": f"with {_SEEN} select retrieval_id, 'short' as rule from e where size_bytes >= 10000 union all select retrieval_id, 'tier' from e where source_tier = 'derived'",
     "idempotent_append": f"with {_OK} select {_FACT} from g where source_doc_version >= 3 and fact_id not in (select fact_id from g where source_doc_version <= 4)",
     "all_versions_union": f"with {_OK} select cd_conta, source_doc_version, count(*) facts from g group by 1, 2",
-    "recent_runs": "select event_id run_id, event_type command from events order by ts desc limit 20",
+    "recent_runs": "select event_id run_id, event_type command from events order by ts desc, event_id limit 20",
     "silver_typed_projection": f"""with {_RAW}, {_reason('true', False)}
         select {_SILVER_ID} silver_id, 'orders' content_sha256, 'r1' retrieval_id, source_member, source_line_no, cnpj, cast(cod_cvm as int) cod_cvm, 'ACME' denom_cia,
                cast(dt_refer as varchar) dt_refer, 1 versao, doc_id, cast(dt_receb as varchar) dt_receb, cast(null as varchar) link_doc, statement, l_linestatus = 'O' consolidated, cast(null as varchar) grupo_dfp,
@@ -163,5 +163,19 @@ ORACLES = {
     "verified_reads": "select doc_id, sha256(text) content_sha256, cast(octet_length(encode(text)) as bigint) size_bytes from documents where text is not null",
     "corrupt_facts": f"with {_LINKED}, bad as (select content_sha256 from c where first_seen_at % 9 = 0) select fact_id from k where content_sha256 in (select content_sha256 from bad)",
     "large_deltas": """select l_orderkey, l_linenumber, l_partkey, cast(cast(l_linenumber - 3 as decimal(38,10)) as varchar) delta,
-               case when l_linenumber % 2 = 0 then false else abs(l_linenumber - 3) * 100000000::hugeint * 100 >= 101 * cast(cast(l_extendedprice as decimal(18,2)) * 100 as hugeint) end passes from lineitem join orders on l_orderkey = o_orderkey""",
+               cast(case when l_linenumber % 2 = 0 then 0 else sign(l_linenumber - 3) * ((abs(l_linenumber - 3) * 20000000000::hugeint + cents) // (2 * cents)) end as bigint) delta_pct_millionths,
+               case when l_linenumber % 2 = 0 then false else abs(l_linenumber - 3) * 100000000::hugeint * 100 >= 101 * cents end passes,
+               case when l_linenumber % 2 = 0 then abs(l_linenumber - 3) * 100000000000000000000::hugeint >= 3 * cast(l_partkey || '1000000000000000000000' as hugeint) else l_linenumber <> 3 end passes_fine
+               from (select *, cast(cast(l_extendedprice as decimal(18,2)) * 100 as hugeint) cents from lineitem join orders on l_orderkey = o_orderkey)""",
+    "as_of_join_hot_keys": f"""with {_ALL}, w as (select * from f qualify row_number() over (partition by cd_conta, knowledge_date order by source_doc_version desc, fact_id) = 1),
+        p as (select o_orderkey, ['A', 'N', 'R'][cast(o_orderkey % 3 + 1 as int)] cd_conta, cast(o_orderdate as date) as_of from orders)
+        select o_orderkey, p.cd_conta, fact_id, cast(v as double) as value, cast(knowledge_date as varchar) knowledge_date from p asof left join w on p.cd_conta = w.cd_conta and p.as_of >= w.knowledge_date""",
+    "as_of_panel_many_days": f"""with {_OK}, o as (select * from g qualify row_number() over (partition by {_KEY}, knowledge_date order by source_doc_version desc, fact_id) = 1),
+        i as (select *, lead(knowledge_date) over (partition by {_KEY} order by knowledge_date) until from o), d as (select cast(date '1992-01-01' + cast(10 * n as int) as date) as_of from range(256) r(n))
+        select cast(as_of as varchar) as_of, cd_conta, count(*) known, cast(sum(source_doc_version) as bigint) versions, cast(sum(v) as double) total
+        from i join d on as_of >= knowledge_date and (until is null or as_of < until) group by 1, 2""",
+    "appended_by_batches": f"with {_OK} select {_FACT} from g",
+    "ingest_outcomes": f"""with {_SEEN}, t as (select *, row_number() over (partition by content_sha256 order by retrieved_at % 3 > 0, retrieved_at, retrieval_id) n from e where content_sha256 is not null)
+        select retrieval_id, resource_key, content_sha256, n = 1 is_new from t""",
 }
+ORACLES |= {"validity_by_batches": ORACLES["validity_intervals"], "restatements_by_batches": ORACLES["restatements_all"]}

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import asof, catalog, gold, lineage, quality, restate, silver
+from ..operators import asof, catalog, gold, incremental, lineage, quality, restate, silver
 from ..schemas import EXTRACTOR, EXTRACTOR_VERSION
 from ..sources.archives import classify_members, require_intact
-from ..sources.sinks import new_rows, register_documents
+from ..sources.scratch import new_path
+from ..sources.sinks import append_new, ingest_batch, new_rows, register_documents
 from . import driver_tables as D
 
 DAY = date(1998, 6, 30)
@@ -82,6 +83,59 @@ def as_of_join_probes(s: SparkSession, d: str) -> DataFrame:
     return asof.asof_join(probes, known, ["user_id"]).select("event_id", "user_id", F.col("fact.fact_id").alias("known_event"), F.col("fact.value").alias("known_value"))
 
 
+def as_of_join_hot_keys(s: SparkSession, d: str) -> DataFrame:
+    """Three keys hold all rows, so ranges of (key, time) are merged."""
+    probes = D.table(s, d, "orders").select("o_orderkey", F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("cd_conta"), F.col("o_orderdate").cast("date").alias("as_of"))
+    out = asof.asof_join(probes, D.all_facts(s, d), ["cd_conta"], rows_per_task=10_000)
+    return _out(out.select("o_orderkey", "cd_conta", F.col("fact.fact_id").alias("fact_id"), F.col("fact.value").alias("value"), F.col("fact.knowledge_date").alias("knowledge_date")))
+
+
+#: Every tenth day of the data's years.
+PANEL_DAYS = [date(1992, 1, 1) + timedelta(days=10 * i) for i in range(256)]
+
+
+def as_of_panel_many_days(s: SparkSession, d: str) -> DataFrame:
+    return _out(asof.as_of_panel(D.facts(s, d), PANEL_DAYS).groupBy("as_of", "cd_conta").agg(F.count(F.lit(1)).alias("known"), F.sum("source_doc_version").alias("versions"), F.sum(F.col("value").cast("decimal(28,2)")).cast("decimal(38,2)").alias("total")))
+
+
+def _batches(facts: DataFrame) -> list[DataFrame]:
+    """Facts as they might arrive: in three parts, early and late knowledge mixed, the second of which comes twice."""
+    part = F.pmod(F.crc32(F.col("fact_id").cast("binary")), F.lit(3))
+    return [facts.where(part == i) for i in (2, 0, 2, 1)]
+
+
+def validity_by_batches(s: SparkSession, d: str) -> DataFrame:
+    facts, path = D.facts(s, d), new_path(s, "validity")
+    for batch in _batches(facts):
+        incremental.merge_validity(batch, path, buckets=16)
+    return _out(incremental.read_validity(s, path, facts), *FACT, "valid_from", "valid_to")
+
+
+def restatements_by_batches(s: SparkSession, d: str) -> DataFrame:
+    facts, path = D.all_facts(s, d), new_path(s, "ends")
+    for batch in _batches(facts):
+        incremental.merge_ends(batch, path, buckets=16)
+    return _restated(incremental.read_restatements(s, path, facts))
+
+
+def appended_by_batches(s: SparkSession, d: str) -> DataFrame:
+    facts, path = D.facts(s, d).withColumn("content_sha256", F.sha2((F.col("part") % 20).cast("string"), 256)), new_path(s, "appended")
+    for batch in _batches(facts):
+        append_new(batch, path, "fact_id", ["knowledge_date"], "content_sha256")
+    return _out(s.read.parquet(path), *FACT)
+
+
+def ingest_outcomes(s: SparkSession, d: str) -> DataFrame:
+    """documents as two landed batches; both are sent again and answered from the ledger."""
+    seen = D.retrievals(s, d).where("content_sha256 is not null")
+    landed = seen.select("retrieval_id", "content_sha256", "resource_key", F.timestamp_seconds("retrieved_at").alias("retrieved_at"), F.lit("run").alias("run_id"), "size_bytes", F.lit("text").alias("media_type"), F.lit("").alias("storage_path"))
+    first, second = (landed.where(F.col("retrieval_id").cast("long") % 3 == 0), landed.where(F.col("retrieval_id").cast("long") % 3 > 0))
+    paths = new_path(s, "raw"), new_path(s, "retrieval")
+    for batch, name in ((first, "a"), (second, "b")):
+        ingest_batch(batch, *paths, name)
+    return ingest_batch(first, *paths, "a").unionByName(ingest_batch(second, *paths, "b"))
+
+
 def as_of_panel(s: SparkSession, d: str) -> DataFrame:
     return _out(asof.as_of_panel(D.facts(s, d), [date(1997, 6, 30), DAY, date(2000, 6, 30)]), "as_of", *FACT)
 
@@ -313,12 +367,15 @@ def _amounts(s: SparkSession, d: str) -> DataFrame:
 
 def large_deltas(s: SparkSession, d: str) -> DataFrame:
     rows = _amounts(s, d).withColumn("r", F.try_add("o", F.col("d") * F.lit(1).cast("decimal(1,0)")).cast("decimal(38,10)"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", X.delta(F.col("o"), F.col("r")).cast("string").alias("delta"), X.at_least_pct(F.col("o"), F.col("r"), 0.000101).alias("passes"))
+    return rows.select(
+        "l_orderkey", "l_linenumber", "l_partkey", X.delta(F.col("o"), F.col("r")).cast("string").alias("delta"), (X.delta_pct(F.col("o"), F.col("r")) * 1_000_000).cast("long").alias("delta_pct_millionths"),
+        X.at_least_pct(F.col("o"), F.col("r"), 0.000101).alias("passes"), X.at_least_pct(F.col("o"), F.col("r"), "0.000000000000000003").alias("passes_fine"),
+    )
 
 
 QUERIES = {f.__name__: f for f in (
     as_of_all_keys, as_of_single_key, latest_facts, fact_history, version_deltas, validity_intervals, restatements_all, restatements_filtered, restatements_min_pct, unstable_keys, restatement_flag,
-    as_of_join_probes, as_of_panel, as_of_diff, gold_scale_currency_period, gold_contract_quarantine, gold_quality_report, loss_totals, report_rollup, index_ambiguous_keys, detail_index_join,
+    as_of_join_probes, as_of_join_hot_keys, as_of_panel, as_of_panel_many_days, as_of_diff, validity_by_batches, restatements_by_batches, appended_by_batches, ingest_outcomes, gold_scale_currency_period, gold_contract_quarantine, gold_quality_report, loss_totals, report_rollup, index_ambiguous_keys, detail_index_join,
     skip_reason_report, company_filter, statement_filter, year_filter, content_registry, first_retrieval, documents_for, resource_versions, changed_resources, top_changed, catalog_totals, tier_share,
     provenance_chain, lineage_gaps, corrupt_facts, verified_reads, content_hashes, member_kinds, quarantine_split, table_counts, silver_audit, fact_view, large_deltas, locator_build, locator_parse, duplicate_ids, size_conflicts, constraint_audit, idempotent_append, all_versions_union, recent_runs, silver_typed_projection, gold_fact_projection,
 )}

@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 #: Per thread, the paths of the tables that `written` made and nobody has freed: what runs in another thread is not ours to free.
 _OWN = threading.local()
 

@@ -4,22 +4,16 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import fresh
-from .scratch import free, live, written
+from .scratch import exists, free, live, written
 
 
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table; empty if nothing has been written."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def new_rows(batch: DataFrame, existing: DataFrame, key: str, order: list[str] | None = None, prune: str | None = None) -> DataFrame:
@@ -117,8 +111,7 @@ def index_files(spark: SparkSession, path: str, schema, prune: str | None, key:
     if files:
         found = spark.read.schema(schema).option("basePath", path).parquet(*files)
         rows = found.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.xxhash64(prune or key).alias("value"), *[PREFIX] * bool(prune)).distinct()
-        out = rows.hint("rebalance", PREFIX).sortWithinPartitions("value") if prune else rows.hint("rebalance")
-        (out.write.partitionBy(PREFIX) if prune else out.write).mode("append").parquet(f"{path}/{INDEX}")
+        rows.hint("rebalance").sortWithinPartitions(*[PREFIX] * bool(prune), "value").write.mode("append").parquet(f"{path}/{INDEX}")
 
 
 def register_documents(observed: DataFrame, raw_document: DataFrame) -> DataFrame:
