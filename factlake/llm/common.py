@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import fresh
+from ..sources.scratch import BROADCAST_BYTES, free, live, shared_dir, sided, written
 
-#: Tables of more bytes are joined by shuffle, not broadcast.
-BROADCAST_BYTES = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,55 +49,7 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.md5(F.concat(F.coalesce(F.char_length(i), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(i, F.lit("")), F.when(t.isNull(), "-").otherwise("+"), F.coalesce(t, F.lit(""))).cast("binary"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run in one process may it be unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-factlake-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-__all__ = ["ascii_lower", "free", "fresh", "kth_largest", "live", "plain", "row_key", "shared_dir", "sided", "table", "text_of", "words", "written"]
-
-#: Paths of the tables that `written` made and nobody has freed.
-_LIVE: list[str] = []
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: lineage ends here, and a lost executor costs nothing.
-
-    The files go when `free` is called, or when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    _LIVE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def live() -> list[str]:
-    """Paths of the written tables that still exist, oldest first."""
-    return list(_LIVE)
-
-
-def free(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes written tables; nothing may read them any more."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _LIVE.remove(path)
-
-
-def sided(side: DataFrame, width: Column | int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """side (a written table), broadcast if its rows of `width` bytes each fit the limit."""
-    total = side.agg(F.sum(F.lit(width) if isinstance(width, int) else width).cast("long")).first()[0] or 0
-    return F.broadcast(side) if total <= limit else side
-
+__all__ = ["BROADCAST_BYTES", "ascii_lower", "free", "fresh", "kth_largest", "live", "plain", "row_key", "shared_dir", "sided", "table", "text_of", "words", "written"]
 
 def kth_largest(values: DataFrame, k: int, bins: int = 1024) -> float:
     """The k-th largest of a column v; histograms narrow the range until its few values can be read."""

@@ -2,7 +2,7 @@
 
 Two order-1 models over characters are compared on every token: a run of letters and digits, so
 that a key is judged by itself in a path, after a name or between separators; what a pattern's
-match covers of a run is cut out, and what is left on either side is judged. The random model learns
+match covers of a run is cut out, and every part that is left, between two matches too, is judged. The random model learns
 from labelled secrets (the values that the fixed patterns find), the ordinary one from the other
 tokens that look like identifiers (no digits enclosed by letters); each distinct token counts once,
 so copies carry no weight. A token whose log-likelihood ratio, random to ordinary, reaches NEEDED in
@@ -17,10 +17,12 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, text_of
+from .common import plain, text_of, written
 
 # The base patterns, in the order in which ties are listed.
 ASSIGN = "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -43,38 +45,68 @@ UNIFORM = 0.5
 #: Pseudo-count with which pairs of characters lean on single ones.
 _BACK = 10.0
 _CODES = 128
+#: Values that are summed in one array before the sums of such arrays are.
+_CHUNK = 256
+_SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is evaluated once however often then names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _running(values: Column) -> Column:
+    """Running sums of an array of longs, in chunks, so that the work grows with its length (an array that grows in an aggregate is copied each time)."""
+    zero = F.lit(0).cast("long")
+    sums = lambda chunk: F.aggregate(chunk, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"] + x).alias("out")), lambda a: a["out"])
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int")), lambda i: sums(F.slice(values, i * _CHUNK + 1, _CHUNK)))
+    ends = lambda c: F.transform(c, lambda x: F.element_at(x, -1))
+    added = lambda c: F.flatten(F.zip_with(c, F.slice(F.concat(F.array(zero), sums(ends(c))), F.lit(1), F.size(c)), lambda x, before: F.transform(x, lambda v: v + before)))
+    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(_let(chunks, added))
+
+
+def _matches(text: Column, pattern: str, must: str, least: int, part: bool) -> Column:
+    """start, end and value of the pattern's matches whose value (the whole match, or its group) has at least so many characters."""
+    long = lambda array: F.transform(array, lambda p: F.char_length(p).cast("long"))
+    whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def placed(whole: Column) -> Column:
+        ends = _running(F.zip_with(F.slice(long(gaps), 1, F.size(whole)), long(whole), lambda gap, n: gap + n))
+        values = F.transform(whole, lambda m: F.regexp_extract(m, pattern, 1)) if part else whole
+        spans = F.transform(F.arrays_zip(ends.alias("end"), whole.alias("whole"), values.alias("value")), lambda z: F.struct((z["end"] - F.char_length(z["whole"])).cast("int").alias("start"), z["end"].cast("int").alias("end"), z["value"].alias("value")))
+        return F.filter(spans, lambda s: F.char_length(s["value"]) >= least)
 
+    return F.when(text.rlike(must), _let(whole, placed)).otherwise(F.array().cast(_SPANS))
 
-def _matches(text: Column, pattern: str, must: str, least: int) -> Column:
-    """start, end and value of the pattern's matches whose value has at least so many characters."""
-    whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    between = F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p))
-    zipped = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), F.transform(whole, lambda m: F.char_length(m)).alias("n"), value.alias("value"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    placed = F.aggregate(
-        zipped, F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda a, z: F.struct(
-            (a["at"] + z["gap"] + z["n"]).alias("at"),
-            F.when(F.char_length(z["value"]) >= least, F.array_append(a["found"], F.struct((a["at"] + z["gap"]).alias("start"), (a["at"] + z["gap"] + z["n"]).alias("end"), z["value"].alias("value")))).otherwise(a["found"]).alias("found"),
-        ),
-        lambda a: a["found"],
-    )
-    return F.when(text.rlike(must), placed).otherwise(none)
+
+def _outside(runs: Column, base: Column) -> Column:
+    """The parts of runs (start, end, value, apart and in order) that no base span covers.
+
+    Ends of runs and spans are sorted together; running sums tell at each of them how many of either are open, and
+    what lies between two is a part if a run is open and no span.
+    """
+
+    def ends(of: Column, end: str, run: int, span: int) -> Column:
+        return F.transform(of, lambda s: F.struct(s[end].cast("long").alias("at"), F.lit(run + (span << 20)).cast("long").alias("open"), F.lit(max(run, 0)).cast("long").alias("nth")))
+
+    events = F.array_sort(F.concat(ends(runs, "start", 1, 0), ends(runs, "end", -1, 0), ends(base, "start", 0, 1), ends(base, "end", 0, -1)))
+
+    def parts(e: Column) -> Column:
+        column = lambda name: F.transform(e, lambda x: x[name])
+        after = F.slice(column("at"), 2, F.size(e))
+        zipped = F.arrays_zip(F.slice(column("at"), 1, F.size(e) - 1).alias("start"), after.alias("end"), _running(column("open")).alias("open"), _running(column("nth")).alias("nth"))
+        inside = F.filter(zipped, lambda z: (z["open"] == 1) & (z["end"] - z["start"] >= MIN_TOKEN))
+        run = lambda z: F.element_at(runs, z["nth"].cast("int"))
+        return F.transform(inside, lambda z: F.struct(z["start"].cast("int").alias("start"), z["end"].cast("int").alias("end"), F.substr(run(z)["value"], (z["start"] - run(z)["start"] + 1).cast("int"), (z["end"] - z["start"]).cast("int")).alias("value")))
+
+    return F.when((F.size(runs) == 0) | (F.size(base) == 0), runs).otherwise(_let(events, parts))
 
 
 def with_base_spans(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with base: start, end, value and kind of every base span, and tokens: what lies outside them of the runs."""
-    found = docs.withColumns({k: _matches(F.col("text"), *BASE[k]) for k in BASE} | {"long": _matches(F.col("text"), TOKEN, TOKEN, MIN_TOKEN)})
+    found = docs.withColumns({k: _matches(F.col("text"), *BASE[k], part=k == "assign") for k in BASE} | {"long": _matches(F.col("text"), TOKEN, TOKEN, MIN_TOKEN, part=False)})
     spans = F.concat(*[F.transform(k, lambda s, k=k: F.struct(s["start"], s["end"], F.lit(i).alias("kind"), s["value"])) for i, k in enumerate(BASE)])
-
-    def outside(t: Column) -> Column:
-        """The parts of a run before its first base span and after its last one."""
-        met = F.filter("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-        ends = ((t["start"], F.array_min(F.transform(met, lambda s: s["start"]))), (F.array_max(F.transform(met, lambda s: s["end"])), t["end"]))
-        parts = F.array(*[F.struct(a.alias("start"), b.alias("end"), F.substr(t["value"], a - t["start"] + 1, F.greatest(b - a, F.lit(0))).alias("value")) for a, b in ends])
-        return F.when(F.size(met) == 0, F.array(F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value")))).otherwise(F.filter(parts, lambda p: p["end"] - p["start"] >= MIN_TOKEN))
-
-    return found.withColumn("base", spans).withColumn("tokens", F.flatten(F.transform("long", outside))).drop("long", *BASE)
+    return found.withColumn("base", spans).withColumn("tokens", _outside(F.col("long"), F.col("base"))).drop("long", *BASE)
 
 
 def _steps(value: Column) -> Column:
@@ -110,7 +142,8 @@ def markov_model(found: DataFrame) -> DataFrame:
 def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, needed: float = NEEDED) -> DataFrame:
     """A row per document: doc_id, spans (array of start, end, kind number), values (the matched texts, in that order)."""
     docs = documents.select(plain(id_col).alias("doc_id"), text_of(plain(text_col)).alias("text"))
-    found = with_base_spans(docs).drop("text")
+    # texts are read once; the model and the verdict read what was found
+    found = written(with_base_spans(docs).drop("text"), "spans")
     judged = found.withColumn("ratios", markov_model(found).scalar())
     score = lambda t: F.aggregate(_steps(t["value"]), F.lit(0.0), lambda a, s: a + F.element_at(F.col("ratios"), s + 1))
     scored = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), score(t).alias("score")))
