@@ -59,10 +59,10 @@ def _running(values: Column) -> Column:
     """Running sums of an array of longs, in chunks, so that the work grows with its length (an array that grows in an aggregate is copied each time)."""
     zero = F.lit(0).cast("long")
     sums = lambda chunk: F.aggregate(chunk, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"] + x).alias("out")), lambda a: a["out"])
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int")), lambda i: sums(F.slice(values, i * _CHUNK + 1, _CHUNK)))
+    chunks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _CHUNK).cast("int")), lambda i: sums(F.slice(v, i * _CHUNK + 1, _CHUNK)))
     ends = lambda c: F.transform(c, lambda x: F.element_at(x, -1))
     added = lambda c: F.flatten(F.zip_with(c, F.slice(F.concat(F.array(zero), sums(ends(c))), F.lit(1), F.size(c)), lambda x, before: F.transform(x, lambda v: v + before)))
-    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(_let(chunks, added))
+    return _let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<bigint>")).otherwise(_let(chunks(v), added)))
 
 
 def _matches(text: Column, pattern: str, must: str, least: int, part: bool) -> Column:
