@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Reasons that are a user's choice and no loss.
@@ -14,6 +14,17 @@ def quality_report(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     return rows.groupBy(*by, F.coalesce("skip_reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def write_counted(rows: DataFrame, path: str, reasons: list[str]) -> dict[str, int]:
+    """Writes rows (with skip_reason) and counts them by reason ('ok' for none) in the same job."""
+    seen = Observation("reasons")
+    counts = [F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("skip_reason") == r).alias(r) for r in reasons], F.count_if(F.col("skip_reason").isNull()).alias("ok")]
+    rows.observe(seen, *counts).write.parquet(path)
+    found = dict(seen.get)
+    if found.pop("all") != sum(found.values()):
+        raise ValueError(f"rows with a reason other than {', '.join(reasons)}")
+    return {r: found[r] for r in ["ok", *reasons]}
+
+
 def loss_totals(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     """Per group: read, emitted, lost (filtered rows are no loss), filtered."""
     r = F.col("skip_reason")

@@ -8,20 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.gold import to_facts
-from ..operators.quality import loss_totals, quality_report
+from ..operators.quality import NOT_LOSSES, loss_totals, write_counted
 from ..operators.silver import document_index, index_entries, split_quarantine, to_silver
+from ..schemas import GOLD_REASONS, SILVER_REASONS
 from ..sources.archives import classify_members, explode_members, index_rows, list_members, require_index, require_intact
 from ..sources.sinks import append_new
 
 
 @dataclass
 class Built:
-    """What a build read and made. cells, typed and facts are written tables: archives are read once."""
+    """What a build read and made. cells, typed and facts are written tables: archives are read once.
+
+    counts: per stage the rows of every reason ('ok' for none), taken by the jobs that wrote the tables.
+    """
 
     cells: DataFrame
     index: DataFrame
     typed: DataFrame
     facts: DataFrame
+    counts: dict[str, dict[str, int]]
 
     @property
     def silver(self) -> DataFrame:
@@ -40,9 +45,17 @@ class Built:
         return split_quarantine(self.facts)[1]
 
     def report(self) -> DataFrame:
-        """stage, reason, rows."""
-        rows = [t.select(F.lit(stage).alias("stage"), "skip_reason") for stage, t in (("silver", self.typed), ("gold", self.facts))]
-        return quality_report(rows[0].unionByName(rows[1]), ["stage"])
+        """stage, reason, rows. Nothing is read again."""
+        rows = [(stage, reason, n) for stage, found in self.counts.items() for reason, n in found.items() if n]
+        return self.typed.sparkSession.createDataFrame(rows, "stage string, reason string, rows long")
+
+    def totals(self) -> DataFrame:
+        """stage, read, emitted, lost (filtered rows are no loss), filtered, from the same counts."""
+        rows = []
+        for stage, found in self.counts.items():
+            filtered = sum(found.get(r, 0) for r in NOT_LOSSES)
+            rows.append((stage, sum(found.values()), found["ok"], sum(found.values()) - found["ok"] - filtered, filtered))
+        return self.typed.sparkSession.createDataFrame(rows, "stage string, read long, emitted long, lost long, filtered long")
 
     def document_report(self) -> DataFrame:
         """Per document: members parsed, keys that the index leaves ambiguous, and per stage the rows read, emitted, lost and filtered."""
@@ -72,10 +85,10 @@ def build(documents: DataFrame, run_id: str, work: str, companies: list[int] | N
     require_index(names, cells.select("content_sha256", "member").distinct())
     index = document_index(index_entries(index_rows(cells)))
     details = classify_members(cells).join(names.select("content_sha256", "retrieval_id"), "content_sha256")
-    to_silver(details, index, run_id, companies, statements).write.parquet(f"{work}/typed")
+    silver = write_counted(to_silver(details, index, run_id, companies, statements), f"{work}/typed", SILVER_REASONS)
     typed = spark.read.parquet(f"{work}/typed")
-    to_facts(split_quarantine(typed)[0]).write.parquet(f"{work}/facts")
-    return Built(cells, index, typed, spark.read.parquet(f"{work}/facts"))
+    gold = write_counted(to_facts(split_quarantine(typed)[0]), f"{work}/facts", GOLD_REASONS)
+    return Built(cells, index, typed, spark.read.parquet(f"{work}/facts"), {"silver": silver, "gold": gold})
 
 
 def write(built: Built, silver_path: str, gold_path: str) -> tuple[int, int]:

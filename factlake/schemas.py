@@ -47,6 +47,9 @@ CURRENCIES = {"REAL": "BRL"}
 YEAR_DAYS = (330, 400)
 SOURCE_TIERS = ["primary_official", "issuer", "public_web", "vendor_licensed", "derived"]  # strongest first
 RUN_STATUSES = ["running", "success", "failed"]
+#: Reasons for which a row is left out, in the order in which they are tried.
+SILVER_REASONS = ["bad_key", "filtered_out", "bad_date", "ambiguous_index", "no_index", "bad_value"]
+GOLD_REASONS = ["unknown_scale", "unknown_currency", "irregular_period", "contract_violation"]
 EXTRACTOR, EXTRACTOR_VERSION = "dfp_csv", "1.1.0"
 
 

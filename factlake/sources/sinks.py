@@ -39,10 +39,17 @@ ROWS_PER_FILE = 1_000_000
 MAX_NAMED_FILES = 10_000
 
 
+def _folders(spark: SparkSession, path: str, schema, prefixes: list[str] | None) -> DataFrame:
+    """The table, or its folders of the prefixes only; other folders are not even listed."""
+    if prefixes is None:
+        return read_table(spark, path, schema)
+    there = [p for p in (f"{path}/{PREFIX}={x}" for x in prefixes) if exists(spark, p)]
+    return spark.read.schema(schema).option("basePath", path).parquet(*there) if there else spark.createDataFrame([], schema)
+
+
 def _files(spark: SparkSession, path: str, schema, prefixes: list[str] | None) -> set[str]:
     """Names of a table's files, in the folders of the prefixes."""
-    table = read_table(spark, path, schema)
-    return set((table.where(F.col(PREFIX).isin(prefixes)) if prefixes is not None else table).inputFiles())
+    return set(_folders(spark, path, schema, prefixes).inputFiles())
 
 
 def _index_schema(prune: str | None) -> str:
@@ -55,7 +62,7 @@ def candidate_files(spark: SparkSession, path: str, schema, values: DataFrame, p
     Files that the index does not speak of, as an append was cut off before it had written it, may hold any.
     """
     files = _files(spark, path, schema, prefixes)
-    index = read_table(spark, f"{path}/{INDEX}", _index_schema(prefixes and PREFIX))
+    index = read_table(spark, f"{path}/{INDEX}", _index_schema(PREFIX if prefixes is not None else None))
     if prefixes is not None:
         index = index.where(F.col(PREFIX).isin(prefixes))
     spoken = {r.file: r.hit for r in index.join(values.select("value", F.lit(True).alias("met")).distinct(), "value", "left").groupBy("file").agg(F.coalesce(F.max("met"), F.lit(False)).alias("hit")).collect()}
@@ -82,11 +89,13 @@ def append_new(batch: DataFrame, path: str, key: str, order: list[str] | None =
     stored = once.schema
     once = written(once.withColumn(value, F.xxhash64(prune or key)), "batch")
     counts = {r[0]: r[1] for r in once.groupBy(PREFIX).count().collect()} if prune else {}  # as many as there are prefixes
+    if prune and not counts:
+        free(spark, [p for p in live() if p not in mine])
+        return 0
     prefixes = list(counts) if prune else None
     files, before = candidate_files(spark, path, stored, once.select(F.col(value).alias("value")), prefixes)
     if len(files) > MAX_NAMED_FILES:
-        existing = read_table(spark, path, stored)
-        existing = existing.where(F.col(PREFIX).isin(prefixes)) if prune else existing
+        existing = _folders(spark, path, stored, prefixes)
     else:
         existing = spark.read.schema(stored).option("basePath", path).parquet(*files) if files else spark.createDataFrame([], stored)
     rows = once.drop(value).join(existing.select(key), key, "left_anti").select(*stored.names)
