@@ -48,7 +48,7 @@ def _numbered(rows: DataFrame, name: str) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["id", "digest", "r"]
     # rows that agree in all but r are alike, so r may be any number; it keeps copies from sharing a range
-    rows = rows.withColumn("r", F.monotonically_increasing_id())
+    rows = written(rows.withColumn("r", F.monotonically_increasing_id()), f"{name}-rows")  # ranges are sampled first, which reads rows once more
     ranged = written(rows.repartitionByRange(n, "g", *order).withColumn("part", F.spark_partition_id()), f"{name}-ranges")
     before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # at most a row per range and one per group
