@@ -59,14 +59,17 @@ def typed_cells(details: DataFrame) -> DataFrame:
     )
 
 
-def to_silver(details: DataFrame, index: DataFrame, run_id: str, companies: list[int] | Column | None = None, statements: list[str] | None = None) -> DataFrame:
-    """All detail rows in the 29 silver columns plus skip_reason; rows without a reason are the silver table."""
+def to_silver(details: DataFrame, index: DataFrame, run_id: str, companies: list[int] | Column | None = None, statements: list[str] | None = None, extractor_version: str = EXTRACTOR_VERSION) -> DataFrame:
+    """All detail rows in the 29 silver columns plus skip_reason; rows without a reason are the silver table.
+
+    Ids contain the extractor's version: what another version has extracted stays beside it.
+    """
     if statements:
         details = details.where(F.col("statement").isin(list(statements)))
     rows = with_reason(typed_cells(details), index, companies)
     return rows.withColumns({
-        "silver_id": X.row_id(F.col("content_sha256"), F.col("source_member"), F.col("source_line_no"), F.lit(EXTRACTOR_VERSION)),
-        "extractor": F.lit(EXTRACTOR), "extractor_version": F.lit(EXTRACTOR_VERSION), "extraction_run_id": F.lit(run_id),
+        "silver_id": X.row_id(F.col("content_sha256"), F.col("source_member"), F.col("source_line_no"), F.lit(extractor_version)),
+        "extractor": F.lit(EXTRACTOR), "extractor_version": F.lit(extractor_version), "extraction_run_id": F.lit(run_id),
     }).select(*SILVER_COLUMNS, "skip_reason")
 
 

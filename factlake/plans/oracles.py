@@ -143,7 +143,12 @@ ORACLES = {
     "size_conflicts": f"with {_SEEN}, o as (select content_sha256, size_bytes + case when retrieved_at % 5 = 0 then 1 else 0 end s from e) select content_sha256, min(s) low, max(s) high from o group by 1 having min(s) <> max(s)",
     "constraint_audit": f"with {_SEEN} select retrieval_id, 'short' as rule from e where size_bytes >= 10000 union all select retrieval_id, 'tier' from e where source_tier = 'derived'",
     "idempotent_append": f"with {_OK} select {_FACT} from g where source_doc_version >= 3 and fact_id not in (select fact_id from g where source_doc_version <= 4)",
-    "all_versions_union": f"with {_OK} select cd_conta, source_doc_version, count(*) facts from g group by 1, 2",
+    "all_versions_union": f"""with {_GOLD}, u as (select extractor_version, cd_conta, fact_id from g union all
+        select '1.0.0', cd_conta, {_SILVER_ID.replace('1.1.0', '1.0.0')} from s where reason is null and source_line_no % 2 = 0)
+        select extractor_version, cd_conta, count(*) facts, min(fact_id) first_id, max(fact_id) last_id from (select extractor_version, fact_id, min(cd_conta) cd_conta from u group by 1, 2) group by 1, 2""",
+    "run_log": """with e as (select user_id run_id, ts, case event_type when 'purchase' then 'success' when 'error' then 'failed' else 'running' end status from events),
+        l as (select run_id, max((ts, status <> 'running', status)) x, min(ts) filter (status = 'running') started from e group by 1)
+        select run_id, epoch_us(started) started_us, case when x[3] <> 'running' then epoch_us(x[1]) end finished_us, x[3] status from l""",
     "recent_runs": "select event_id run_id, event_type command from events order by ts desc, event_id limit 20",
     "silver_typed_projection": f"""with {_RAW}, {_reason('true', False)}
         select {_SILVER_ID} silver_id, 'orders' content_sha256, 'r1' retrieval_id, source_member, source_line_no, cnpj, cast(cod_cvm as int) cod_cvm, 'ACME' denom_cia,
@@ -160,7 +165,8 @@ ORACLES = {
     "member_kinds": """with m as (select o_orderkey % 6 k, cast(year(o_orderdate) as int) y from orders)
         select case k when 0 then 'DRE' when 1 then 'BPA' else 'DFC_MI' end as statement, k <> 1 consolidated, y member_year, count(*) as rows from m where k < 3 group by all""",
     "content_hashes": "select doc_id, sha256(text) content_sha256 from documents",
-    "verified_reads": "select doc_id, sha256(text) content_sha256, cast(octet_length(encode(text)) as bigint) size_bytes from documents where text is not null",
+    "verified_reads": f"""with {_SEEN} select c.content_sha256, first_seen_at % 9 <> 0 intact, any_value(case when first_seen_at % 9 <> 0 then cast(octet_length(encode("text")) as bigint) end) size_bytes
+        from c join documents on sha256("text") = c.content_sha256 group by 1, 2""",
     "corrupt_facts": f"with {_LINKED}, bad as (select content_sha256 from c where first_seen_at % 9 = 0) select fact_id from k where content_sha256 in (select content_sha256 from bad)",
     "large_deltas": """select l_orderkey, l_linenumber, l_partkey, cast(cast(l_linenumber - 3 as decimal(38,10)) as varchar) delta,
                cast(case when l_linenumber % 2 = 0 then 0 else sign(l_linenumber - 3) * ((abs(l_linenumber - 3) * 20000000000::hugeint + cents) // (2 * cents)) end as bigint) delta_pct_millionths,
@@ -178,4 +184,4 @@ ORACLES = {
     "ingest_outcomes": f"""with {_SEEN}, t as (select *, row_number() over (partition by content_sha256 order by retrieved_at % 3 > 0, retrieved_at, retrieval_id) n from e where content_sha256 is not null)
         select retrieval_id, resource_key, content_sha256, n = 1 is_new from t""",
 }
-ORACLES |= {"validity_by_batches": ORACLES["validity_intervals"], "restatements_by_batches": ORACLES["restatements_all"]}
+ORACLES |= {"laid_out_reads": ORACLES["as_of_single_key"], "validity_by_batches": ORACLES["validity_intervals"], "restatements_by_batches": ORACLES["restatements_all"]}

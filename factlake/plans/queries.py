@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import asof, catalog, gold, incremental, lineage, quality, restate, silver
 from ..schemas import EXTRACTOR, EXTRACTOR_VERSION
-from ..sources.archives import classify_members, require_intact
+from ..sources.archives import classify_members, require_intact, with_intact
 from ..sources.scratch import new_path
+from ..sources.layout import lay_out, read_laid_out
 from ..sources.sinks import append_new, ingest_batch, new_rows, register_documents
+from ..sources.sinks import run_log as sink_run_log
 from . import driver_tables as D
 
 DAY = date(1998, 6, 30)
@@ -35,6 +37,14 @@ def as_of_single_key(s: SparkSession, d: str) -> DataFrame:
     return _out(asof.as_of(one, DAY), *FACT)
 
 
+def laid_out_reads(s: SparkSession, d: str) -> DataFrame:
+    """as_of_single_key of facts laid out by key and day, of which the files with the key's box are opened."""
+    facts, path = D.facts(s, d), new_path(s, "laid-out")
+    lay_out(facts, path, ["cod_cvm", "cd_conta"], rows_per_file=2_000)
+    one = read_laid_out(s, path, facts.schema, {"cod_cvm": 7, "cd_conta": "R"}, until=DAY)
+    return _out(asof.as_of(asof.fact_key_filter(one, cod_cvm=7, cd_conta="R", consolidated=False), DAY), *FACT)
+
+
 def latest_facts(s: SparkSession, d: str) -> DataFrame:
     return _out(asof.latest(D.facts(s, d), date(2005, 1, 1)), *FACT)
 
@@ -300,8 +310,21 @@ def idempotent_append(s: SparkSession, d: str) -> DataFrame:
 
 
 def all_versions_union(s: SparkSession, d: str) -> DataFrame:
-    rows = D.facts(s, d)
-    return rows.where("source_doc_version <= 3").unionByName(rows.where("source_doc_version > 3")).groupBy("cd_conta", "source_doc_version").agg(F.count(F.lit(1)).alias("facts"))
+    """Facts of two extractor versions, the newer of which has read all rows and the older even lines only: both stay, and a second run of the newer adds nothing."""
+    facts = lambda rows, version: silver.split_quarantine(gold.to_facts(silver.split_quarantine(silver.to_silver(rows, D.index(s, d), "run1", extractor_version=version))[0]))[0]
+    old, new = facts(D.details(s, d).where("line_no % 2 = 0"), "1.0.0"), facts(D.details(s, d), EXTRACTOR_VERSION)
+    table = new_rows(old, old.limit(0), "fact_id", ["cd_conta"]).unionByName(new_rows(new, old, "fact_id", ["cd_conta"]))
+    return table.groupBy("extractor_version", "cd_conta").agg(F.count(F.lit(1)).alias("facts"), F.min("fact_id").alias("first_id"), F.max("fact_id").alias("last_id"))
+
+
+def run_log(s: SparkSession, d: str) -> DataFrame:
+    """Users as runs: errors are failures, purchases successes, all else says that the run goes on."""
+    events = D.table(s, d, "events").select(
+        F.col("user_id").alias("run_id"), F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failed").otherwise("running").alias("status"), F.col("ts").alias("event_ts"), F.col("event_type").alias("command")
+    )
+    ended = F.col("status") != "running"
+    log = sink_run_log(events.withColumns({"started_at": F.when(~ended, F.col("event_ts")), "finished_at": F.when(ended, F.col("event_ts"))}))
+    return log.select("run_id", F.unix_micros(F.col("started_at").cast("timestamp")).alias("started_us"), F.unix_micros(F.col("finished_at").cast("timestamp")).alias("finished_us"), "status")
 
 
 def recent_runs(s: SparkSession, d: str) -> DataFrame:
@@ -351,8 +374,10 @@ def content_hashes(s: SparkSession, d: str) -> DataFrame:
 
 
 def verified_reads(s: SparkSession, d: str) -> DataFrame:
-    content = D.table(s, d, "documents").where("text is not null").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256"), F.col("text").cast("binary").alias("content"))
-    return require_intact(content).select("doc_id", "content_sha256", F.octet_length("content").cast("long").alias("size_bytes"))
+    """Stored contents, some of which have changed since they were registered: the intact ones are read, and again held against their hash."""
+    held = with_intact(D.stored_contents(s, d))
+    read = require_intact(held.where("intact")).select("content_sha256", "intact", F.octet_length("content").cast("long").alias("size_bytes"))
+    return read.unionByName(held.where("not intact").select("content_sha256", "intact", F.lit(None).cast("long").alias("size_bytes")))
 
 
 def corrupt_facts(s: SparkSession, d: str) -> DataFrame:
@@ -377,5 +402,5 @@ QUERIES = {f.__name__: f for f in (
     as_of_all_keys, as_of_single_key, latest_facts, fact_history, version_deltas, validity_intervals, restatements_all, restatements_filtered, restatements_min_pct, unstable_keys, restatement_flag,
     as_of_join_probes, as_of_join_hot_keys, as_of_panel, as_of_panel_many_days, as_of_diff, validity_by_batches, restatements_by_batches, appended_by_batches, ingest_outcomes, gold_scale_currency_period, gold_contract_quarantine, gold_quality_report, loss_totals, report_rollup, index_ambiguous_keys, detail_index_join,
     skip_reason_report, company_filter, statement_filter, year_filter, content_registry, first_retrieval, documents_for, resource_versions, changed_resources, top_changed, catalog_totals, tier_share,
-    provenance_chain, lineage_gaps, corrupt_facts, verified_reads, content_hashes, member_kinds, quarantine_split, table_counts, silver_audit, fact_view, large_deltas, locator_build, locator_parse, duplicate_ids, size_conflicts, constraint_audit, idempotent_append, all_versions_union, recent_runs, silver_typed_projection, gold_fact_projection,
+    provenance_chain, lineage_gaps, corrupt_facts, verified_reads, content_hashes, member_kinds, quarantine_split, table_counts, silver_audit, fact_view, large_deltas, locator_build, locator_parse, duplicate_ids, size_conflicts, constraint_audit, idempotent_append, all_versions_union, recent_runs, run_log, laid_out_reads, silver_typed_projection, gold_fact_projection,
 )}

@@ -40,6 +40,11 @@ def verify_documents(documents: DataFrame) -> DataFrame:
     return documents.select("path", "content_sha256", expected.alias("expected_sha256"), (F.col("content_sha256") == expected).alias("ok"))
 
 
+def with_intact(documents: DataFrame) -> DataFrame:
+    """documents (content_sha256, content) with intact: whether the bytes match the hash (null bytes do not)."""
+    return documents.withColumn("intact", F.coalesce(content_hash(F.col("content")) == F.col("content_sha256"), F.lit(False)))
+
+
 def require_intact(documents: DataFrame) -> DataFrame:
     """documents (content_sha256, content); reading one whose bytes do not match its hash is an error that names it."""
     intact = content_hash(F.col("content")) == F.col("content_sha256")

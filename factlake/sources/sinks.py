@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import platform
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import fresh
+from ..schemas import RUN_EVENT, RUN_STATUSES, struct
 from .scratch import exists, free, live, written
 
 
@@ -191,12 +193,32 @@ def ingest_batch(landed: DataFrame, raw_document_path: str, retrieval_path: str,
     return spark.read.schema(_OUTCOME).parquet(outcome)
 
 
-def log_run_event(spark: SparkSession, path: str, run_id: str, command: str, status: str, notes: str | None = None) -> None:
-    """Appends what a run says of itself now: running, success or failed."""
-    event = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(command).alias("command"), F.lit(status).alias("status"), F.lit(notes).cast("string").alias("notes"), F.current_timestamp().alias("event_ts"))
+def log_run_event(spark: SparkSession, path: str, run_id: str, command: str, status: str, notes: str | None = None, code_version: str | None = None, git_sha: str | None = None) -> None:
+    """Appends what a run says of itself now: running, success or failed. A running event has the time as started_at, the others as finished_at."""
+    if status not in RUN_STATUSES:
+        raise ValueError(f"a run's status is one of {', '.join(RUN_STATUSES)}, not {status}")
+    now, ended = F.current_timestamp(), status != RUN_STATUSES[0]
+    values = {
+        "run_id": F.lit(run_id), "command": F.lit(command), "status": F.lit(status), "started_at": F.lit(None) if ended else now, "finished_at": now if ended else F.lit(None),
+        "event_ts": now, "code_version": F.lit(code_version), "runtime_version": F.lit(f"python {platform.python_version()}, spark {spark.version}"), "git_sha": F.lit(git_sha), "notes": F.lit(notes),
+    }
+    event = spark.range(1).select(*[values[f.name].cast(f.dataType).alias(f.name) for f in struct(RUN_EVENT)])
     event.coalesce(1).write.mode("append").parquet(path)
 
 
+def run_log(events: DataFrame) -> DataFrame:
+    """A row per run: its first start, the end that its latest event tells (null while it runs), that event's status, and of all else what was said last.
+
+    Of events of one time, an end counts as the later.
+    """
+    ended = F.col("finished_at").isNotNull()
+    said = [c for c in ("command", "code_version", "runtime_version", "git_sha", "notes") if c in events.columns]
+    when = F.struct("event_ts", ended, "status")
+    latest = F.max(F.struct("event_ts", ended.alias("ended"), "status", "finished_at")).alias("latest")
+    kept = [F.max_by(c, F.when(F.col(c).isNotNull(), when)).alias(c) for c in said]
+    return events.groupBy("run_id").agg(latest, F.min("started_at").alias("started_at"), *kept).select("run_id", "started_at", "latest.finished_at", "latest.status", *said)
+
+
 def current_runs(events: DataFrame) -> DataFrame:
     """The latest event of each run."""
     others = [c for c in events.columns if c not in ("run_id", "event_ts")]

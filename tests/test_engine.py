@@ -16,7 +16,7 @@ from factlake.operators import asof, catalog, lineage, restate
 from factlake.plans.build import build, write
 from factlake.schemas import VALUE
 from factlake.sources.archives import documents_from_sidecars, explode_members, list_members, require_index, scan_documents, scan_sidecars, verify_documents
-from factlake.sources.sinks import current_runs, ingest_batch, log_run_event, read_table
+from factlake.sources.sinks import current_runs, ingest_batch, log_run_event, read_table, run_log
 
 INDEX = "CNPJ_CIA;DT_REFER;VERSAO;DENOM_CIA;CD_CVM;CATEG_DOC;ID_DOC;DT_RECEB;LINK_DOC"
 FLOW = "CNPJ_CIA;DT_REFER;VERSAO;DENOM_CIA;CD_CVM;GRUPO_DFP;MOEDA;ESCALA_MOEDA;ORDEM_EXERC;DT_INI_EXERC;DT_FIM_EXERC;CD_CONTA;DS_CONTA;VL_CONTA;ST_CONTA_FIXA"
@@ -191,10 +191,15 @@ def test_clashing_names_stay(spark):
 
 def test_run_log_from_start_to_finish(spark, tmp_path):
     path = str(tmp_path / "runs")
-    for status in ("running", "success"):
-        log_run_event(spark, path, "a", "build", status)
+    log_run_event(spark, path, "a", "build", "running", code_version="1.0", git_sha="abc")
+    log_run_event(spark, path, "a", "build", "success", "done")
     log_run_event(spark, path, "b", "fetch", "running")
     assert {r.run_id: r.status for r in current_runs(spark.read.parquet(path)).collect()} == {"a": "success", "b": "running"}
+    a, b = run_log(spark.read.parquet(path)).orderBy("run_id").collect()
+    assert (a.status, a.command, a.code_version, a.git_sha, a.notes) == ("success", "build", "1.0", "abc", "done") and a.started_at < a.finished_at and "spark" in a.runtime_version
+    assert b.status == "running" and b.started_at and b.finished_at is None
+    with pytest.raises(ValueError):
+        log_run_event(spark, path, "c", "build", "over")
 
 
 def test_strip_accents_is_complete_for_latin1(spark):
