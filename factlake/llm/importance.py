@@ -73,14 +73,14 @@ def word_buckets(word: str, buckets: int) -> list[int]:
 
 
 class ToxicRatios(dict):
-    """Log ratio, toxic to target, of lower-case words; worked out once a word while there is room."""
+    """Log ratio, toxic to target, of lower-case words (UTF-8); worked out once a word while there is room."""
 
     def __init__(self, toxic: np.ndarray) -> None:
         super().__init__()
         self.toxic = toxic
 
-    def __missing__(self, word: str) -> float:
-        value = float(self.toxic[word_buckets(word, len(self.toxic))].max())
+    def __missing__(self, word: bytes) -> float:
+        value = float(self.toxic[word_buckets(word.decode("utf-8", "surrogatepass"), len(self.toxic))].max())
         if len(self) < 300_000:
             self[word] = value
         return value
@@ -88,7 +88,7 @@ class ToxicRatios(dict):
 
 def toxic_evidence(text: str | None, ratios: ToxicRatios) -> float:
     """Log ratio of a text's probability as toxic to that as target."""
-    words = (text or "").lower().split()
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()  # bytes part at the white space that words are learnt with, and at no other
     return sum(map(ratios.__getitem__, words)) - TOXIC_WORD * len(words)
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from factlake.llm import brown_lm, decontaminate, html_extract, importance, mixing, quality_rules, secrets, sharding, simhash, url_filter
-from factlake.llm.common import ascii_lower, kth_largest
+from factlake.llm.common import ascii_lower, kth_largest, words
 from factlake.llm.queries import BASE, span_digest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -506,6 +506,14 @@ def test_importance_word_buckets_are_the_engines(spark):
         assert importance.word_buckets(r.w.lower(), 1 << 18) == r.b
 
 
+def test_toxic_words_are_parted_as_they_are_learnt(spark):
+    ratios = importance.ToxicRatios(np.zeros(1 << 18))
+    text = "a\u00a0b\u2003c d\x1ce\x85f\tg\x0bÉcole\ud7ff"
+    importance.toxic_evidence(text, ratios)
+    learnt = spark.createDataFrame([(text,)], "t string").select(words(F.lower("t"))).first()[0]
+    assert sorted(w.decode() for w in ratios) == sorted(learnt) and len(learnt) == 4
+
+
 def test_large_groups_are_cut_by_medians_only(spark):
     """40 groups of copies, each a fifth of a shard: seven splits cut at most seven of them."""
     df = spark.range(4000).selectExpr("id doc_id", "concat('text ', 100 + id % 40) text", "'s' source", "'en' lang")
