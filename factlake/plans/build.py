@@ -11,7 +11,7 @@ from ..operators.gold import to_facts
 from ..operators.quality import NOT_LOSSES, loss_totals, write_counted
 from ..operators.silver import document_index, index_entries, split_quarantine, to_silver
 from ..schemas import GOLD_REASONS, SILVER_REASONS
-from ..sources.archives import classify_members, explode_members, index_rows, list_members, require_index, require_intact
+from ..sources.archives import central_directory, classify_members, explode_members, index_rows, list_members, require_index, require_intact, stream_members
 from ..sources.sinks import append_new
 
 
@@ -70,9 +70,11 @@ class Built:
 
 
 def build(documents: DataFrame, run_id: str, work: str, companies: list[int] | None = None, statements: list[str] | None = None) -> Built:
-    """documents: content_sha256, retrieval_id, year, content. work: a folder that driver and executors share, new for each run.
+    """documents: content_sha256, retrieval_id, year, and content or path. work: a folder that driver and executors share, new for each run.
 
-    Every archive's bytes are held against its hash as they are read, once; a corrupt one, one
+    By content, an archive's bytes are a row and are unpacked once; by path, members are listed from its
+    central directory, dealt out over the cluster and unpacked as they are read, so neither archive nor member has to fit in memory.
+    Every archive's bytes are held against its hash; a corrupt one, one
     without its index member, and an empty selection are errors. Empty lists are no filters.
     """
     spark = documents.sparkSession
@@ -80,7 +82,12 @@ def build(documents: DataFrame, run_id: str, work: str, companies: list[int] | N
     names = spark.read.parquet(f"{work}/documents")
     if names.isEmpty():
         raise ValueError("no documents to build")
-    explode_members(list_members(require_intact(documents), statements)).write.parquet(f"{work}/cells")
+    if "content" in documents.columns:
+        read = explode_members(list_members(require_intact(documents), statements))
+    else:
+        central_directory(documents, statements).write.parquet(f"{work}/members")
+        read = stream_members(spark.read.parquet(f"{work}/members"))
+    read.write.parquet(f"{work}/cells")
     cells = spark.read.parquet(f"{work}/cells")
     require_index(names, cells.select("content_sha256", "member").distinct())
     index = document_index(index_entries(index_rows(cells)))

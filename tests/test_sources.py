@@ -71,6 +71,16 @@ def test_an_archive_with_other_bytes_is_an_error(spark, tmp_path):
         central_directory(spark.createDataFrame([(path, sha)], "path string, content_sha256 string")).count()
 
 
+def test_a_build_by_path_is_that_by_content(spark, tmp_path):
+    docs = restatement(spark)
+    paths = spark.createDataFrame(stored(tmp_path, *[bytes(r.content) for r in docs.collect()]), "path string, content_sha256 string")
+    one, two = build(docs, "r", str(tmp_path / "a")), build(docs.drop("content").join(paths, "content_sha256"), "r", str(tmp_path / "b"))
+    for a, b in ((one.silver, two.silver), (one.gold, two.gold)):
+        assert a.count() == 4 and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    with pytest.raises(ValueError, match="no documents"):
+        build(docs.drop("content").join(paths, "content_sha256").limit(0), "r", str(tmp_path / "c"))
+
+
 def test_an_audit_reads_changed_folders_only(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     rows = stored(tmp_path / "in", *[f"content {i}".encode() for i in range(40)])
