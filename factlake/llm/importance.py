@@ -210,12 +210,14 @@ def budget_curve(documents: DataFrame, labels: DataFrame, models: list[Model], i
     rows = documents.select(plain(id_col).alias("doc_id"), plain(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("text", "good", _fold(F.col("text")).alias("fold"))
     x, good, bad = [], [], []
     for i, model in enumerate(models[1:]):
-        w = with_weight(rows.where(F.col("fold") == i), model, "text", "w").where("w.n > 0")
-        tenth = F.round(F.greatest(F.least(F.col("w.weight"), F.lit(300.0)), F.lit(-300.0)), 1).alias("x")  # 6,001 values at most
+        w = with_weight(rows.where(F.col("fold") == i), model, "text", "w")
+        # 6,001 values at most; texts without features are left out below: as a filter, their weights would be asked for before the join, of all documents
+        tenth = F.when(F.col("w.n") > 0, F.round(F.greatest(F.least(F.col("w.weight"), F.lit(300.0)), F.lit(-300.0)), 1)).alias("x")
         for r in w.groupBy(tenth).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).collect():
-            x.append(r.x)
-            good.append(r.good)
-            bad.append(r.bad)
+            if r.x is not None:
+                x.append(r.x)
+                good.append(r.good)
+                bad.append(r.bad)
     return fit_logistic(np.array(x), np.array(good, float), np.array(bad, float)) if sum(good) and sum(bad) else None
 
 
