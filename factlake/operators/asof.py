@@ -56,8 +56,12 @@ def version_deltas(facts: DataFrame, key: list[str] = FACT_KEY) -> DataFrame:
 
 
 def _spans(facts: DataFrame, key: list[str], since: str, until: str) -> DataFrame:
-    """The day's winner per key and day, with the days it holds from and to (exclusive). One shuffle and one sort serve both windows."""
+    """The day's winner per key and day, with the days it holds from and to (exclusive). One shuffle and one sort serve both windows.
+
+    A fact without a day of knowledge holds at none and is left out.
+    """
     known = VERSION_ORDER[0]
+    facts = facts.where(F.col(known).isNotNull())
     by_key = Window.partitionBy(*key)
     before = fresh(facts, "before")
     marked = facts.withColumn(before, F.lag(known).over(by_key.orderBy(F.col(known).asc(), *_latest_first()[1:])))
@@ -98,14 +102,14 @@ def asof_join(probes: DataFrame, facts: DataFrame, key: list[str] = FACT_KEY, at
     on, so versions times probes never meet as pairs. Where a key has more than rows_per_task rows,
     the merge is by ranges of (key, time): each range is merged by itself, and the last fact of all ranges before it
     is carried over its border by a table of one row per range, so a key is dealt over as many tasks
-    as its rows need. Equal probes stay separate rows; a null in a key matches nothing.
+    as its rows need. Equal probes stay separate rows; a null in a key or a day matches nothing.
     """
     known, version, fact_id = VERSION_ORDER
     others = [c for c in probes.columns if c not in (*key, at)]
     when, side, other, fact, ver, ident, part = _named(key, "at", "side", "other", "fact", "version", "ident", "part")
     values = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]) if others else F.lit(True)
     left = probes.select(*key, F.col(at).alias(when), F.lit(1).alias(side), values.alias(other))
-    right = facts.dropna(subset=key).select(*key, F.col(known).cast(probes.schema[at].dataType).alias(when), F.lit(0).alias(side), F.struct(*facts.columns).alias(fact), F.col(version).alias(ver), F.col(fact_id).alias(ident))
+    right = facts.dropna(subset=[*key, known]).select(*key, F.col(known).cast(probes.schema[at].dataType).alias(when), F.lit(0).alias(side), F.struct(*facts.columns).alias(fact), F.col(version).alias(ver), F.col(fact_id).alias(ident))
     merged = left.unionByName(right, allowMissingColumns=True)
     order = [F.col(when), F.col(side), F.col(ver), F.col(ident).desc()]
     here = lambda w: F.last(fact, ignorenulls=True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

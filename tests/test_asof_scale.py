@@ -32,15 +32,15 @@ def known(rows, key, day):
 def test_asof_join_of_a_hot_key(spark, limit):
     facts, rows = made(spark, 900)
     r = random.Random(2)
-    asked = [(i, r.choice([1, 1, 1, 2, 3, 4, 9]), "a", DAY0 + timedelta(r.randint(-5, 420)), "x", i) for i in range(500)] + [(501, None, "a", DAY0, "x", 1)]
+    asked = [(i, r.choice([1, 1, 1, 2, 3, 4, 9]), "a", DAY0 + timedelta(r.randint(-5, 420)), "x", i) for i in range(500)] + [(501, None, "a", DAY0, "x", 1), (502, 1, "a", None, "x", 1)]
     probes = spark.createDataFrame(asked, "n int, cod_cvm int, cd_conta string, as_of date, fact string, part int")
-    facts = facts.unionByName(spark.createDataFrame([("zz", None, "a", DAY0, 1, None)], facts.schema))
+    facts = facts.unionByName(spark.createDataFrame([("zz", None, "a", DAY0, 1, None), ("zy", 1, "a", None, 1, None)], facts.schema))
     out = asof.asof_join(probes, facts, KEY, rows_per_task=limit)
     assert out.columns == [*KEY, "as_of", "n", "fact", "part", "fact_"]
     got = {x.n: x for x in out.collect()}
     assert len(got) == len(asked)
     for n, cod, conta, day, *_ in asked:
-        want = cod and known(rows, (cod, conta), day)
+        want = cod and day and known(rows, (cod, conta), day)
         assert (got[n].fact_ and got[n].fact_.fact_id) == (want and want[0]), n
         assert got[n].fact == "x"
 
