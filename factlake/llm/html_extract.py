@@ -15,7 +15,8 @@ headers outside an article, footers, sidebars, forms (and the ARIA roles that st
 styles and what is hidden.
 
 Defined results: null, empty or tag-only html gives an empty text; unclosed tags, comments,
-quotes and cut-off pages are read as far as they go; of long pages nothing is cut.
+quotes and cut-off pages are read as far as they go; of long pages nothing is cut, and elements may
+lie in each other to any depth.
 """
 
 from __future__ import annotations
@@ -70,6 +71,48 @@ THRESHOLD = 0.4
 GOOD, BAD = 1.5, 0.1
 
 
+class Paths:
+    """A page's paths as a tree: a node is a path, numbered after its parent; node 0 is the empty path.
+
+    A node knows what its path holds (an article's container, a telltale name, an excluded element)
+    and its section, so nothing walks up a path and broken pages of any depth take linear time.
+    """
+
+    def __init__(self) -> None:
+        self.parent, self.label, self.section = [0], [""], [0]
+        self.article, self.telltale, self.excluded = [False], [False], [False]
+        self._known: dict[tuple[int, str], int] = {}
+
+    def child(self, node: int, label: str) -> int:
+        """The node of node's path with one more label."""
+        if (found := self._known.get((node, label))) is not None:
+            return found
+        new = self._known[node, label] = len(self.parent)
+        self.parent.append(node)
+        self.label.append(label)
+        self.section.append(self.section[node] if label.rstrip("+~-") in _FLOW else new)
+        for marks, mark in ((self.article, "+"), (self.telltale, "~"), (self.excluded, "-")):
+            marks.append(marks[node] or label[-1] == mark)
+        return new
+
+    def path(self, node: int) -> tuple[str, ...]:
+        labels = []
+        while node:
+            labels.append(self.label[node])
+            node = self.parent[node]
+        return tuple(reversed(labels))
+
+    def factor(self, node: int) -> float:
+        return (GOOD if self.article[node] else 1.0) * (BAD if self.telltale[node] else 1.0)
+
+
+def _telltale(value: str, tag: str) -> bool:
+    """Whether a class or id name speaks of what is no article text; in running text most of its words must."""
+    words = [w.lower() for w in _NAME_WORDS.findall(value)]
+    bad = sum(w in _BAD_WORDS for w in words)
+    return bad > 0 and not _BESIDE_WORDS.intersection(words) and (tag not in _FLOW or 2 * bad >= len(words))
+
+
 def _label(name: str, attrs: str, in_article: bool) -> str:
     """An element's part of a path: its tag; outside running text its classes too, so that sections differ; at last its mark.
 
@@ -78,7 +121,7 @@ def _label(name: str, attrs: str, in_article: bool) -> str:
     """
     if name in _EXCLUDED or name == "header" and not in_article:
         return name + "-"
-    if name in ("html", "body") or not attrs or attrs.isspace():
+    if not attrs.strip():
         return name + "+" * (name in _CONTAINERS)
     tag, found = name, {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attrs)}
     role = found.get("role", "").lower()
@@ -86,30 +129,34 @@ def _label(name: str, attrs: str, in_article: bool) -> str:
         return name + "-"
     if name not in _FLOW and found.get("class"):
         name = f"{name}.{found['class']}|"
-    for x in (found.get("class", "") + " " + found.get("id", "")).split():
-        parts = {w.lower() for w in _NAME_WORDS.findall(x)}
-        if parts & _BAD_WORDS and not parts & _BESIDE_WORDS:
-            return name + "~"
+    if any(_telltale(x, tag) for x in (found.get("class", "") + " " + found.get("id", "")).split()):
+        return name + "~"
     return name + "+" * (tag in _CONTAINERS or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody")
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """Text blocks in page order: (path of labels, text, characters inside links). A label is the tag and its role."""
-    out, stack, parts = [], [], []  # stack: [name, label]
-    links, in_link, path = 0, 0, ()
+def page_tree(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
+    """The page's paths, and its text blocks in page order: (node, text, characters inside links)."""
+    paths, out, parts = Paths(), [], []
+    stack: list[tuple[str, int]] = []  # open elements: (name, node)
+    open_at: dict[str, list[int]] = defaultdict(list)  # where each name is in the stack
+    scopes: list[int] = []  # where elements are that a list item's or cell's end does not pass
+    links, in_link, node = 0, 0, 0
 
     def flush() -> None:
         nonlocal links
         if parts and (text := " ".join("".join(parts).split())):
-            out.append((path, text, min(links, len(text))))
+            out.append((node, text, min(links, len(text))))
         parts.clear()
         links = 0
 
     def close(to: int) -> None:
-        nonlocal path
+        nonlocal node
         flush()
-        del stack[to:]
-        path = tuple(x[1] for x in stack)
+        while len(stack) > to:
+            open_at[stack.pop()[0]].pop()
+        while scopes and scopes[-1] >= to:
+            scopes.pop()
+        node = stack[-1][1] if stack else 0
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -131,11 +178,9 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         elif name in _INLINE or name in _VOID:
             pass
         elif end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    in_link = 0
-                    break
+            if open_at[name]:
+                close(open_at[name][-1])
+                in_link = 0
             else:
                 flush()
         else:
@@ -143,77 +188,85 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if stack and stack[-1][0] in _CLOSED_BY_BLOCK:
                 close(len(stack) - 1)
             if name in _SAME_CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in _SAME_CLOSES[name]:
-                        close(i)
-                        break
-                    if stack[i][0] in _LIST_SCOPE:
-                        break
+                same = max((open_at[x][-1] for x in _SAME_CLOSES[name] if open_at[x]), default=-1)
+                if same > (scopes[-1] if scopes else -1):
+                    close(same)
             in_link = 0
-            stack.append((name, _label(name, m["attrs"], any(x[1].endswith("+") for x in stack))))
-            path = tuple(x[1] for x in stack)
+            node = paths.child(node, _label(name, m["attrs"], paths.article[node]))
+            open_at[name].append(len(stack))
+            if name in _LIST_SCOPE:
+                scopes.append(len(stack))
+            stack.append((name, node))
     if at < len(page):
         parts.append(_html.unescape(page[at:]))
     flush()
-    return out
-
-
-def section_of(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path down to the nearest element that is not running text."""
-    n = len(path)
-    while n and path[n - 1].rstrip("+~-") in _FLOW:
-        n -= 1
-    return path[:n]
+    return paths, out
 
 
-def name_factor(path: tuple[str, ...]) -> float:
-    return (GOOD if any(label[-1] == "+" for label in path) else 1.0) * (BAD if any(label[-1] == "~" for label in path) else 1.0)
+def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+    """Text blocks in page order with their paths written out: (labels, text, characters inside links)."""
+    paths, blocks = page_tree(page)
+    return [(paths.path(node), text, links) for node, text, links in blocks]
 
 
 def _fused(chars: float, marks: float, links: float) -> float:
     return (1 - links) * (chars * (1 + marks)) ** 0.5
 
 
-def path_scores(blocks: list[tuple[tuple[str, ...], str, int]]) -> tuple[dict[tuple[str, ...], float], float]:
-    """Score per path that may hold content, and that of the section with most text."""
-    sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 0, 0, 0])  # blocks, characters, punctuation, characters in links
-    for path, text, links in blocks:
-        if not any(label[-1] == "-" for label in path):
-            s = sums[path]
+def node_scores(paths: Paths, blocks: list[tuple[int, str, int]]) -> tuple[dict[int, float], float]:
+    """Score per path that may hold content, and that of the section with most text (of equal ones the first)."""
+    sums: dict[int, list[float]] = defaultdict(lambda: [0, 0, 0, 0])  # blocks, characters, punctuation, characters in links
+    for node, text, links in blocks:
+        if not paths.excluded[node]:
+            s = sums[node]
             for i, v in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), links)):
                 s[i] += v
-    own: dict[tuple, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    below: dict[tuple, list[float]] = defaultdict(lambda: [0, 0, 0])
-    for path, s in sums.items():
-        section, weight = section_of(path), BAD if any(label[-1] == "~" for label in path) else 1.0
+    own: dict[int, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    below = [[0.0, 0.0, 0.0] for _ in paths.parent]
+    for node, s in sums.items():
+        section, weight = paths.section[node], BAD if paths.telltale[node] else 1.0
         for i in range(4):
             own[section][i] += s[i]
-        for n in range(len(section) + 1):
-            inside = below[section[:n]]
-            for i, v in enumerate((s[0], s[1] - s[3], s[2])):
-                inside[i] += weight * v
-    main = max(own, key=lambda c: (name_factor(c) * (own[c][1] - own[c][3]), c), default=None)
+        for i, v in enumerate((s[0], s[1] - s[3], s[2])):
+            below[section][i] += weight * v
+    for node in range(len(below) - 1, 0, -1):  # children come after their parents
+        up = below[paths.parent[node]]
+        for i, v in enumerate(below[node]):
+            up[i] += v
+    main = max(own, key=lambda c: paths.factor(c) * (own[c][1] - own[c][3]), default=None)
     if main is None:
         return {}, 0.0
     n, chars, marks, links = own[main]
-    best = name_factor(main) * _fused(chars / n, marks / n, links / chars)
+    best = paths.factor(main) * _fused(chars / n, marks / n, links / chars)
     out = {}
-    for path, (n, chars, marks, links) in sums.items():
-        section = section_of(path)
+    for node, (n, chars, marks, links) in sums.items():
+        section = paths.section[node]
         smooth, around = 0.5, [below[section]]
-        if path and path[-1].rstrip("+~-") in _HEADINGS:  # of any length, and maybe wrapped by itself
-            smooth, around = 1.0, around + [below[section_of(section[:-1])]] * bool(section)
+        if paths.label[node].rstrip("+~-") in _HEADINGS:  # of any length, and maybe wrapped by itself
+            smooth, around = 1.0, around + [below[paths.section[paths.parent[section]]]] * bool(section)
         all_n, all_chars, all_marks = max(around, key=lambda s: s[1] / s[0])
         text_ratio, mark_ratio = ((1 - smooth) * x / n + smooth * y / all_n for x, y in ((chars, all_chars), (marks, all_marks)))
-        out[path] = name_factor(path) * _fused(text_ratio, mark_ratio, links / chars)
+        out[node] = paths.factor(node) * _fused(text_ratio, mark_ratio, links / chars)
     return out, best
 
 
+def path_scores(blocks: list[tuple[tuple[str, ...], str, int]]) -> tuple[dict[tuple[str, ...], float], float]:
+    """node_scores of blocks whose paths are written out."""
+    paths, numbered = Paths(), []
+    for path, text, links in blocks:
+        node = 0
+        for label in path:
+            node = paths.child(node, label)
+        numbered.append((node, text, links))
+    scores, best = node_scores(paths, numbered)
+    return {paths.path(node): score for node, score in scores.items()}, best
+
+
 def main_text(page: str | None) -> str:
     """The page's main text; empty if there is none."""
-    blocks = blocks_of(page or "")
-    scores, best = path_scores(blocks)
-    return " ".join(text for path, text, _ in blocks if path in scores and scores[path] >= THRESHOLD * best)
+    paths, blocks = page_tree(page or "")
+    scores, best = node_scores(paths, blocks)
+    return " ".join(text for node, text, _ in blocks if node in scores and scores[node] >= THRESHOLD * best)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

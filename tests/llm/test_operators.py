@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -99,6 +100,52 @@ def test_html_scores_by_brute_force():
     assert scores == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def test_html_sections_by_brute_force():
+    """Scores of random pages against sums over every path's text that starts with a section, path by path."""
+    r, flow = random.Random(11), html_extract._FLOW
+    section_of = lambda path: section_of(path[:-1]) if path and path[-1].rstrip("+~-") in flow else path
+    for _ in range(30):
+        labels = ["div.a|", "div.ads|~", "article+", "p", "h2", "li", "ul", "nav-", "section"]
+        blocks = [(tuple(r.choices(labels, k=r.randint(0, 6))), "x" * r.randint(1, 40) + "." * r.randint(0, 3), 0) for _ in range(r.randint(1, 25))]
+        shown = [b for b in blocks if "nav-" not in b[0]]
+        factor = lambda p: (html_extract.GOOD if "article+" in p else 1) * (html_extract.BAD if "div.ads|~" in p else 1)
+        ratios = lambda bs: (sum(len(t) for _, t, _ in bs) / len(bs), sum(t.count(".") for _, t, _ in bs) / len(bs))
+
+        def below(section):
+            ws = [(html_extract.BAD if "div.ads|~" in p else 1, t) for p, t, _ in shown if section_of(p)[: len(section)] == section]
+            n = sum(w for w, _ in ws)
+            return sum(w * len(t) for w, t in ws) / n, sum(w * t.count(".") for w, t in ws) / n
+
+        scores, _ = html_extract.path_scores(blocks)
+        assert set(scores) == {p for p, _, _ in shown}
+        for path, score in scores.items():
+            section = section_of(path)
+            chars, marks = ratios([b for b in shown if b[0] == path])
+            smooth, around = 0.5, below(section)
+            if path and path[-1] == "h2":
+                smooth, around = 1.0, max([around] + [below(section_of(section[:-1]))] * bool(section), key=lambda x: x[0])
+            text, mark = ((1 - smooth) * a + smooth * b for a, b in zip((chars, marks), around, strict=True))
+            assert score == pytest.approx(factor(path) * math.sqrt(text * (1 + mark)))
+
+
+def test_html_broken_pages_take_linear_time():
+    n = 20_000
+    for page, want in (
+        ("<div>" * n + "Text, here.", "Text, here."), ("<div>" * n + "x" + "</p>" * n, "x"),
+        ("<li><div>" + "<x>" * n + "<li>a</li>" * n, " ".join("a" * n)), ("<div>text" * n, None),
+    ):
+        start = time.monotonic()
+        got = html_extract.main_text(page)
+        assert time.monotonic() - start < 5 and want in (got, None)
+
+
+def test_html_names_of_running_text():
+    """A paragraph is told by a name only if most of the name's words are telltale."""
+    page = "<main><p>First one, of some length, here.</p><p class={}>A second paragraph, with marks. It goes on.</p></main>"
+    assert html_extract.main_text(page.format("reply-to-critics")) == "First one, of some length, here. A second paragraph, with marks. It goes on."
+    assert html_extract.main_text(page.format("newsletter-signup")) == "First one, of some length, here."
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>" + "word " * 50_000, "t"), (1, None, None, None)], "page_id long, url string, html string, text string")
     got = {r.url: (r.n_chars, len(r.text)) for r in html_extract.extract_main_text(df).collect()}
