@@ -105,7 +105,7 @@ def _outside(runs: Column, base: Column) -> Column:
 def with_base_spans(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with base: start, end, value and kind of every base span, and tokens: what lies outside them of the runs."""
     found = docs.withColumns({k: _matches(F.col("text"), *BASE[k], part=k == "assign") for k in BASE} | {"long": _matches(F.col("text"), TOKEN, TOKEN, MIN_TOKEN, part=False)})
-    spans = F.concat(*[F.transform(k, lambda s, k=k: F.struct(s["start"], s["end"], F.lit(i).alias("kind"), s["value"])) for i, k in enumerate(BASE)])
+    spans = F.concat(*[F.transform(k, lambda s: F.struct(s["start"], s["end"], F.lit(i).alias("kind"), s["value"])) for i, k in enumerate(BASE)])
     return found.withColumn("base", spans).withColumn("tokens", _outside(F.col("long"), F.col("base"))).drop("long", *BASE)
 
 
