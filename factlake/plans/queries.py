@@ -385,15 +385,21 @@ def corrupt_facts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _amounts(s: SparkSession, d: str) -> DataFrame:
-    """Values that grow to 10^27, and close ones: part and price as digits of a number."""
-    digits = F.concat(F.col("l_partkey").cast("string"), F.rpad(F.lit("1"), 22, "0"))
-    return D.lines(s, d).select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") % 2 == 0, digits).otherwise(F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).cast("decimal(38,10)").alias("o"), (F.col("l_linenumber") - 3).cast("decimal(38,10)").alias("d"))
+    """Values that grow to 10^28, and close ones: part and price as digits of a number. Those of longer parts are in units of 10^shift: the percentage is the same."""
+    # a value holds six digits of the part beside the 22 others
+    shift = F.when(F.col("l_linenumber") % 2 == 0, F.greatest(F.length(F.col("l_partkey").cast("string")) - 6, F.lit(0))).otherwise(0)
+    digits = F.concat(F.col("l_partkey").cast("string"), F.expr("rpad('1', 22 - shift, '0')"))
+    return D.lines(s, d).withColumn("shift", shift).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "shift", F.when(F.col("l_linenumber") % 2 == 0, digits).otherwise(F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).cast("decimal(38,10)").alias("o"),
+        F.concat((F.col("l_linenumber") - 3).cast("string"), F.lit("E-"), F.col("shift").cast("string")).cast("decimal(38,10)").alias("d"),
+    )
 
 
 def large_deltas(s: SparkSession, d: str) -> DataFrame:
     rows = _amounts(s, d).withColumn("r", F.try_add("o", F.col("d") * F.lit(1).cast("decimal(1,0)")).cast("decimal(38,10)"))
+    unit = F.concat(F.lit("1E"), F.col("shift").cast("string")).cast("decimal(11,0)")
     return rows.select(
-        "l_orderkey", "l_linenumber", "l_partkey", X.delta(F.col("o"), F.col("r")).cast("string").alias("delta"), (X.delta_pct(F.col("o"), F.col("r")) * 1_000_000).cast("long").alias("delta_pct_millionths"),
+        "l_orderkey", "l_linenumber", "l_partkey", (X.delta(F.col("o"), F.col("r")).cast("decimal(26,10)") * unit).cast("decimal(38,10)").cast("string").alias("delta"), (X.delta_pct(F.col("o"), F.col("r")) * 1_000_000).cast("long").alias("delta_pct_millionths"),
         X.at_least_pct(F.col("o"), F.col("r"), 0.000101).alias("passes"), X.at_least_pct(F.col("o"), F.col("r"), "0.000000000000000003").alias("passes_fine"),
     )
 
