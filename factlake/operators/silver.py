@@ -47,8 +47,15 @@ def with_reason(typed: DataFrame, index: DataFrame, companies: list[int] | Colum
     return found.withColumn("skip_reason", F.coalesce("skip_reason", later)).drop("is_ambiguous")
 
 
+#: HotSpot leaves methods of more bytes of code uncompiled; Spark then runs wide rows in many small ones.
+COMPILED_BYTES = 8000
+
+
 def typed_cells(details: DataFrame) -> DataFrame:
-    """Detail rows (content_sha256, retrieval_id, member, line_no, statement, consolidated, cells) with typed columns."""
+    """Detail rows (content_sha256, retrieval_id, member, line_no, statement, consolidated, cells: map or struct) with typed columns."""
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    if int(details.sparkSession.conf.get(limit)) > COMPILED_BYTES:
+        details.sparkSession.conf.set(limit, COMPILED_BYTES)
     text = {c: X.trimmed(cell(c.upper())) for c in ("denom_cia", "coluna_df", "cd_conta", "ds_conta", "moeda", "escala_moeda")}
     return details.select(
         "content_sha256", "retrieval_id", F.col("member").alias("source_member"), F.col("line_no").alias("source_line_no"), "statement", "consolidated",

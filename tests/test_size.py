@@ -5,7 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 import duckdb
+from pyspark.sql import functions as F
 
+from factlake.operators import silver
+from factlake.plans import driver_tables as D
 from factlake.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +24,19 @@ def test_large_deltas_of_long_part_keys(spark, tmp_path):
         db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     want = db.execute(oracles.ORACLES["large_deltas"]).fetchall()
     assert sorted(map(tuple, queries.large_deltas(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_typed_cells_run_in_compiled_methods_and_without_a_map(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(limit)
+    plan = queries.silver_typed_projection(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map(" not in plan
+    assert int(spark.conf.get(limit)) <= 8000
+
+
+def test_cells_may_be_a_struct_or_a_map(spark):
+    details = D.details(spark, SF).cache()
+    names = details.schema["cells"].dataType.names
+    maps = details.withColumn("cells", F.create_map(*[x for n in names for x in (F.lit(n), F.col("cells")[n])]))
+    one, two = silver.typed_cells(details), silver.typed_cells(maps)
+    assert one.count() == two.count() > 0 and one.exceptAll(two).isEmpty()
