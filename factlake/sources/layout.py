@@ -22,6 +22,8 @@ BITS = 16
 #: Days outside lie in the first or last place; any table's days are told apart as well as 44 a place allow at worst.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2100, 1, 1)
 ROWS_PER_FILE = 1_000_000
+#: A task writes so many rows, in as many files as they need: tasks, and what they tell the driver, do not grow with small files.
+ROWS_PER_TASK = 1_000_000
 
 
 def key_place(columns: list[Column]) -> Column:
@@ -58,10 +60,12 @@ def lay_out(facts: DataFrame, path: str, key: list[str], known: str = VERSION_OR
     order, tie = fresh(facts, "place"), [c for c in VERSION_ORDER if c in facts.columns]
     first, last = (ends[0] or FIRST_DAY, ends[1] or LAST_DAY)
     placed = facts.withColumn(order, interleaved(key_place([F.col(c) for c in key]), F.coalesce(day_place(F.col(known).cast("date"), first, last), F.lit(0))))
-    n = -(-ends[2] // rows_per_file)
-    placed.repartitionByRange(n, order, *tie).sortWithinPartitions(order, *tie).drop(order).write.mode("append").parquet(path)
-    new = sorted(set(spark.read.schema(facts.schema).parquet(path).inputFiles()) - before)
-    rows = spark.read.schema(facts.schema).parquet(*new).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), key_place([F.col(c) for c in key]).alias("k"), F.col(known).cast("date").alias("d"))
+    n = min(-(-ends[2] // rows_per_file), max(-(-ends[2] // ROWS_PER_TASK), spark.sparkContext.defaultParallelism))
+    placed.repartitionByRange(n, order, *tie).sortWithinPartitions(order, *tie).drop(order).write.option("maxRecordsPerFile", rows_per_file).mode("append").parquet(path)
+    table = spark.read.schema(facts.schema).parquet(path)
+    new = sorted(set(table.inputFiles()) - before)
+    # a list of files is listed by tasks, a folder is not
+    rows = (spark.read.schema(facts.schema).parquet(*new) if before else table).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), key_place([F.col(c) for c in key]).alias("k"), F.col(known).cast("date").alias("d"))
     boxes = rows.groupBy("file").agg(F.min("k").alias("low_key"), F.max("k").alias("high_key"), F.min(F.coalesce("d", F.lit(FIRST_DAY))).alias("low_day"), F.max(F.coalesce("d", F.lit(LAST_DAY))).alias("high_day"), F.count(F.lit(1)).alias("rows"))
     boxes.coalesce(1).write.mode("append").parquet(f"{path}/{BOXES}")
     return len(new)
@@ -77,8 +81,13 @@ def files_for(spark: SparkSession, path: str, schema, key: dict | None = None, s
         place = key_place([F.lit(v).cast(types[c]) for c, v in key.items()])
         fits = fits & F.col("low_key").__le__(place) & F.col("high_key").__ge__(place)
     fits = fits & (F.col("high_day") >= F.lit(since) if since else F.lit(True)) & (F.col("low_day") <= F.lit(until) if until else F.lit(True))
-    told = {r.file: r.fits for r in boxes.select("file", fits.alias("fits")).collect()}  # a row per file
-    return sorted(f for f in every if told.get(f.rsplit("/", 1)[-1], True))
+    boxes = boxes.select("file", fits.alias("fits"))
+    name = lambda f: f.rsplit("/", 1)[-1]
+    if boxes.count() == len(every):
+        told = {r.file for r in boxes.where("fits").collect()}  # a row per file that is read
+        return sorted(f for f in every if name(f) in told)
+    told = {r.file: r.fits for r in boxes.collect()}  # a row per file
+    return sorted(f for f in every if told.get(name(f), True))
 
 
 def read_laid_out(spark: SparkSession, path: str, schema, key: dict | None = None, since: date | None = None, until: date | None = None, known: str = VERSION_ORDER[0]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factlake.operators import silver
 from factlake.plans import driver_tables as D
 from factlake.plans import oracles, queries
+from factlake.sources import layout
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +41,14 @@ def test_cells_may_be_a_struct_or_a_map(spark):
     maps = details.withColumn("cells", F.create_map(*[x for n in names for x in (F.lit(n), F.col("cells")[n])]))
     one, two = silver.typed_cells(details), silver.typed_cells(maps)
     assert one.count() == two.count() > 0 and one.exceptAll(two).isEmpty()
+
+
+def test_small_files_need_no_more_tasks(spark, tmp_path):
+    path = f"file://{tmp_path}/laid"
+    facts = spark.range(4_000).select(F.col("id").cast("string").alias("fact_id"), (F.col("id") % 50).alias("k"), F.date_add(F.lit(dt.date(2000, 1, 1)), (F.col("id") % 300).cast("int")).alias("knowledge_date"), F.lit(1).alias("source_doc_version"))
+    written = [layout.lay_out(facts.where(F.col("id") % 2 == i), path, ["k"], rows_per_file=20) for i in (0, 1)]
+    files = spark.read.schema(facts.schema).parquet(path).inputFiles()
+    assert len(files) == sum(written) >= 200
+    assert len({f.rsplit("/", 1)[-1].split("-")[1] for f in files}) <= spark.sparkContext.defaultParallelism
+    assert layout.read_laid_out(spark, path, facts.schema, {"k": 7}).count() == 80
+    assert len(layout.files_for(spark, path, facts.schema, {"k": 7})) < len(files)
