@@ -11,7 +11,7 @@ from ..functions import expr as X
 from ..operators import asof, catalog, gold, incremental, lineage, quality, restate, silver
 from ..schemas import EXTRACTOR, EXTRACTOR_VERSION
 from ..sources.archives import classify_members, require_intact, with_intact
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, written
 from ..sources.layout import lay_out, read_laid_out
 from ..sources.sinks import append_new, ingest_batch, new_rows, register_documents
 from ..sources.sinks import run_log as sink_run_log
@@ -312,7 +312,9 @@ def idempotent_append(s: SparkSession, d: str) -> DataFrame:
 def all_versions_union(s: SparkSession, d: str) -> DataFrame:
     """Facts of two extractor versions, the newer of which has read all rows and the older even lines only: both stay, and a second run of the newer adds nothing."""
     facts = lambda rows, version: silver.split_quarantine(gold.to_facts(silver.split_quarantine(silver.to_silver(rows, D.index(s, d), "run1", extractor_version=version))[0]))[0]
-    old, new = facts(D.details(s, d).where("line_no % 2 = 0"), "1.0.0"), facts(D.details(s, d), EXTRACTOR_VERSION)
+    columns = ["fact_id", "extractor_version", "cd_conta"]
+    # read twice: typed and joined once
+    old, new = written(facts(D.details(s, d).where("line_no % 2 = 0"), "1.0.0").select(*columns), "old-facts"), facts(D.details(s, d), EXTRACTOR_VERSION).select(*columns)
     table = new_rows(old, old.limit(0), "fact_id", ["cd_conta"]).unionByName(new_rows(new, old, "fact_id", ["cd_conta"]))
     return table.groupBy("extractor_version", "cd_conta").agg(F.count(F.lit(1)).alias("facts"), F.min("fact_id").alias("first_id"), F.max("fact_id").alias("last_id"))
 

@@ -52,3 +52,8 @@ def test_small_files_need_no_more_tasks(spark, tmp_path):
     assert len({f.rsplit("/", 1)[-1].split("-")[1] for f in files}) <= spark.sparkContext.defaultParallelism
     assert layout.read_laid_out(spark, path, facts.schema, {"k": 7}).count() == 80
     assert len(layout.files_for(spark, path, facts.schema, {"k": 7})) < len(files)
+
+
+def test_facts_of_the_older_version_are_typed_once(spark):
+    plan = queries.all_versions_union(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") <= 1
