@@ -82,6 +82,18 @@ def row_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 32)
 
 
+def packed(c: Column) -> Column:
+    """Text as bytes without loss, lower-case hexadecimal in half as many: ids are shuffled so. The order is not that of the text."""
+    raw = F.unhex(c)
+    return F.when(F.lower(F.hex(raw)) == c, F.concat(F.unhex(F.lit("01")), raw)).otherwise(F.concat(F.unhex(F.lit("00")), c.cast("binary")))
+
+
+def unpacked(c: Column) -> Column:
+    """The text of packed."""
+    rest = F.substring(c, 2, 2_000_000_000)
+    return F.when(F.substring(c, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 

@@ -17,9 +17,9 @@ from ..sources.buckets import BUCKETS, merge_buckets, read_buckets
 from .asof import with_validity
 
 
-def merged_validity(stored: DataFrame, batch: DataFrame, key: list[str] = FACT_KEY) -> DataFrame:
-    """with_validity of all facts, from that of earlier ones (stored) and new ones; repeated facts change nothing."""
-    return with_validity(stored.drop("valid_from", "valid_to").unionByName(batch).distinct(), key)
+def merged_validity(rows: DataFrame, key: list[str] = FACT_KEY) -> DataFrame:
+    """with_validity of all facts, from that of earlier ones and new ones (rows: both); repeated facts change nothing."""
+    return with_validity(rows.drop("valid_from", "valid_to").distinct(), key)
 
 
 def validity_schema(facts: DataFrame) -> T.StructType:
@@ -27,9 +27,9 @@ def validity_schema(facts: DataFrame) -> T.StructType:
     return T.StructType([*[T.StructField(f.name, f.dataType) for f in facts.schema], T.StructField("valid_from", known), T.StructField("valid_to", known)])
 
 
-def merge_validity(batch: DataFrame, path: str, key: list[str] = FACT_KEY, merge_id: str | None = None, buckets: int = BUCKETS) -> int:
-    """Brings a table of intervals up to date; the number of buckets rewritten."""
-    return merge_buckets(batch, path, key, validity_schema(batch), lambda stored, new: merged_validity(stored, new, key), merge_id, buckets)
+def merge_validity(batch: DataFrame, path: str, key: list[str] = FACT_KEY, merge_id: str | None = None, buckets: int = BUCKETS, landed: bool = False) -> int:
+    """Brings a table of intervals up to date; the number of buckets rewritten. landed: the batch is read from files."""
+    return merge_buckets(batch, path, key, validity_schema(batch), lambda new: new, merged_validity, merge_id, buckets, (VERSION_ORDER[2],), landed)
 
 
 def read_validity(spark: SparkSession, path: str, facts_schema: DataFrame) -> DataFrame:
@@ -43,14 +43,20 @@ def version_ends(facts: DataFrame, key: list[str] = FACT_KEY) -> DataFrame:
     return facts.groupBy(*key).agg(F.min(version).alias("original"), F.max(version).alias("revised"))
 
 
-def merged_ends(stored: DataFrame, batch: DataFrame, key: list[str] = FACT_KEY) -> DataFrame:
-    both = stored.unionByName(version_ends(batch, key))
-    return both.groupBy(*key).agg(F.min("original").alias("original"), F.max("revised").alias("revised"))
+def _single_ends(facts: DataFrame, key: list[str]) -> DataFrame:
+    """Facts in the shape of version_ends, each by itself; the last version is left out, as it is the first."""
+    names = version_ends(facts, key).schema["original"].dataType.names
+    return facts.select(*key, F.struct(*names).alias("original"))
 
 
-def merge_ends(batch: DataFrame, path: str, key: list[str] = FACT_KEY, merge_id: str | None = None, buckets: int = BUCKETS) -> int:
-    """Brings a table of first and last versions up to date; the number of buckets rewritten."""
-    return merge_buckets(batch, path, key, version_ends(batch, key).schema, lambda stored, new: merged_ends(stored, new, key), merge_id, buckets)
+def merged_ends(rows: DataFrame, key: list[str] = FACT_KEY) -> DataFrame:
+    """First and last versions, from those of earlier facts and single facts (rows: both)."""
+    return rows.groupBy(*key).agg(F.min("original").alias("original"), F.max(F.coalesce("revised", "original")).alias("revised"))
+
+
+def merge_ends(batch: DataFrame, path: str, key: list[str] = FACT_KEY, merge_id: str | None = None, buckets: int = BUCKETS, landed: bool = False) -> int:
+    """Brings a table of first and last versions up to date; the number of buckets rewritten. landed: the batch is read from files."""
+    return merge_buckets(batch, path, key, version_ends(batch, key).schema, lambda new: _single_ends(new, key), merged_ends, merge_id, buckets, tuple(f"{end}.{VERSION_ORDER[2]}" for end in ("original", "revised")), landed)
 
 
 def read_restatements(spark: SparkSession, path: str, facts_schema: DataFrame, key: list[str] = FACT_KEY, min_abs_pct: float | None = None) -> DataFrame:

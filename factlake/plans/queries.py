@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import asof, catalog, gold, incremental, lineage, quality, restate, silver
-from ..schemas import EXTRACTOR, EXTRACTOR_VERSION
+from ..schemas import EXTRACTOR, EXTRACTOR_VERSION, FACT_KEY
 from ..sources.archives import classify_members, require_intact, with_intact
 from ..sources.scratch import new_path, written
 from ..sources.layout import lay_out, read_laid_out
@@ -109,22 +109,27 @@ def as_of_panel_many_days(s: SparkSession, d: str) -> DataFrame:
 
 
 def _batches(facts: DataFrame) -> list[DataFrame]:
-    """Facts as they might arrive: in three parts, early and late knowledge mixed, the second of which comes twice."""
+    """Facts as they might arrive: landed in three parts, early and late knowledge mixed, the second of which comes twice."""
     part = F.pmod(F.crc32(F.col("fact_id").cast("binary")), F.lit(3))
-    return [facts.where(part == i) for i in (2, 0, 2, 1)]
+    landed = written(facts.withColumn("batch", part), "landed")
+    return [landed.where(F.col("batch") == i).drop("batch") for i in (2, 0, 2, 1)]
+
+
+#: What the tables kept by batches need of a fact.
+_KEPT = [*FACT_KEY, "knowledge_date", "source_doc_version", "fact_id", "value"]
 
 
 def validity_by_batches(s: SparkSession, d: str) -> DataFrame:
-    facts, path = D.facts(s, d), new_path(s, "validity")
+    facts, path = D.facts(s, d).select(*_KEPT), new_path(s, "validity")
     for batch in _batches(facts):
-        incremental.merge_validity(batch, path, buckets=16)
+        incremental.merge_validity(batch, path, buckets=16, landed=True)
     return _out(incremental.read_validity(s, path, facts), *FACT, "valid_from", "valid_to")
 
 
 def restatements_by_batches(s: SparkSession, d: str) -> DataFrame:
-    facts, path = D.all_facts(s, d), new_path(s, "ends")
+    facts, path = D.all_facts(s, d).select(*_KEPT), new_path(s, "ends")
     for batch in _batches(facts):
-        incremental.merge_ends(batch, path, buckets=16)
+        incremental.merge_ends(batch, path, buckets=16, landed=True)
     return _restated(incremental.read_restatements(s, path, facts))
 
 

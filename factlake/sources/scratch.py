@@ -49,11 +49,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Hexadecimal ids take half of their length in such files.
+COMPRESSION = "zstd"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again. The files go when `free` is called, or when the driver's JVM ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", COMPRESSION).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

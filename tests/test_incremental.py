@@ -81,3 +81,24 @@ def test_empty_batches_and_tables(spark, tmp_path):
     merge_validity(whole, path, KEY)
     merge_validity(whole.limit(0), path, KEY)
     assert same(asof.with_validity(whole, KEY), read_validity(spark, path, whole))
+
+
+def test_a_batch_that_comes_again_rewrites_nothing(spark, tmp_path):
+    whole = facts(spark, 80, 4)
+    whole = whole.withColumn("fact_id", F.sha2("fact_id", 256))
+    parts = [whole.where(F.pmod(F.xxhash64("fact_id"), F.lit(2)) == i).localCheckpoint() for i in range(2)]
+    for merge, name in ((merge_validity, "v"), (merge_ends, "e")):
+        path = str(tmp_path / name)
+        assert merge(parts[0], path, KEY, buckets=4) > 0
+        assert merge(parts[0], path, KEY, buckets=4) == 0
+        assert merge(parts[1], path, KEY, buckets=4) > 0
+    assert same(asof.with_validity(whole, KEY), read_validity(spark, str(tmp_path / "v"), whole))
+
+
+@pytest.mark.parametrize("text", ["", "ab", "AB", "abc", "é|x", "00ff" * 16, None])
+def test_packed_text_comes_back(spark, text):
+    from factlake.functions import expr as X
+
+    row = spark.createDataFrame([(text,)], "t string").select("t", X.packed(F.col("t")).alias("p")).select("t", X.unpacked(F.col("p")).alias("u"), F.octet_length("p").alias("n")).first()
+    assert row.u == row.t == text
+    assert text != "00ff" * 16 or row.n == 33
