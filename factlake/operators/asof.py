@@ -116,6 +116,10 @@ def asof_join(probes: DataFrame, facts: DataFrame, key: list[str] = FACT_KEY, at
     if (merged.groupBy(*key).count().agg(F.max("count")).first()[0] or 0) <= rows_per_task:
         carried = merged.withColumn(fact, here(Window.partitionBy(*key))).where(F.col(side) == 1)
     else:
+        # of a key's facts of one time only the last can be the one known: the others go before the shuffle, which of hot keys are most
+        (nth,) = _named(right.columns, "nth")
+        one = Window.partitionBy(*key, when).orderBy(F.col(ver).desc(), F.col(ident).asc())
+        merged = left.unionByName(right.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth), allowMissingColumns=True)
         carried = _merged_by_ranges(merged, key, part, side, fact, order, here)
     (out,) = _named(probes.columns, "fact")
     return carried.select(*key, F.col(when).alias(at), *[F.col(f"{other}.c{i}").alias(c) for i, c in enumerate(others)], F.col(fact).alias(out))

@@ -7,7 +7,7 @@ import datetime as dt
 import duckdb
 from pyspark.sql import functions as F
 
-from factlake.operators import silver
+from factlake.operators import asof, silver
 from factlake.plans import driver_tables as D
 from factlake.plans import oracles, queries
 from factlake.sources import layout
@@ -57,3 +57,14 @@ def test_small_files_need_no_more_tasks(spark, tmp_path):
 def test_facts_of_the_older_version_are_typed_once(spark):
     plan = queries.all_versions_union(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha2(") <= 1
+
+
+def test_a_hot_keys_facts_of_one_day_are_one_row(spark, monkeypatch):
+    facts = spark.range(6_000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("fact_id"), F.lit("a").alias("k"), F.date_add(F.lit(dt.date(2000, 1, 1)), (F.col("id") % 10).cast("int")).alias("knowledge_date"), (F.col("id") % 3).cast("int").alias("source_doc_version"))
+    probes = spark.range(300).select("id", F.lit("a").alias("k"), F.date_add(F.lit(dt.date(1999, 12, 30)), (F.col("id") % 15).cast("int")).alias("as_of"))
+    kept = {}
+    monkeypatch.setattr(asof, "written", lambda df, name, write=asof.written: kept.setdefault(name, write(df, name)))
+    got = {r.id: r.fact and r.fact.fact_id for r in asof.asof_join(probes, facts, ["k"], rows_per_task=100).collect()}
+    assert kept["asof"].count() == 300 + 10
+    best = {day: min((n for n in range(6_000) if n % 10 == day), key=lambda n: (-(n % 3), n)) for day in range(10)}
+    assert got == {i: f"{best[min(i % 15 - 2, 9)]:05}" if i % 15 >= 2 else None for i in range(300)}
