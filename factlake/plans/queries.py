@@ -134,9 +134,9 @@ def restatements_by_batches(s: SparkSession, d: str) -> DataFrame:
 
 
 def appended_by_batches(s: SparkSession, d: str) -> DataFrame:
-    facts, path = D.facts(s, d).withColumn("content_sha256", F.sha2((F.col("part") % 20).cast("string"), 256)), new_path(s, "appended")
+    facts, path = D.facts(s, d).withColumn("content_sha256", F.sha2((F.col("part") % 20).cast("string"), 256)).select(*_KEPT, "content_sha256"), new_path(s, "appended")
     for batch in _batches(facts):
-        append_new(batch, path, "fact_id", ["knowledge_date"], "content_sha256")
+        append_new(batch, path, "fact_id", ["knowledge_date"], "content_sha256", landed=True)
     return _out(s.read.parquet(path), *FACT)
 
 

@@ -8,9 +8,10 @@ import platform
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import expr as X
 from ..functions.expr import fresh
 from ..schemas import RUN_EVENT, RUN_STATUSES, struct
-from .scratch import exists, free, live, written
+from .scratch import COMPRESSION, exists, free, live, written
 
 
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -71,44 +72,54 @@ def candidate_files(spark: SparkSession, path: str, schema, values: DataFrame, p
     return sorted(f for f in files if spoken.get(f.rsplit("/", 1)[-1], True)), files
 
 
-def append_new(batch: DataFrame, path: str, key: str, order: list[str] | None = None, prune: str | None = None) -> int:
+def append_new(batch: DataFrame, path: str, key: str, order: list[str] | None = None, prune: str | None = None, landed: bool = False) -> int:
     """Writes new_rows; the number written. One writer at a time a table.
 
     prune names a column of hexadecimal hashes that the key is derived from: the table has a folder
     for each of their prefixes (256). An index beside the table holds, per file, the 64-bit hashes of
     its values of prune (or of key), so that an append opens only files which hold a value of its batch;
     a file that is not in the index yet is opened too, so a cut-off append loses nothing.
-    The batch is computed once; a prefix with many rows is written by many tasks.
+    The batch is computed once (landed: it is read from files and not written again). Its rows and the keys
+    of what is stored are shuffled once, by prefix and a piece of it, and written as they then lie; a prefix with many rows is written by many tasks.
     """
-    spark, schema = batch.sparkSession, batch.schema
+    spark, names = batch.sparkSession, batch.columns
     mine = live()
-    value = fresh(batch, "value")
-    first = Window.partitionBy(key).orderBy(*(order or [c for c in batch.columns if c != key] or [key]))
-    n = fresh(batch, "n")
-    once = batch.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
+    value, old, piece, n = (fresh(batch, x) for x in ("value", "old", "piece", "n"))
+    rows = batch
     if prune:
-        once = once.withColumn(PREFIX, F.concat(F.lit("h"), F.substring(prune, 1, PREFIX_DIGITS)))  # a letter first, so that no prefix reads as a number
-    stored = once.schema
-    once = written(once.withColumn(value, F.xxhash64(prune or key)), "batch")
-    counts = {r[0]: r[1] for r in once.groupBy(PREFIX).count().collect()} if prune else {}  # as many as there are prefixes
+        rows = rows.withColumn(PREFIX, F.concat(F.lit("h"), F.substring(prune, 1, PREFIX_DIGITS)))  # a letter first, so that no prefix reads as a number
+    stored = rows.schema
+    rows = rows if landed else written(rows, "batch")
+    counts = {r[0]: r[1] for r in rows.groupBy(PREFIX).count().collect()} if prune else {}  # as many as there are prefixes
     if prune and not counts:
         free(spark, [p for p in live() if p not in mine])
         return 0
     prefixes = list(counts) if prune else None
-    files, before = candidate_files(spark, path, stored, once.select(F.col(value).alias("value")), prefixes)
+    files, before = candidate_files(spark, path, stored, rows.select(F.xxhash64(prune or key).alias(value)).select(F.col(value).alias("value")), prefixes)
     if len(files) > MAX_NAMED_FILES:
         existing = _folders(spark, path, stored, prefixes)
     else:
         existing = spark.read.schema(stored).option("basePath", path).parquet(*files) if files else spark.createDataFrame([], stored)
-    rows = once.drop(value).join(existing.select(key), key, "left_anti").select(*stored.names)
+    text = dict(batch.dtypes)[key] == "string"
+    both = rows.withColumn(old, F.lit(0)).unionByName(existing.where(F.col(key).isNotNull()).select(*dict.fromkeys([*[PREFIX] * bool(prune), *[prune] * bool(prune), key]), F.lit(1).alias(old)), allowMissingColumns=True)
     if counts:
         pieces = F.element_at(F.create_map(*[F.lit(x) for p, c in counts.items() for x in (p, -(-c // ROWS_PER_FILE))]), F.col(PREFIX))
-        piece = fresh(rows, "piece")
-        rows = rows.withColumn(piece, F.pmod(F.xxhash64(key), pieces)).hint("rebalance", PREFIX, piece).sortWithinPartitions(PREFIX, prune, key).drop(piece)
+        both = both.withColumn(piece, F.pmod(F.xxhash64(key), pieces))
+        dealt = [PREFIX, piece]
     else:
-        rows = rows.hint("rebalance")
+        dealt = [key]
+    if text and counts:
+        both = both.withColumn(key, X.packed(F.col(key)))
+    both = both.repartition(*dealt)
+    if text and counts:
+        both = both.withColumn(key, X.unpacked(F.col(key)))
+    # what is stored comes first, and is not written again
+    first = Window.partitionBy(*dict.fromkeys([*dealt, key])).orderBy(F.col(old).desc(), *(order or [c for c in names if c != key] or [key]))
+    rows = both.withColumn(n, F.row_number().over(first)).where((F.col(n) == 1) & (F.col(old) == 0)).select(*stored.names)
+    if counts:
+        rows = rows.sortWithinPartitions(PREFIX, prune, key)
     seen = Observation("written")
-    out = rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append")
+    out = rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").option("compression", COMPRESSION)
     (out.partitionBy(PREFIX) if prune else out).parquet(path)
     count = seen.get["n"]
     if count:
