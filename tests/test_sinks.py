@@ -125,12 +125,11 @@ def test_a_batch_killed_between_any_two_writes_ends_the_same(spark, tmp_path, mo
 
 def test_an_append_shuffles_its_rows_once(spark, tmp_path, monkeypatch):
     """Rows were dealt to find the first of a key, to find those that are stored, and to be written."""
-    from pyspark.sql import DataFrame
-
     path, plans = str(tmp_path / "t"), []
     batch = rows(spark, [(f"k{i}", f"{i % 4}a") for i in range(400)] + [("k1", "1a"), (None, "1a")])
     assert append_new(batch, path, "id", prune="sha") == 401
-    observe = DataFrame.observe
-    monkeypatch.setattr(DataFrame, "observe", lambda self, *a: (plans.append(self._jdf.queryExecution().executedPlan().toString()), observe(self, *a))[1])
+    frame = type(batch)
+    observe = frame.observe
+    monkeypatch.setattr(frame, "observe", lambda self, *a: (plans.append(self._jdf.queryExecution().executedPlan().toString()), observe(self, *a))[1])
     assert append_new(batch.unionByName(rows(spark, [("new", "2a")])), path, "id", prune="sha") == 2
     assert plans[0].count("Exchange") == 1 and "Join" not in plans[0]
