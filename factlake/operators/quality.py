@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Reasons that are a user's choice and no loss.
@@ -49,6 +49,12 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def counts_where(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """name, rows: table_counts of tables that are the rows of one table under a condition each, read once."""
+    one = rows.agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(conditions.values())])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"n{i}").alias("rows")) for i, name in enumerate(conditions)])).alias("x")).select("x.name", "x.rows")
+
+
 def audit_constraints(rows: DataFrame, rules: dict[str, str], key: str) -> DataFrame:
     """rules: name to SQL condition that must hold. A row (key, rule) per broken rule."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(c), F.lit(False)), F.lit(n)) for n, c in rules.items()]))

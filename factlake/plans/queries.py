@@ -50,11 +50,11 @@ def latest_facts(s: SparkSession, d: str) -> DataFrame:
 
 
 def fact_history(s: SparkSession, d: str) -> DataFrame:
-    return _out(asof.history(D.all_facts(s, d)), *FACT, "version_no")
+    return _out(asof.history(D.all_facts(s, d, by_key=True)), *FACT, "version_no")
 
 
 def version_deltas(s: SparkSession, d: str) -> DataFrame:
-    return _out(asof.version_deltas(D.all_facts(s, d)), *FACT, "previous_value", "step")
+    return _out(asof.version_deltas(D.all_facts(s, d, by_key=True)), *FACT, "previous_value", "step")
 
 
 def validity_intervals(s: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,7 @@ def _restated(df: DataFrame) -> DataFrame:
 
 
 def restatements_all(s: SparkSession, d: str) -> DataFrame:
-    return _restated(restate.restatements(D.all_facts(s, d)))
+    return _restated(restate.restatements(D.all_facts(s, d, by_key=True)))
 
 
 def restatements_filtered(s: SparkSession, d: str) -> DataFrame:
@@ -75,7 +75,7 @@ def restatements_filtered(s: SparkSession, d: str) -> DataFrame:
 
 
 def restatements_min_pct(s: SparkSession, d: str) -> DataFrame:
-    return _restated(restate.restatements(D.all_facts(s, d), min_abs_pct=50))
+    return _restated(restate.restatements(D.all_facts(s, d, by_key=True), min_abs_pct=50))
 
 
 def unstable_keys(s: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,7 @@ def unstable_keys(s: SparkSession, d: str) -> DataFrame:
 
 
 def restatement_flag(s: SparkSession, d: str) -> DataFrame:
-    return _out(restate.flag_restatements(D.all_facts(s, d)), *FACT, "is_restatement")
+    return _out(restate.flag_restatements(D.all_facts(s, d, by_key=True)), *FACT, "is_restatement")
 
 
 def as_of_join_probes(s: SparkSession, d: str) -> DataFrame:
@@ -363,7 +363,9 @@ def quarantine_split(s: SparkSession, d: str) -> DataFrame:
 
 
 def table_counts(s: SparkSession, d: str) -> DataFrame:
-    return quality.table_counts({"silver": silver.split_quarantine(_silver(s, d))[0], "gold": _gold(s, d)})
+    # a silver row gives a fact or a reason for none: typed and joined once for both counts
+    rows = gold.to_facts(silver.split_quarantine(_silver(s, d))[0])
+    return quality.counts_where(rows, {"silver": F.lit(True), "gold": F.col("skip_reason").isNull()})
 
 
 def silver_audit(s: SparkSession, d: str) -> DataFrame:

@@ -68,3 +68,15 @@ def test_a_hot_keys_facts_of_one_day_are_one_row(spark, monkeypatch):
     assert kept["asof"].count() == 300 + 10
     best = {day: min((n for n in range(6_000) if n % 10 == day), key=lambda n: (-(n % 3), n)) for day in range(10)}
     assert got == {i: f"{best[min(i % 15 - 2, 9)]:05}" if i % 15 >= 2 else None for i in range(300)}
+
+
+def test_both_counts_read_their_rows_once(spark):
+    plan = queries.table_counts(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in x and "l_linenumber" in x for x in plan.splitlines()) == 1
+
+
+def test_facts_are_dealt_by_key_before_their_ids_are_made(spark):
+    for query in (queries.restatements_all, queries.restatements_min_pct, queries.version_deltas, queries.restatement_flag):
+        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        exchange = plan.index("Exchange hashpartitioning(cod_cvm")
+        assert plan.count("Exchange hashpartitioning(cod_cvm") == 1 and "sha2(" in plan[:exchange] and "sha2(" not in plan[exchange:], query.__name__
