@@ -110,7 +110,9 @@ def append_new(batch: DataFrame, path: str, key: str, order: list[str] | None =
         dealt = [key]
     if text and counts:
         both = both.withColumn(key, X.packed(F.col(key)))
-    both = both.repartition(*dealt)
+    tasks = sum(-(-c // ROWS_PER_FILE) for c in counts.values())
+    # by number where a prefix has pieces, or small ones would be put together again
+    both = both.repartition(tasks, *dealt) if tasks > len(counts) else both.repartition(*dealt)
     if text and counts:
         both = both.withColumn(key, X.unpacked(F.col(key)))
     # what is stored comes first, and is not written again
