@@ -160,7 +160,7 @@ def as_of_diff(s: SparkSession, d: str) -> DataFrame:
 
 
 def _silver(s: SparkSession, d: str, companies: Column | None = None, statements: list[str] | None = None) -> DataFrame:
-    return silver.to_silver(D.details(s, d), D.index(s, d), "run1", companies, statements)
+    return silver.to_silver(D.details(s, d, D.index(s, d)), None, "run1", companies, statements)
 
 
 def _wanted() -> Column:
@@ -316,10 +316,11 @@ def idempotent_append(s: SparkSession, d: str) -> DataFrame:
 
 def all_versions_union(s: SparkSession, d: str) -> DataFrame:
     """Facts of two extractor versions, the newer of which has read all rows and the older even lines only: both stay, and a second run of the newer adds nothing."""
-    facts = lambda rows, version: silver.split_quarantine(gold.to_facts(silver.split_quarantine(silver.to_silver(rows, D.index(s, d), "run1", extractor_version=version))[0]))[0]
+    facts = lambda rows, version: silver.split_quarantine(gold.to_facts(silver.split_quarantine(silver.to_silver(rows, None, "run1", extractor_version=version))[0]))[0]
+    rows = D.details(s, d, D.index(s, d))
     columns = ["fact_id", "extractor_version", "cd_conta"]
     # read twice: typed and joined once
-    old, new = written(facts(D.details(s, d).where("line_no % 2 = 0"), "1.0.0").select(*columns), "old-facts"), facts(D.details(s, d), EXTRACTOR_VERSION).select(*columns)
+    old, new = written(facts(rows.where("line_no % 2 = 0"), "1.0.0").select(*columns), "old-facts"), facts(rows, EXTRACTOR_VERSION).select(*columns)
     table = new_rows(old, old.limit(0), "fact_id", ["cd_conta"]).unionByName(new_rows(new, old, "fact_id", ["cd_conta"]))
     return table.groupBy("extractor_version", "cd_conta").agg(F.count(F.lit(1)).alias("facts"), F.min("fact_id").alias("first_id"), F.max("fact_id").alias("last_id"))
 

@@ -80,3 +80,18 @@ def test_facts_are_dealt_by_key_before_their_ids_are_made(spark):
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         exchange = plan.index("Exchange hashpartitioning(cod_cvm")
         assert plan.count("Exchange hashpartitioning(cod_cvm") == 1 and "sha2(" in plan[:exchange] and "sha2(" not in plan[exchange:], query.__name__
+
+
+def test_documents_meet_the_index_before_their_lines(spark):
+    for query in (queries.loss_totals, queries.report_rollup, queries.gold_scale_currency_period, queries.detail_index_join, queries.all_versions_union):
+        plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        lines_in = [i for i, x in enumerate(plan) if "Relation" in x and "l_linenumber" in x]
+        index_in = [i for i, x in enumerate(plan) if "Join LeftOuter" in x and "dt_refer" in x]
+        assert len(lines_in) == len(index_in) == 1 and lines_in[0] < index_in[0], query.__name__
+
+
+def test_entries_by_document_or_by_row_give_the_same_rows(spark):
+    by_row = silver.to_silver(D.details(spark, SF), D.index(spark, SF), "r").cache()
+    by_document = silver.to_silver(D.details(spark, SF, D.index(spark, SF)), None, "r").cache()
+    assert by_row.schema.names == by_document.schema.names and by_row.count() == by_document.count() > 0
+    assert by_row.exceptAll(by_document).isEmpty() and {"ambiguous_index", "no_index"} <= {r[0] for r in by_document.select("skip_reason").distinct().collect()}
